@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketry.llm import text_queries, value_queries
+from docketry.llm import text_queries, unit_queries, value_queries
 
-_MODULES = (text_queries, value_queries)
+_MODULES = (unit_queries, value_queries, text_queries)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
