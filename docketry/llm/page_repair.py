@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.llm.canonical import deletes
-from docketry.llm.scan_noise import HEADINGS, Page, Token, compounds, confusion_distance, edge_lines, fold_misread, plain_words, read_pages, reversed_confusions, running_text
+from docketry.llm.scan_noise import HEADINGS, Page, RunReader, confusion_distance, edge_lines, fold_misread, line_runs, read_pages, reversed_confusions, run_words, running_text
 from docketry.operators.skew import salted
 from docketry.sources.tables import checkpointed
 
@@ -62,13 +62,16 @@ def page_statistics(units: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            runs: Counter[str] = Counter()
             words: Counter[str] = Counter()
             edges: Counter[str] = Counter()
             for row in batch.itertuples(index=False, name=None):
                 pages, _ = _read(row, set())
-                words.update(plain_words(pages))
-                words.update(compounds(pages))
+                runs.update(line_runs(pages))
                 edges.update(edge_lines(pages, dict(zip(row[3], row[4], strict=True))))
+            for run, n in runs.items():
+                for w in run_words(run):
+                    words[w] += n
             yield pd.DataFrame([*(("w", k, n) for k, n in words.items()), *(("e", k, n) for k, n in edges.items())], columns=["kind", "key", "n"])
 
     return _unit_rows(units).mapInPandas(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -128,37 +131,43 @@ def noise_rows(units: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, lines = common.value, running.value
-        count = lambda w: known.get(w, 0)
+        read = RunReader(known)
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False, name=None):
                 unit, case = row[0], row[1]
                 pages, ends = _read(row, lines)
-                tokens, broken = running_text(pages, ends, count)
+                words, broken = running_text(pages, ends, known, read)
                 for p in pages:
                     out += [(unit, case, p.page, kind, None, None, None, None) for kind, there in (("header", p.header), ("pageno", p.pageno)) if there]
                 out += [(unit, case, b.page, "hyphen", None, None, None, None) for b, noise in broken if noise]
-                own = Counter(t.text.lower() for t in tokens)
-                own.update(w.lower() for w in re.findall(r"[^\W\d_]+", row[2] or ""))
-                out += _token_rows(unit, case, tokens, own, known)
+                out += _word_rows(unit, case, words, row[2] or "", known)
             yield pd.DataFrame(out, columns=["unit_id", "case_id", "page", "noise", "token", "before", "after", "repair"])
 
     return _unit_rows(units).mapInPandas(scan, "unit_id string, case_id string, page int, noise string, token string, before string, after string, repair string")
 
 
-def _token_rows(unit: str, case: str, tokens: list[Token], own: Counter, known: dict[str, int]) -> list[tuple]:
+def _word_rows(unit: str, case: str, words: list[tuple], header: str, known: dict[str, int]) -> list[tuple]:
+    """Rows of noise_rows for the words that aren't common. A capitalized word that stands once in the unit, and is by one
+    confusion another of its uncommon words (or of its header's), is a misread name."""
+    odd = [i for i, w in enumerate(words) if w[3] or not w[4] and len(w[2]) >= 3]
+    if not odd:
+        return []
+    own = Counter(w[2] for w in words if not w[4])
+    own.update(w.lower() for w in re.findall(r"[^\W\d_]+", header))
     out = []
-    for i, t in enumerate(tokens):
-        w = t.text.lower()
-        before = tokens[i - 1].text.lower() if i else None
-        after = tokens[i + 1].text.lower() if i + 1 < len(tokens) else None
-        if t.sure:
-            out.append((unit, case, t.page, "ocr", t.text, before, after, _sure_repair(t.text, known)))
-        elif len(w) >= 3 and w not in known:
-            same = [x for x in reversed_confusions(w) if own.get(x) and x not in known] if own[w] == 1 and t.text[0].isupper() else []
-            out.append((unit, case, t.page, "ocr" if same else "?", t.text, before, after, same[0] if same else None))
-            if not same and "." in w and (fixed := _sure_repair(w, known)):
-                out[-1] = (unit, case, t.page, "ocr", t.text, before, after, fixed)
+    for i in odd:
+        page, text, w, sure, _ = words[i]
+        before = words[i - 1][2] if i else None
+        after = words[i + 1][2] if i + 1 < len(words) else None
+        noise, repair = "?", None
+        if sure:
+            noise, repair = "ocr", _sure_repair(text, known)
+        elif text[0].isupper() and own[w] == 1 and (same := [x for x in reversed_confusions(w) if own.get(x) and x not in known]):
+            noise, repair = "ocr", same[0]
+        elif "." in w and (fixed := _sure_repair(w, known)):
+            noise, repair = "ocr", fixed
+        out.append((unit, case, page, noise, text, before, after, repair))
     return out
 
 
@@ -201,7 +210,7 @@ def chosen_repairs(units: DataFrame, found: DataFrame) -> DataFrame:
             for batch in batches:
                 seen: Counter[tuple[str, str]] = Counter()
                 for row in batch.itertuples(index=False, name=None):
-                    words = plain_words(_read(row, set())[0])
+                    words = [w for page in _read(row, set())[0] for line in page.body for run in line.split() for w in run_words(run)]
                     seen.update(p for p in zip(words, words[1:], strict=False) if p[0] in shared.value or p[1] in shared.value)
                 yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["first", "second", "n"])
 
@@ -241,7 +250,7 @@ def paragraphs(pages: list[Page], broken: list, repairs: dict[str, str]) -> list
                 if not fresh or text[-1:] in ".!?…。！？।؟\"”»":
                     close()
                 continue
-            heading = fold_misread(full) in page.headings or full.lower() in HEADINGS
+            heading = fold_misread(full) in page.headings | HEADINGS
             ended = last.rstrip("\"'”’»」』)） ")[-1:] in set(".!?…。！？।؟") and len(last) < 0.8 * width
             if text and not joint and (heading or ended):
                 close()
@@ -275,12 +284,13 @@ def case_paragraphs(units: DataFrame) -> DataFrame:
     common, running = lexicon.common, lexicon.running
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = RunReader(common.value)
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False, name=None):
                 i, n = _place(row[0])
                 pages, ends = _read(row[:7], running.value)
-                _, broken = running_text(pages, ends, lambda w: common.value.get(w, 0))
+                _, broken = running_text(pages, ends, common.value, read)
                 done = paragraphs(pages, broken, dict(row[7]) if row[7] is not None else {})
                 numbers: Counter[int] = Counter()
                 reached = {p for p, _, _ in done}

@@ -15,7 +15,7 @@ CONFUSIONS = (
 CITED = "citc as:"
 #: What a confusion costs in the weighted edit distance, where any other edit costs 1; and the most that a repair may cost.
 CONFUSION_COST, MOST_COST = 0.4, 0.8
-# Headings of parts that stand alone at the top of a case.
+# Headings of parts that stand alone at the top of a case, as fold_misread leaves them.
 HEADINGS = {"syllabus"}
 HYPHENS = "-¬­‐"
 
@@ -129,8 +129,10 @@ def read_pages(raw: list[tuple[int, str | None]], marked: list[tuple[int, str |
         rest = [x if i not in numbers[p] else "" for i, x in enumerate(lines[p])]
         edge[p] = {}
         for i in _edges(rest):
-            stripped = _NUMBER_TAIL.sub("", _NUMBER_HEAD.sub("", rest[i], count=1), count=1) if re.search(r"\S\s{2,}\S|\t", rest[i]) else rest[i]
-            edge[p][i] = (stripped.strip(), fold_misread(stripped), stripped.strip() != rest[i].strip())
+            line = rest[i]
+            stripped = _NUMBER_TAIL.sub("", _NUMBER_HEAD.sub("", line, count=1), count=1).strip() if "  " in line.strip() or "\t" in line else line.strip()
+            if stripped[:2].lower() == "ci" or not _runs_as_prose(stripped):
+                edge[p][i] = (stripped, fold_misread(stripped), stripped != line.strip())
         seen.update({f for _, f, _ in edge[p].values()})
     out = []
     for k, (p, _) in enumerate(pages):
@@ -138,7 +140,7 @@ def read_pages(raw: list[tuple[int, str | None]], marked: list[tuple[int, str |
         page = Page(p, [], first, headings.get(p, set()), pageno=bool(numbers[p]))
         drop = set(numbers[p])
         for i, (line, folded, numbered) in edge[p].items():
-            if first or folded in page.headings or folded in {fold_misread(h) for h in HEADINGS} or _runs_as_prose(line) and not folded.startswith((CITED, name or "\0")) or _NUMBER_LINE.fullmatch(line):
+            if first or folded in page.headings or folded in HEADINGS or _runs_as_prose(line) and not folded.startswith(CITED) or _NUMBER_LINE.fullmatch(line):
                 continue
             parts = {fold_misread(x) for x in re.split(r"\s{2,}|\t", line)}
             titled = bool(name) and len(folded) <= len(name) + 24 and _alike(folded[: len(name)], name)
@@ -184,43 +186,47 @@ def edge_lines(pages: list[Page], raw: dict[int, str | None]) -> set[str]:
     return out
 
 
-@dataclass
-class Token:
-    """A word or number of the running text, as read."""
-
-    page: int
-    text: str
-    kind: str  # word, number
-    sure: bool  # bears a sign that can't be in it
-
-
-def _tokens(page: int, line: str) -> list[Token]:
+def read_run(run: str) -> tuple[tuple[str, bool], ...]:
+    """The words and numbers of a string without blanks, each with whether it bears a sign that can't be in it. Numbers and
+    words with ordinary suffixes are left out where all their signs can be."""
     out = []
-    for m in _RUN.finditer(line):
+    for m in _RUN.finditer(run):
         core = m[0].rstrip(".,'’!")
         if not core:
             continue
         if _NUMBER.fullmatch(core) and any(c.isdigit() for c in core):
-            letters = sum(c in "OIlo" for c in core)
-            if letters and len(core) > 1:
-                out.append(Token(page, core, "number", True))
+            if len(core) > 1 and any(c in "OIlo" for c in core):
+                out.append((core, True))
             continue
         if re.fullmatch(r"[A-Za-z](?:\.[A-Za-z0-9])+", core):
-            mixed = any(c.isdigit() for c in core)
-            if not mixed or re.fullmatch(r"[a-z]\.[0-9]", core):
-                out.append(Token(page, core, "word", False))
+            if not any(c.isdigit() for c in core) or re.fullmatch(r"[a-z]\.[0-9]", core):
+                out.append((core, False))
             continue
         for part in re.split(r"[.,'’]|!(?![a-zà-ɏ])|(?<![A-Za-zÀ-ɏ])!", core):
             if not part or part.isdigit() or _SUFFIXED.fullmatch(part):
                 continue
             signs = any(c in "†!" or c.isdigit() for c in part)
-            letters = sum(c.isalpha() for c in part)
-            if signs and letters < 2:
+            if signs and (sum(c.isalpha() for c in part) < 2 or re.search(r"\d{2}", part)):
                 continue
-            if any(c.isdigit() for c in part) and re.match(r"\d{2}|.*\d{2}", part):
-                continue
-            out.append(Token(page, part, "word", signs))
-    return out
+            out.append((part, signs))
+    return tuple(out)
+
+
+class RunReader(dict):
+    """`read_run` that remembers, for up to a bounded number of strings, with whether each word is common in `known`:
+    tuples of (as written, in lower case, sure, common)."""
+
+    MOST = 300_000
+
+    def __init__(self, known: dict[str, int]) -> None:
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, run: str) -> tuple[tuple[str, str, bool, bool], ...]:
+        if len(self) >= self.MOST:
+            self.clear()
+        value = self[run] = tuple((t, t.lower(), sure, t.lower() in self.known) for t, sure in read_run(run))
+        return value
 
 
 @dataclass
@@ -240,7 +246,7 @@ def breaks(pages: list[Page], ends_case: bool) -> list[Break]:
     out = []
     flat = [(k, i, x) for k, p in enumerate(pages) for i, x in enumerate(p.body) if x.strip()]
     for n, (k, i, line) in enumerate(flat):
-        m = _LEFT.search(line)
+        m = _LEFT.search(line) if line.rstrip()[-1:] in HYPHENS else None
         if not m:
             continue
         if n + 1 < len(flat):
@@ -272,58 +278,60 @@ def is_noise(b: Break, count) -> bool:
     return not with_mark or count(joined) >= with_mark
 
 
-def running_text(pages: list[Page], ends_case: bool, count) -> tuple[list[Token], list[tuple[Break, bool]]]:
-    """The tokens of the text, with broken words whole again on the page where they begin, and all breaks with whether the mark
-    is noise."""
-    found = [(b, is_noise(b, count)) for b in breaks(pages, ends_case)]
+def running_text(pages: list[Page], ends_case: bool, known: dict[str, int], read: RunReader | None = None) -> tuple[list[tuple[int, str, str, bool, bool]], list[tuple[Break, bool]]]:
+    """The words of the text as (page, as written, in lower case, sure to be misread, common), with broken words whole again on
+    the page where they begin; and all breaks with whether the mark is noise. `known` has the common words."""
+    read = RunReader(known) if read is None else read
+    found = [(b, is_noise(b, lambda w: known.get(w, 0))) for b in breaks(pages, ends_case)]
     at = {(b.page, b.line): (b, noise) for b, noise in found}
-    tokens: list[Token] = []
+    words: list[tuple[int, str, str, bool, bool]] = []
     skip = ""
     for page in pages:
+        n = page.page
         for i, line in enumerate(page.body):
             if skip and line.strip():
                 line = line.lstrip()
                 line = line[len(skip) :] if line.startswith(skip) else line
                 skip = ""
-            b = at.get((page.page, i))
+            b = at.get((n, i))
             if b:
                 cut = line.rstrip()
-                head = cut[: len(cut) - 1 - len(b[0].left)]
-                whole = b[0].left + ("" if b[1] else "-") + b[0].right
-                tokens += _tokens(page.page, head)
-                tokens += [t for w in whole.split("-") for t in _tokens(page.page, w)]
+                line = cut[: len(cut) - 1 - len(b[0].left)] + b[0].left + ("" if b[1] else "-") + b[0].right
                 skip = b[0].right
-            else:
-                tokens += _tokens(page.page, line)
-    return tokens, found
+            for run in line.split():
+                for w in read[run]:
+                    words.append((n, *w))
+    return words, found
 
 
-def compounds(pages: list[Page]) -> list[str]:
-    """Words with hyphens within lines, and what stands before each hyphen."""
-    out = []
+def line_runs(pages: list[Page]) -> Counter[str]:
+    """Strings between blanks within lines, counted; the broken ends of lines and what continues them aside."""
+    runs: Counter[str] = Counter()
+    before = False
     for page in pages:
         for line in page.body:
-            for m in _COMPOUND.finditer(line):
-                if not _WIDE.search(m[0]):
-                    w = m[0].lower()
-                    out.append(w)
-                    parts = w.split("-")
-                    out += [f"{a}-{b}" for a, b in zip(parts, parts[1:], strict=False)] if len(parts) > 2 else []
-                    out += [f"{a}-" for a in parts[:-1]]
-    return out
-
-
-def plain_words(pages: list[Page]) -> list[str]:
-    """Lower-case words of any script with spaces, as they stand within lines (the broken ends of lines aside)."""
-    out = []
-    for page in pages:
+            own = line.split()
+            if not own:
+                continue
+            broken = own[-1][-1] in HYPHENS
+            runs.update(own[before : len(own) - broken])
+            before = broken
         before = False
-        for line in page.body:
-            words = [w.lower() for w in re.findall(r"(?<![^\W\d_])[A-Za-z](?:\.[A-Za-z])+|[^\W\d_]+", line) if not _WIDE.search(w)]
-            if before and words:
-                words = words[1:]
-            before = bool(_LEFT.search(line))
-            out += words[:-1] if before else words
+    return runs
+
+
+def run_words(run: str) -> list[str]:
+    """The lower-case words of a string without blanks, of any script with spaces: dotted abbreviations, words, and for words with
+    hyphens also each pair and each part with its hyphen."""
+    if _WIDE.search(run):
+        return []
+    out = [w.lower() for w in re.findall(r"(?<![^\W\d_])[A-Za-z](?:\.[A-Za-z])+|[^\W\d_]+", run)]
+    if "-" in run:
+        for m in _COMPOUND.finditer(run):
+            parts = m[0].lower().split("-")
+            out.append("-".join(parts))
+            out += [f"{a}-{b}" for a, b in zip(parts, parts[1:], strict=False)] if len(parts) > 2 else []
+            out += [f"{a}-" for a in parts[:-1]]
     return out
 
 
