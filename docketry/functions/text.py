@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that carry no search weight.
 STOP_WORDS = (
-    "a an and are as at be been but by for from had has have he her his if in into is it its no not of on or our she so "
-    "such than that the their them then there these they this to under upon was we were what when where which who will "
-    "with would you your"
+    "a an and are as at be by for from has have in is it its of on or that the this to was were "
+    "which with what who whom how did does do not any all their there these those into under over than then "
+    "case cases court decision decisions"
 ).split()
+# Instruction-like phrases in untrusted text, and the fence around such text.
+INJECTION = (
+    r"(?i)(ignore (?:all |any )?(?:previous|prior|above) (?:instructions|prompts?)|disregard (?:the )?(?:system|previous)|"
+    r"you are now|new instructions?:|system prompt|<\s*/?\s*(?:system|assistant|tool)\s*>|"
+    r"call the \w+ tool|exfiltrat|send (?:it|this|the \w+) to http|BEGIN (?:SYSTEM|ADMIN))"
+)
+FENCE_OPEN, FENCE_CLOSE = "<<<UNTRUSTED_CASE_TEXT", "UNTRUSTED_CASE_TEXT>>>"
+FENCED_FIELDS = ("quote", "snippet", "syllabus", "case_name", "caption", "cause", "nature_of_suit")
 
 
 def squash(c: Column) -> Column:
@@ -21,8 +30,8 @@ def squash(c: Column) -> Column:
 def match_key(c: Column) -> Column:
     """The form in which quotations are compared: no part or page markers, blanks, hyphens, dashes, quotes or marks of
     unreadable characters. Case is kept."""
-    unmarked = F.regexp_replace(c, r"<<<(?:PART BEGINS|PAGE)[^>]*>>>", "")
-    return F.regexp_replace(unmarked, "(?U)[\\s\\-\\x{AD}\\x{2010}-\\x{2015}\\x{2018}-\\x{201F}\\x{2032}\\x{2033}\\x{FFFD}'\"`\\x{AB}\\x{BB}]+", "")
+    unmarked = F.regexp_replace(c, r"<<<PART BEGINS:[^>]*>>>|=====\s*\[\[PAGE[^\]]*\]\]\s*=====", "")
+    return F.regexp_replace(unmarked, "(?U)[\\s\\-\\x{AD}\\x{2010}-\\x{2015}\\x{2018}-\\x{201F}\\x{2032}\\x{2033}\\x{FFFD}'\"`]+", "")
 
 
 def slug(c: Column, n: int = 60) -> Column:
@@ -68,7 +77,7 @@ def span_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when((shared > 0) & (short > 0), shared / short).otherwise(F.lit(0.0))
 
 
-def snippet(text: Column, query_tokens: list[str], width: int = 200) -> Column:
+def snippet(text: Column, query_tokens: list[str], width: int = 240) -> Column:
     """A window of the squashed text that starts a third of its width before the first query token, with ellipses where
     it was cut. Without a hit it starts at the beginning."""
     t = squash(text)
@@ -84,11 +93,58 @@ def clamp_float(c: Column, default: float, low: float = 0.0, high: float = 1.0)
 
 
 def injection_flags(c: Column) -> Column:
-    """The distinct instruction-like phrases in untrusted text, sorted."""
-    hits = F.regexp_extract_all(F.lower(c), F.lit(r"(ignore (?:all )?(?:previous|prior|above) instructions|disregard (?:the )?(?:above|previous)|system prompt|you are now|act as an?)"), 1)
-    return F.array_sort(F.array_distinct(hits))
+    """The distinct instruction-like phrases in untrusted text, in lower case, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(INJECTION), 1), F.lower)))
 
 
-def fenced(c: Column) -> Column:
-    """Untrusted text between markers, with markers inside it made harmless."""
-    return F.concat(F.lit("<<<UNTRUSTED\n"), F.replace(F.replace(c, F.lit("<<<"), F.lit("‹‹‹")), F.lit(">>>"), F.lit("›››")), F.lit("\nUNTRUSTED>>>"))
+def fenced(c: Column, source: str) -> Column:
+    """Untrusted text between markers that name its source, with markers inside it made harmless."""
+    return F.concat(F.lit(f"{FENCE_OPEN} source={source}\n"), F.replace(F.replace(c, F.lit("<<<"), F.lit("‹‹‹")), F.lit(">>>"), F.lit("›››")), F.lit(f"\n{FENCE_CLOSE}"))
+
+
+def fence_fields(df: DataFrame, source: str, names: tuple[str, ...] = FENCED_FIELDS) -> DataFrame:
+    """`df` with every string field of these names fenced, at any depth of structs and arrays; empty strings stay."""
+
+    def rewrite(c: Column, kind: T.DataType, name: str) -> Column:
+        if isinstance(kind, T.StringType) and name in names:
+            return F.when(c != "", fenced(c, source)).otherwise(c)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: rewrite(x, kind.elementType, ""))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[rewrite(c.getField(f.name), f.dataType, f.name).alias(f.name) for f in kind.fields]))
+        return c
+
+    return df.select(*[rewrite(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
+
+
+def surname(c: Column) -> Column:
+    """The last word of an author that is no title, with capitals as in a title (also behind an apostrophe)."""
+    words = F.filter(F.regexp_extract_all(c, F.lit(r"([A-Za-z][A-Za-z'’\-]*)"), 1), lambda w: ~F.lower(w).isin(*TITLES))
+    last = F.when(F.size(words) > 0, F.element_at(words, -1)).otherwise(F.trim(c))
+    parts = F.regexp_extract_all(last, F.lit(r"([A-Za-zÀ-ɏ]+|[^A-Za-zÀ-ɏ]+)"), 1)
+    return F.when(c.isNotNull(), F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), ""))
+
+
+# Titles of judges.
+TITLES = "j jj c chief justice board member judge appellate immigration acting vice chairman chair deputy senior temporary".split()
+
+
+def judge_id(court: Column, author: Column) -> Column:
+    """judge:<court>:<surname>, both as slugs of up to 30 characters."""
+    return F.concat_ws(":", F.lit("judge"), slug(F.coalesce(court, F.lit("unknown")), 30), slug(surname(author), 30))
+
+
+def evidence_strength(quotes: Column) -> Column:
+    """strong for two verified quotes or one of 15 words, moderate for one, else weak."""
+    long = F.exists(quotes, lambda q: F.size(F.split(squash(q), " ")) >= 15)
+    return F.when((F.size(quotes) >= 2) | long, "strong").when(F.size(quotes) >= 1, "moderate").otherwise("weak")
+
+
+def json_object(c: Column) -> Column:
+    """The JSON text in a reply: that of a fenced block, else the reply, if it parses; else from the first to the last brace if
+    that parses; else null."""
+    block = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    body = F.when(block != "", F.trim(block)).otherwise(F.trim(c))
+    inner = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
+    parses = lambda x: F.try_parse_json(x).isNotNull()
+    return F.when(parses(body), body).when((inner != "") & parses(inner), inner)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketry.plans import general
+from docketry.plans import general, text
 
-_MODULES = (general,)
+_MODULES = (general, text)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
