@@ -110,9 +110,9 @@ def find_evidence(rows: DataFrame, pages: DataFrame, pattern: str = "pattern") -
     """`rows` (case_id and a Java pattern) with page and quote of the pattern's first match in the case's pages, in page order;
     null where there is none. The quote is the match with 60 characters on either side."""
     rows = rows.withColumn("row_id", F.xxhash64("case_id", pattern))
-    hits = rows.select("row_id", "case_id", pattern).distinct().join(pages, "case_id").filter(F.col("text").rlike(F.col(pattern)))
+    hits = rows.select("row_id", "case_id", pattern).distinct().join(pages, "case_id").filter(F.rlike("text", F.col(pattern)))
     found = F.regexp_substr("text", F.col(pattern))
-    at = F.instr(F.col("text"), found)
+    at = F.call_function("instr", F.col("text"), found)
     start = F.greatest(at - CONTEXT, F.lit(1))
     quote = F.substring("text", start, at - start + F.length(found) + CONTEXT)
     first = hits.groupBy("row_id").agg(F.min_by(F.struct("page", quote.alias("quote")), "page").alias("e")).select("row_id", "e.page", "e.quote")
@@ -185,9 +185,9 @@ def cross_domain_matches(known: DataFrame, pages: DataFrame, from_domain: str, t
     names = targets.select(F.col("id").alias("target"), F.trim(F.regexp_replace("title", r"(?U)\s+", " ")).alias("title")).filter(F.col("title") != "")
     names = names.select("target", F.concat(F.lit("(?i)"), F.regexp_replace(F.regexp_replace("title", r"([^\p{L}\p{N} ])", r"\\$1"), " ", r"\\s+")).alias("pattern"), F.regexp_extract(F.lower("title"), word, 1).alias("key"))
     words = sources.select("case_id", "page", "text", F.explode(F.array_distinct(F.concat(F.regexp_extract_all(F.lower("text"), F.lit(word), 1), F.array(F.lit(""))))).alias("key"))
-    by_name = words.join(names, "key").filter(F.col("text").rlike(F.col("pattern"))).withColumn("found", F.regexp_substr("text", F.col("pattern"))).select(F.lit("name").alias("basis"), "case_id", "target", "page", "text", "found")
+    by_name = words.join(names, "key").filter(F.rlike("text", "pattern")).withColumn("found", F.regexp_substr("text", F.col("pattern"))).select(F.lit("name").alias("basis"), "case_id", "target", "page", "text", "found")
     hits = by_reporter.unionByName(by_name)
-    at = F.instr(F.col("text"), F.col("found"))
+    at = F.call_function("instr", F.col("text"), F.col("found"))
     start = F.greatest(at - CONTEXT, F.lit(1))
     quote = F.substring("text", start, at - start + F.length("found") + CONTEXT)
     first = hits.groupBy("case_id", "target", "basis").agg(F.min_by(F.struct("page", quote.alias("quote")), "page").alias("e"))

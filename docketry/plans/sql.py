@@ -54,7 +54,7 @@ listed AS (SELECT DISTINCT id, domain, citations FROM records),
 raw AS (SELECT id AS source, domain, unnest(citations) AS raw FROM listed),
 cited0 AS (SELECT source, domain, {canon(squash("raw"), "id")} AS canon_id, {canon(squash("raw"), "kind")} AS kind FROM raw),
 cited AS (SELECT DISTINCT c.source, coalesce(o.target, 'auth:' || c.canon_id) AS target, CASE WHEN o.target IS NULL THEN 'external' WHEN t.domain = c.domain THEN 'internal' ELSE 'cross_domain' END AS scope
-FROM cited0 c JOIN cases s ON s.id = c.source LEFT JOIN own o USING (canon_id) LEFT JOIN cases t ON t.id = o.target WHERE c.kind = 'case' AND c.canon_id <> s.canon_id)"""
+FROM cited0 c JOIN cases s ON s.id = c.source LEFT JOIN own o ON o.canon_id = c.canon_id LEFT JOIN cases t ON t.id = o.target WHERE c.kind = 'case' AND c.canon_id <> s.canon_id)"""
 
 PAGES = """pages AS (SELECT case_id, e.key AS page, max(e.value) AS text FROM (SELECT case_id, unnest(map_entries(raw_pages)) AS e FROM units) WHERE e.value IS NOT NULL GROUP BY case_id, e.key)"""
 
