@@ -22,7 +22,9 @@ def v1_page_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v2_located(spark: SparkSession, d: str) -> DataFrame:
-    return quotes.located(_quotes(spark, d), all_pages(spark, d)).select("quote_id", "case_id", "page", "found_page", "found_start", "found_end")
+    """Where each passage is found; -1 for nowhere."""
+    found = quotes.located(_quotes(spark, d), all_pages(spark, d))
+    return found.select("quote_id", "case_id", "page", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("found_page", "found_start", "found_end")])
 
 
 def v3_items(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +209,7 @@ _LABELS = "list_distinct(regexp_extract_all(lower(coalesce({0}.label, '')), '[a-
 
 ORACLES = {
     "v1_page_keys": f"WITH {_KEYS} SELECT case_id, page, e - length(key) AS start, e AS \"end\" FROM keys",
-    "v2_located": f"WITH {_LOCATED} SELECT quote_id, case_id, page, CASE WHEN f IS NULL THEN NULL WHEN f < s THEN page_before WHEN f >= s + n THEN page_after ELSE own_page END AS found_page, f AS found_start, f + length(piece) AS found_end FROM l",
+    "v2_located": f"WITH {_LOCATED} SELECT quote_id, case_id, page, CASE WHEN f IS NULL THEN -1 WHEN f < s THEN page_before WHEN f >= s + n THEN page_after ELSE own_page END AS found_page, coalesce(f, -1) AS found_start, coalesce(f + length(piece), -1) AS found_end FROM l",
     "v3_items": f"""WITH {_LOCATED}, g AS (SELECT case_id, count(*) AS n_quotes, count(f) AS n_verified, max(CASE WHEN f IS NOT NULL THEN len(string_split_regex(trim(quote), '\\s+')) END) AS longest FROM l GROUP BY case_id)
 SELECT case_id, CASE WHEN n_verified > 0 THEN 'llm' ELSE 'unverified' END AS provenance, round(CASE WHEN n_verified = 0 THEN 0.3::DOUBLE WHEN n_verified < n_quotes THEN 0.72::DOUBLE ELSE 0.9::DOUBLE END, 4) AS confidence, CASE WHEN n_verified >= 2 OR longest >= 15 THEN 'strong' WHEN n_verified = 1 THEN 'moderate' ELSE 'weak' END AS evidence_strength, n_verified, n_quotes FROM g""",
     "m1_scores": f"""WITH {_GOLD}, j AS (SELECT p.unit_id, p.id AS pred_id, g.id AS gold_id, {_LABELS.format("p")} AS a, {_LABELS.format("g")} AS b, least(p.e, g.e) - greatest(p.s, g.s) AS shared, greatest(p.e, g.e) - least(p.s, g.s) AS hull FROM pred p JOIN gold g ON p.unit_id = g.unit_id AND p.type = g.type),
