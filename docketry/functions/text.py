@@ -89,7 +89,8 @@ def snippet(text: Column, query_tokens: list[str], width: int = 240) -> Column:
 
 def clamp_float(c: Column, default: float, low: float = 0.0, high: float = 1.0) -> Column:
     """A number read tolerantly from text and held between low and high; the default where it is none."""
-    return F.coalesce(F.least(F.greatest(c.try_cast("double"), F.lit(low)), F.lit(high)), F.lit(default))
+    number = c.try_cast("double")
+    return F.when(number.isNull(), default).otherwise(F.least(F.greatest(number, F.lit(low)), F.lit(high)))
 
 
 def injection_flags(c: Column) -> Column:
