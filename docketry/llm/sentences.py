@@ -29,6 +29,8 @@ TRAILING = set(
     "jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun "
     "uu ee.uu etcétera ej a m h min ex d др т.д т.п пр г гг в вв руб коп тыс млн млрд сл след б.м д п κ.λπ κλπ κ.ά μ.μ π.μ μ.χ π.χ".split()
 )
+# Abbreviations that are words as well; they count as such only before a number, or capitals that may be one.
+NUMBERED = set("no nos art arts fig figs par sec col cap lit app pt ch".split())
 # German words before an ordinal number, and Chinese words that take up a sentence after a quotation.
 ORDINAL_LEADS = set("am im vom zum zur der des dem den die das bis ab beim seit".split())
 TAKEN_UP = ("随后", "然后", "接着", "而后", "于是", "并", "便", "就", "後", "的", "地", "，", "、", "；")
@@ -261,6 +263,8 @@ def self_standing_stop(s, start, a, e, after, gap, marked, abbreviated, starter)
     if not _CASED.match(word[0][-1]):
         letters = sum(c.isalpha() for c in word[0])
         return not (letters <= 2 and not marked or abbreviated(name))
+    if name in NUMBERED and word[0].islower() and not (first.isdigit() or following is not None and following.start() == 0 and len(following[0]) <= 4 and following[0].isupper()):
+        return True
     if len(name) == 1 and name not in TRAILING or name in LEADING and name not in TRAILING:
         short = len(name) == 1 and word[0].isupper() and following is not None and len(following[0]) > 1 and starter(following[0].lower())
         return marked or short
