@@ -36,7 +36,7 @@ def precedent_chain(nodes: DataFrame, edges: DataFrame, case_id: str, max_depth:
     """
     spark = nodes.sparkSession
     case_nodes = nodes.filter(F.col("label") == "Case").select("id", "domain")
-    links = edges.filter(F.col("type").isin(*CITATION_EDGES)).select("source", "target", "type").join(case_nodes.select(F.col("id").alias("target")), "target", "left_semi")
+    links = checkpointed(edges.filter(F.col("type").isin(*CITATION_EDGES)).select("source", "target", "type").join(case_nodes.select(F.col("id").alias("target")), "target", "left_semi"))
     frontier = spark.createDataFrame([(case_id, "0", [case_id], 0)], "id string, place string, path array<string>, depth int")
     reached = frontier
     for depth in range(1, max_depth + 1):
@@ -62,7 +62,7 @@ def pagerank(ids: DataFrame, links: DataFrame, *, damping: float = 0.85, rounds:
     """
     ids = checkpointed(ids.select("id").distinct())
     links = links.select("source", "target").join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
-    links = links.distinct() if distinct else links
+    links = checkpointed(links.distinct() if distinct else links)
     degree = links.groupBy("source").agg(F.count(F.lit(1)).alias("degree"))
     links = checkpointed(links.join(degree, "source"))
     n = ids.count()
@@ -88,7 +88,7 @@ def most_cited(nodes: DataFrame, edges: DataFrame, k: int = 10, scope: str = "al
     """rank, id, kind, title, domain, cited_by, pagerank, citing_domains of the k most cited cases (and authorities, unless scope is
     in_corpus), by PageRank over distinct pairs or by in-degree; the other breaks ties, then the id."""
     keep = nodes.filter(F.col("label").isin(*(("Case",) if scope == "in_corpus" else ("Case", "Authority"))))
-    pairs = edges.filter(F.col("type").isin(*CITATION_EDGES)).select("source", "target").distinct().join(keep.select(F.col("id").alias("source")), "source", "left_semi").join(keep.select(F.col("id").alias("target")), "target", "left_semi")
+    pairs = checkpointed(edges.filter(F.col("type").isin(*CITATION_EDGES)).select("source", "target").distinct().join(keep.select(F.col("id").alias("source")), "source", "left_semi").join(keep.select(F.col("id").alias("target")), "target", "left_semi"))
     degree = pairs.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("cited_by"))
     domains = pairs.join(nodes.select(F.col("id").alias("source"), "domain"), "source").groupBy(F.col("target").alias("id"), "domain").agg(F.count(F.lit(1)).alias("n"))
     domains = domains.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("domain", "n"))), lambda x: F.concat_ws(":", x["domain"], x["n"].cast("string"))), " ").alias("citing_domains"))

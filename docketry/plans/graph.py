@@ -11,7 +11,7 @@ from docketry.operators import graph as g
 from docketry.operators.chunking import active_parts, annotated_pages, packed_units, page_contexts
 from docketry.operators.mentions import extract_mentions
 from docketry.plans import sql
-from docketry.sources.tables import table
+from docketry.sources.tables import checkpointed, table
 
 QUERY = "harbor pass statutory deadline notice of removal"
 ROUNDS = 3
@@ -52,7 +52,8 @@ def small_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.unionByName(cites.filter("scope = 'external'").select(F.col("target").alias("id"), F.lit("Authority").alias("label"), no("string").alias("title"), no("string").alias("display"), no("string").alias("domain")).distinct())
     statutes = laws.groupBy("canon_id").agg(F.min("kind").alias("kind"), F.min("display").alias("display")).select(F.col("canon_id").alias("id"), F.when(F.col("kind") == "regulation", "Regulation").otherwise("Statute").alias("label"), no("string").alias("title"), "display", no("string").alias("domain"))
     doctrines = other.select(F.col("target").alias("id"), F.lit("Doctrine").alias("label"), no("string").alias("title"), no("string").alias("display"), no("string").alias("domain")).distinct()
-    return nodes.unionByName(statutes).unionByName(doctrines), g.without_dangling(nodes.unionByName(statutes).unionByName(doctrines), edges)
+    nodes = checkpointed(nodes.unionByName(statutes).unionByName(doctrines))
+    return nodes, g.without_dangling(nodes, edges)
 
 
 def lead(spark: SparkSession, d: str) -> str:
