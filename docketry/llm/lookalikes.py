@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,15 +48,23 @@ def _tables() -> tuple[dict, dict, dict, dict]:
     return plain, proto, *to
 
 
+@cache
+def _changed() -> re.Pattern:
+    """Any character that has another plain form."""
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_tables()[0])) + "]")
+
+
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 _OWN = (re.compile(r"[Ѐ-ԯ]"), re.compile(r"[Ͱ-Ͽ]"))
-_LATIN_ONLY = re.compile(f"[a-zA-ZÀ-ɏ](?<![{LATIN}])")
+_EITHER = re.compile("[Ͱ-ԯ]")
+_SHAPERS = re.compile(f"[{JOINERS}{SELECTORS}]")
 # Joiners shape Arabic and Syriac letters and Indic signs, and bind emoji; selectors choose the look of a symbol.
 _IDLE_JOINER = re.compile("(?<![؀-޿ࢠ-ࣿऀ-෿က-႟←-⯿️\U0001f000-\U0001faff])[‌‍]+|[‌‍]+(?![؀-޿ࢠ-ࣿऀ-෿က-႟←-⯿\U0001f000-\U0001faff])")
 _IDLE_SELECTOR = re.compile("(?<![#*0-9©® -⯿〰〽㊗㊙\U0001f000-\U0001faff])[︎️]+")
 
 
-def token_scripts(token: str) -> set[str]:
+@lru_cache(maxsize=200_000)
+def token_scripts(token: str) -> frozenset[str]:
     """The scripts in which every letter of the token (in prototype spelling) exists: the resolved script set of the token
     and of all that looks like it. Empty: the token mixes scripts for good."""
     out = set()
@@ -65,7 +73,7 @@ def token_scripts(token: str) -> set[str]:
     for name, own, other, back in (("Cyrillic", *_OWN, _tables()[2]), ("Greek", _OWN[1], _OWN[0], _tables()[3])):
         if not other.search(token) and all(c in back or own.match(c) or unicodedata.combining(c) for c in token):
             out.add(name)
-    return out
+    return frozenset(out)
 
 
 def consistent(text: str) -> str:
@@ -77,29 +85,28 @@ def consistent(text: str) -> str:
     if none has, letters stay prototypes. Digits, case, marks, line breaks and the number of blanks are kept.
     """
     plain, proto, to_cyrillic, to_greek = _tables()
-    if text.isascii():
-        return text.replace("\t", " ").replace("\r\n", "\n").replace("\r", "\n") if "\t" in text or "\r" in text else text
-    s = unicodedata.normalize("NFD", text.replace("\r\n", "\n").translate(plain)).translate(plain)
-    if any(c in s for c in JOINERS):
-        s = _IDLE_JOINER.sub("", s)
-    if any(c in s for c in SELECTORS):
-        s = _IDLE_SELECTOR.sub("", s)
+    s = text.replace("\r\n", "\n") if "\r" in text else text
+    if _changed().search(s):
+        s = s.translate(plain)
+    if s.isascii():
+        return s
+    if _SHAPERS.search(s):
+        s = _IDLE_SELECTOR.sub("", _IDLE_JOINER.sub("", s))
+    if not _EITHER.search(s):
+        return unicodedata.normalize("NFC", s)
     s = unicodedata.normalize("NFD", s).translate(proto)
-    if any(p.search(s) for p in _OWN):
+    if _EITHER.search(s):
+        tokens = _TOKEN.findall(s)
         need = {"Latin": 0, "Cyrillic": 0, "Greek": 0}
-        sets: dict[str, set[str]] = {}
-        for m in _TOKEN.finditer(s):
-            t = m[0]
-            if t not in sets:
-                sets[t] = token_scripts(t)
-            if len(sets[t]) == 1:
-                need[next(iter(sets[t]))] += 1
+        for t in tokens:
+            if len(scripts := token_scripts(t)) == 1:
+                need[next(iter(scripts))] += 1
         back = {"Cyrillic": to_cyrillic, "Greek": to_greek}
 
         def spell(m: re.Match) -> str:
-            scripts = sets[m[0]]
-            best = max(sorted(scripts, reverse=True), key=lambda x: need[x], default="Latin")
-            return m[0] if best == "Latin" else "".join(back[best].get(c, c) for c in m[0])
+            scripts = token_scripts(m[0])
+            best = max(sorted(scripts, reverse=True), key=need.__getitem__) if len(scripts) > 1 else next(iter(scripts), "Latin")
+            return m[0] if best == "Latin" else "".join([back[best].get(c, c) for c in m[0]])
 
         s = _TOKEN.sub(spell, s)
     return unicodedata.normalize("NFC", s)
@@ -110,7 +117,7 @@ def _udf():
     def one_form(texts: pd.Series) -> pd.Series:
         return texts.map(consistent, na_action="ignore")
 
-    return one_form
+    return one_form.asNondeterministic()  # else a plan that uses the form twice computes it twice
 
 
 def consistent_form(c: Column) -> Column:

@@ -44,7 +44,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents whose texts look the same but aren't equal character by character."""
-    return alike(look_classes(table(spark, d, "documents")))
+    return alike(checkpointed(look_classes(table(spark, d, "documents"))))
 
 
 def p9_form(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p9_form(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row for each document with a visible character: the class of its look (the smallest id in it), and its own text's hash."""
-    rows = look_classes(table(spark, d, "documents"))
+    rows = checkpointed(look_classes(table(spark, d, "documents")))
     first = rows.groupBy("look").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_alike"))
     return rows.join(first, "look").select("doc_id", "class_id", "n_alike", F.hex("raw").alias("text_hash"))
 
