@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.citations import canon
 from docketry.operators.skew import salted
+from docketry.sources.tables import checkpointed
 
 #: Keys with at least this share of all references are hot: at most 100.
 HOT_SHARE = 0.01
@@ -20,9 +21,10 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
 
     The distinct references, with their first and last time, are left anti-joined against the parent keys: what a single
     parent covers over that whole time is settled there. Only rows of the rest are joined back and compared one by one,
-    with hot keys salted. Columns out are those of refs, equal rows once.
+    with hot keys salted. References and open keys, both narrow, are read more than once and so written to the checkpoint
+    folder. Columns out are those of refs, equal rows once.
     """
-    refs = refs.filter(F.col("ref").isNotNull() & F.col("at").isNotNull())
+    refs = checkpointed(refs.filter(F.col("ref").isNotNull() & F.col("at").isNotNull()))
     parents = parents.filter(F.col("ref").isNotNull() & F.col("born").isNotNull())
     # Of parents that never go, the first alone counts; thus one key with many parents doesn't become a large group.
     forever = parents.filter(F.col("gone").isNull()).groupBy("ref").agg(F.min("born").alias("born"), F.max("gone").alias("gone"))
@@ -30,14 +32,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     held = lambda a, b: (F.col("born") <= a) & (F.col("gone").isNull() | (b < F.col("gone")))
     keys = refs.groupBy("ref").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n"))
     bare = parents.withColumnRenamed("ref", "p_ref")
-    open_keys = keys.join(bare, (F.col("ref") == F.col("p_ref")) & held(F.col("first_at"), F.col("last_at")), "left_anti")
+    open_keys = checkpointed(keys.join(bare, (F.col("ref") == F.col("p_ref")) & held(F.col("first_at"), F.col("last_at")), "left_anti").select("ref", "n"))
     total = refs.select(F.count(F.lit(1))).scalar()
     hot = open_keys.filter(F.col("n") >= total * F.lit(HOT_SHARE)).select("ref")
     rows, wanted = salted(refs, open_keys.select("ref"), hot, "ref", F.col("row_key"))
     rows = rows.join(wanted, ["ref", "salt"], "left_semi")
-    rows_by, by = rows, parents.join(open_keys.select("ref"), "ref", "left_semi")
-    by = salted(rows_by.drop("salt"), by, hot, "ref", F.col("row_key"))[1].withColumnsRenamed({"ref": "p_ref", "salt": "p_salt"})
-    out = rows_by.join(by, (F.col("ref") == F.col("p_ref")) & (F.col("salt") == F.col("p_salt")) & held(F.col("at"), F.col("at")), "left_anti")
+    by = salted(rows.drop("salt"), parents.join(open_keys.select("ref"), "ref", "left_semi"), hot, "ref", F.col("row_key"))[1].withColumnsRenamed({"ref": "p_ref", "salt": "p_salt"})
+    out = rows.join(by, (F.col("ref") == F.col("p_ref")) & (F.col("salt") == F.col("p_salt")) & held(F.col("at"), F.col("at")), "left_anti")
     return out.select("tbl", "field", "row_key", "ref", "at").distinct()
 
 
