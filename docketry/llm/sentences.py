@@ -29,6 +29,8 @@ TRAILING = set(
     "jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun "
     "uu ee.uu etcétera ej a m h min ex d др т.д т.п пр г гг в вв руб коп тыс млн млрд сл след б.м д п κ.λπ κλπ κ.ά μ.μ π.μ μ.χ π.χ".split()
 )
+# Those that end a sentence even if the blank behind them was lost.
+MAY_LOSE_BLANK = set("etc a.m p.m inc ltd llc esq jr usw suiv ff т.д т.п руб коп г".split())
 # Abbreviations that are words as well; they count as such only before a number, or capitals that may be one.
 NUMBERED = set("no nos art arts fig figs par sec col cap lit app pt ch".split())
 # German words before an ordinal number, and Chinese words that take up a sentence after a quotation.
@@ -243,9 +245,12 @@ def self_standing_stop(s, start, a, e, after, gap, marked, abbreviated, starter)
     word = _WORD_BEFORE.search(s, max(start, a - 40), a)
     name = word[0].lower() if word else ""
     if not gap and not marked and e == a + 1:
-        # Without a blank: only where a word ends and another begins.
-        if word is None or abbreviated(name) or "." in name:
-            return False
+        # Without a blank: only where a word, a number or a bracket ends and a word in a capital begins.
+        capital = following is not None and following.start() == 0 and following[0][0].isupper() and following[0][1:2].islower()
+        if word is None:
+            return capital and a > start and (s[a - 1].isdigit() or s[a - 1] in ")]%")
+        if abbreviated(name) or "." in name:
+            return capital and name in MAY_LOSE_BLANK
         if _CASED.match(word[0][-1]):
             begins = following is not None and following.start() == 0 and (following[0][0].isupper() and (len(following[0]) > 1 or head[1:2].isspace()) or len(following[0]) > 1 and following[0][1].isupper())
             return len(name) > 2 and word[0][-1].islower() and (begins or opened is not None and following is not None or first.isdigit() and len(name) > 3)
