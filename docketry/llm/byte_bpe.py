@@ -15,8 +15,8 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that splits a text before any merge.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct pre-tokens of which one worker keeps the ids.
-REMEMBERED = 200_000
+#: Distinct pre-tokens of which one worker keeps the ids, and the length of those that it does.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -93,7 +93,10 @@ class Codec:
             if len(known) > REMEMBERED:
                 known.clear()
                 new = list(dict.fromkeys(tokens))
-            known.update(zip(new, self.model.encode([t.encode().decode("latin-1").translate(self.table) for t in new], num_threads=1), strict=True))
+            made = dict(zip(new, self.model.encode([t.encode().decode("latin-1").translate(self.table) for t in new], num_threads=1), strict=True))
+            ids = [i for t in tokens for i in (made[t] if t in made else known[t])]
+            known.update((t, i) for t, i in made.items() if len(t) <= LONGEST_REMEMBERED)
+            return ids
         return [i for t in tokens for i in known[t]]
 
     def decode(self, ids: list[int]) -> str:

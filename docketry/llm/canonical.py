@@ -30,7 +30,7 @@ EMPTY_WORDS = {"the", "of", "and", "series"}
 CASE_SCHEMES = ("in_dec", "us", "sct", "f3d", "f4th", "fsupp3d")
 
 _NAMED = re.compile(r"^\s*(?:matter\s+of\s+\w+|in\s+re\s+\w+|[^\W\d]+(?:\s+[^\W\d]+){0,4}\s+vs?\.\s+[^\W\d]+(?:\s+[^\W\d]+){0,4})\s*,", re.IGNORECASE)
-_BRACKETS = re.compile(r"\s*\([^()]*\)")
+_BRACKETS = re.compile(r" ?\([^()]*\)")
 _DECIMALS = re.compile(r"(?<=\d)\.\d+")
 _LEXEMES = re.compile(r"(?P<order>(?<![0-9])[234](?:d|th)(?![a-z0-9]))|(?P<number>(?:(?<![a-z])[lo])?[0-9][0-9lo]*(?:[a-e](?![a-z0-9&+]))?)|(?P<word>§+|[^\W\d_]+)")
 _DIGITS = str.maketrans("lo", "10")
@@ -43,7 +43,7 @@ def read_citation(value: str) -> tuple[list[str], str | None, str | None, bool]:
     Case, width, accents, punctuation and blanks count for nothing; single letters in a row are one word; what stands in brackets or
     behind a number's point (subsections) is dropped; l and o between digits are digits.
     """
-    s = unicodedata.normalize("NFKC", value).lower()
+    s = " ".join(unicodedata.normalize("NFKC", value).lower().split())
     named = _NAMED.match(s)
     if named:
         s = s[named.end() :]
@@ -103,8 +103,8 @@ def deletes(c: Column, most: Column) -> Column:
 
 
 def edits_allowed(length: Column) -> Column:
-    """Edits by which a word of this length may be missed: none below 5 letters, one below 9, else two."""
-    return F.when(length < 5, 0).when(length < 9, 1).otherwise(2)
+    """Edits by which a word of this length may be missed: none below 5 letters or above 64, one below 9, else two."""
+    return F.when((length < 5) | (length > 64), 0).when(length < 9, 1).otherwise(2)
 
 
 def edits(a: Column, b: Column) -> Column:

@@ -106,33 +106,48 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return [*out, (at, len(text))]
 
 
+_CLOSING: dict[str, str] = {}
+for _opening, _closings in PAIRS.items():
+    for _c in _closings:
+        _CLOSING[_c] = _CLOSING.get(_c, "") + _opening
+_SIGNS = re.compile("[\"'" + re.escape("".join({*PAIRS, *_CLOSING})) + "]")
+_SINGLE_END = re.compile(r"[,.!?…]'(?!\w)")
+_NOT_BLANK = re.compile(r"\S")
+#: How far what follows a stop is looked at.
+AHEAD = 160
+
+
 def _enclosures(s: str) -> list[tuple[int, int]]:
-    """Spans (opening sign, closing sign) of outermost quotations and brackets that are closed."""
-    out, i, n = [], 0, len(s)
-    while i < n:
-        c = s[i]
-        end = -1
+    """Spans (opening sign, closing sign) of outermost quotations and brackets that are closed. One pass, whatever is left open."""
+    open_at: dict[str, list[int]] = {}
+    pairs: list[tuple[int, int]] = []
+    no_single, single_until = False, -1
+    for m in _SIGNS.finditer(s):
+        c, i = m[0], m.start()
+        if c == "'":
+            if i > single_until and not no_single and (i == 0 or s[i - 1].isspace() or s[i - 1] in "([“") and s[i + 1 : i + 2].isalnum():
+                end = _SINGLE_END.search(s, i + 1)
+                no_single = end is None
+                if end:
+                    single_until = end.end() - 1
+                    pairs.append((i, single_until))
+            continue
         if c == '"':
-            end = s.find('"', i + 1)
-        elif c == "'":
-            if (i == 0 or s[i - 1].isspace() or s[i - 1] in "([“") and i + 1 < n and s[i + 1].isalnum():
-                m = re.compile(r"[,.!?…]'(?!\w)").search(s, i + 1)
-                end = m.end() - 1 if m else -1
+            stack = open_at.setdefault(c, [])
+            if stack:
+                pairs.append((stack.pop(), i))
+            else:
+                stack.append(i)
+            continue
+        ready = [o for o in _CLOSING.get(c, "") if open_at.get(o)]
+        if ready:
+            pairs.append((open_at[max(ready, key=lambda o: open_at[o][-1])].pop(), i))
         elif c in PAIRS and not (c == "»" and (i == 0 or not s[i - 1].isspace())):
-            depth, closing = 0, PAIRS[c]
-            for j in range(i + 1, n):
-                if s[j] in closing:
-                    if depth == 0:
-                        end = j
-                        break
-                    depth -= 1
-                elif s[j] == c:
-                    depth += 1
-        if end > i:
-            out.append((i, end))
-            i = end + 1
-        else:
-            i += 1
+            open_at.setdefault(c, []).append(i)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(pairs):
+        if not out or a > out[-1][1]:
+            out.append((a, b))
     return out
 
 
@@ -193,17 +208,15 @@ def split_sentences(text: str | None, facts: dict[str, int] | None = None) -> li
             while (n := _MARKER.match(s, tail)) is not None:
                 tail = n.end()
             marked = tail > e
-            rest = s[tail:]
-            after = rest.lstrip()
-            if not after:
-                e = tail
-                add(base + start, base + e)
-                start = e
+            ahead = _NOT_BLANK.search(s, tail)
+            if not ahead:
+                add(base + start, base + tail)
+                start = tail
                 continue
-            gap = len(after) < len(rest)
+            after = s[ahead.start() : ahead.start() + AHEAD]
+            gap = ahead.start() > tail
             first, second = after[0], after[1:2]
-            began = s[start:].lstrip()
-            at_start = inside is not None and inside[0] == start + len(s[start:]) - len(began)
+            at_start = inside is not None and inside[0] == _NOT_BLANK.search(s, start).start()
             if inside and s[inside[0]] in BRACKETS:
                 if not at_start:
                     continue

@@ -112,3 +112,16 @@ def test_spans_column(spark, rows):
     df = spark.createDataFrame([("a", "One. Two."), ("a", "One. Two."), ("b", None), ("c", ""), (None, "Null key. Yes.")], "turn_id string, text string")
     assert rows(sentence_spans(df, ["turn_id"])) == sorted([("a", 0, 4), ("a", 5, 9), (None, 0, 9), (None, 10, 14)], key=repr)
     assert sentence_spans(df.limit(0), ["turn_id"]).count() == 0
+
+
+def test_very_long_texts_take_little_time():
+    import time
+
+    from docketry.llm.canonical import read_citation
+    from docketry.llm.lookalikes import consistent
+
+    for text in ("The panel, cf. Art. 4, said \"no. never\" [1]. " * 8000, "( « “ \"x\" '" * 20_000, "." * 100_000, "a" * 200_000, "\n" * 100_000 + "x", "（別紙。）委員は「いい。」と。" * 10_000, "слово о праве " * 15_000):
+        for f in (split_sentences, consistent, read_citation, lambda t: balanced_cuts(t, boundaries([t]), 6000, 400)):
+            began = time.time()
+            f(text)
+            assert time.time() - began < 10
