@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 #: Lengths are fitted in this many steps of the capacity, and patterns have up to this many items.
 STEPS, DEPTH = 512, 3
-#: Groups into which the items of one length are split to number them. One length may be that of a third of all items.
-RANK_SALTS = 64
+#: Items of one length are numbered in groups of about this many. One length may be that of a third of all items.
+RANK_GROUP = 500_000
 
 
 def patterns(steps: int, depth: int) -> list[tuple[int, ...]]:
@@ -163,19 +163,21 @@ def pieces(rows: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_t
     return out.select(F.col(key), "piece_no", start.alias("start_token"), F.least(F.col("size") - start, F.lit(capacity)).alias("n_tokens"))
 
 
-def ranked(items: DataFrame, length: str, *order: str) -> DataFrame:
+def ranked(items: DataFrame, length: str, histogram: dict[int, int], *order: str, group: int = RANK_GROUP) -> DataFrame:
     """`items` with `rank`, a number from 0 on without gaps among the items of equal length.
 
-    The items of a length are numbered in salted groups; the groups' counts (at most lengths times salts, a bound that doesn't
-    grow with the data) are summed up and broadcast as offsets.
+    The items of a length are numbered in as many groups as its count asks for. How many groups each length has, and the ranks
+    at which they begin, are broadcast: a row for each length and for each `group` items, so a hundred thousand rows for
+    fifty thousand million items.
     """
-    salt = F.pmod(F.xxhash64(*order), F.lit(RANK_SALTS)).alias("salt")
-    items = items.select("*", salt)
-    sizes = items.groupBy(length, "salt").agg(F.count(F.lit(1)).alias("in_group"))
-    before = F.coalesce(F.sum("in_group").over(Window.partitionBy(length).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(length, "salt", before.alias("offset"))
-    local = F.row_number().over(Window.partitionBy(length, "salt").orderBy(*order)) - 1
-    return items.withColumn("rank", local).join(F.broadcast(offsets), [length, "salt"]).withColumn("rank", F.col("rank") + F.col("offset")).drop("salt", "offset")
+    spark = items.sparkSession
+    groups = spark.createDataFrame([(n, 1 + c // group) for n, c in histogram.items()], T.StructType([T.StructField(length, T.IntegerType()), T.StructField("n_groups", T.LongType())]))
+    items = items.join(F.broadcast(groups), length).withColumn("part", F.pmod(F.xxhash64(*order), F.col("n_groups"))).drop("n_groups")
+    sizes = items.groupBy(length, "part").agg(F.count(F.lit(1)).alias("in_group"))
+    before = F.coalesce(F.sum("in_group").over(Window.partitionBy(length).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(length, "part", before.alias("offset"))
+    local = F.row_number().over(Window.partitionBy(length, "part").orderBy(*order)) - 1
+    return items.withColumn("rank", local).join(F.broadcast(offsets), [length, "part"]).withColumn("rank", F.col("rank") + F.col("offset")).drop("part", "offset")
 
 
 def pack(items: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
@@ -189,7 +191,7 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     sized = items.filter(F.col("n_tokens") > 0)
     histogram = {r[0]: r[1] for r in sized.groupBy("n_tokens").count().collect()}
     where = spark.createDataFrame(slots(plan(histogram, capacity)), T.StructType([T.StructField("n_tokens", T.IntegerType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("containers", T.ArrayType(T.LongType()))]))
-    placed = ranked(sized, "n_tokens", key, "piece_no").join(F.broadcast(where), "n_tokens")
+    placed = ranked(sized, "n_tokens", histogram, key, "piece_no").join(F.broadcast(where), "n_tokens")
     run = F.size(F.filter("starts", lambda s: s <= F.col("rank")))
     container = F.element_at("containers", run) + F.col("rank") - F.element_at("starts", run)
     columns: list[Column] = [F.col(c) for c in items.columns]

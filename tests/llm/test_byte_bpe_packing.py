@@ -108,6 +108,7 @@ def test_pack(spark):
 def test_ranks_have_no_gaps(spark):
     df = spark.createDataFrame([(i, 7 if i % 3 else i % 5, 0) for i in range(500)], "doc_id int, n int, piece_no int")
     by: dict = {}
-    for r in packing.ranked(df, "n", "doc_id", "piece_no").collect():
+    counts = {r[0]: r[1] for r in df.groupBy("n").count().collect()}
+    for r in packing.ranked(df, "n", counts, "doc_id", "piece_no", group=50).collect():
         by.setdefault(r["n"], []).append(r["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == 500
