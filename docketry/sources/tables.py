@@ -15,10 +15,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df`, computed once and read again from the shared checkpoint folder.
 
-    The cluster names the folder in spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary
-    folder is used. A plain localCheckpoint would be lost with its executor, so it is never used.
+    The cluster names the folder in spark.checkpoint.dir. Only where that is unset on one machine (tests) a temporary
+    folder is used; on a cluster its absence is an error. A plain localCheckpoint would be lost with its executor, so it is
+    never used.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docketry-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docketry-checkpoint-"))
     return df.checkpoint()
