@@ -136,7 +136,7 @@ def read_pages(raw: list[tuple[int, str | None]], marked: list[tuple[int, str |
         seen.update({f for _, f, _ in edge[p].values()})
     out = []
     for k, (p, _) in enumerate(pages):
-        first = is_start and k == 0
+        first = p == 1 or is_start and k == 0
         page = Page(p, [], first, headings.get(p, set()), pageno=bool(numbers[p]))
         drop = set(numbers[p])
         for i, (line, folded, numbered) in edge[p].items():
