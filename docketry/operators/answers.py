@@ -205,3 +205,11 @@ def salvaged(drafts: DataFrame, citations: DataFrame, problems: DataFrame) -> Da
 
     made = kept.withColumn("r", renumber("sentences")).select("draft_id", "r.*").join(drafts.select("draft_id", "citations"), "draft_id")
     return made.select("draft_id", "answer", F.array_join(F.transform("used", lambda n: F.element_at("citations", n)["case"]), "; ").alias("cases"))
+
+
+def cited_cases(drafts: DataFrame, citations: DataFrame) -> DataFrame:
+    """draft_id, cited: the cases of verified citations that the answer refers to by a marker, each once, in order of citation."""
+    used = drafts.select("draft_id", F.explode(markers(F.col("answer"))).alias("marker"))
+    hits = citations.filter((F.col("tier") == VERIFIED) & F.col("case_id").isNotNull()).join(used, ["draft_id", "marker"])
+    first = hits.groupBy("draft_id", "case_id").agg(F.min("marker").alias("marker"))
+    return first.groupBy("draft_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("marker", "case_id"))), lambda x: x["case_id"]).alias("cited"))
