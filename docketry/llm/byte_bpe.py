@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
+from collections import ChainMap
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pre-tokens of which one worker keeps the ids, and the length of those that it does.
 REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
+#: Texts that are split before their new pre-tokens go to the model together.
+BATCH = 256
 
 
 def byte_letters() -> list[str]:
@@ -82,22 +89,37 @@ class Codec:
         self.bytes = {c: b for b, c in enumerate(self.letters)}
         self.known: dict[str, list[int]] = {}
 
+    def _split_known(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, list[int]]]:
+        """The pre-tokens of each text, and the ids of at least all of them. New ones go to the model in one call."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        tokens = [self.split(t) if t else [] for t in texts]
+        new = [t for t in dict.fromkeys(chain.from_iterable(tokens)) if t not in self.known]
+        if not new:
+            return tokens, self.known
+        made = dict(zip(new, self.model.encode([t.encode().decode("latin-1").translate(self.table) for t in new], num_threads=1), strict=True))
+        self.known.update((t, i) for t, i in made.items() if len(t) <= LONGEST_REMEMBERED)
+        return tokens, ChainMap(made, self.known) if any(len(t) > LONGEST_REMEMBERED for t in new) else self.known
+
     def encode(self, text: str | None) -> list[int]:
         """The ids of the whole text; strings of special tokens are ordinary text. Empty for an empty and for a null text."""
-        if not text:
-            return []
-        tokens = self.split(text)
-        known = self.known
-        new = [t for t in dict.fromkeys(tokens) if t not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(tokens))
-            made = dict(zip(new, self.model.encode([t.encode().decode("latin-1").translate(self.table) for t in new], num_threads=1), strict=True))
-            ids = [i for t in tokens for i in (made[t] if t in made else known[t])]
-            known.update((t, i) for t, i in made.items() if len(t) <= LONGEST_REMEMBERED)
-            return ids
-        return [i for t in tokens for i in known[t]]
+        tokens, ids = self._split_known([text])
+        return [i for t in tokens[0] for i in ids[t]]
+
+    def encode_all(self, texts: list[str | None]) -> tuple[array, array]:
+        """The ids of all texts in a row, and where each text's begin (and the last one's end)."""
+        flat, offsets = array("i"), array("i", [0])
+        tokens, ids = self._split_known(texts)
+        for own in tokens:
+            for t in own:
+                flat.extend(ids[t])
+            offsets.append(len(flat))
+        return flat, offsets
+
+    def count_all(self, texts: list[str | None]) -> list[int]:
+        """The number of ids of each text."""
+        tokens, ids = self._split_known(texts)
+        return [sum(map(len, map(ids.__getitem__, own))) for own in tokens]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; bytes that are no text (of part of a character) become U+FFFD."""
@@ -131,9 +153,13 @@ def token_ids(spark: SparkSession, c: Column, directory: str = TOKENIZERS, name:
     """The ids of a text column as array<int>."""
     shared = _Shared(spark, directory, name)
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(_codec(shared).encode)
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        codec, rows, parts = _codec(shared), texts.to_pylist(), []
+        for i in range(0, len(rows), BATCH):
+            flat, offsets = codec.encode_all(rows[i : i + BATCH])
+            parts.append(pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), pa.array(np.frombuffer(flat, np.int32))))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode(c)
 
@@ -142,10 +168,10 @@ def token_count(spark: SparkSession, c: Column, directory: str = TOKENIZERS, nam
     """The number of ids of a text column; 0 for an empty and for a null text."""
     shared = _Shared(spark, directory, name)
 
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
-        codec = _codec(shared)
-        return texts.map(lambda t: len(codec.encode(t)))
+    @F.arrow_udf("int")
+    def count(texts: pa.Array) -> pa.Array:
+        codec, rows = _codec(shared), texts.to_pylist()
+        return pa.array([n for i in range(0, len(rows), BATCH) for n in codec.count_all(rows[i : i + BATCH])], pa.int32())
 
     return count(c)
 
