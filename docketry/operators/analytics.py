@@ -97,7 +97,7 @@ def most_cited(nodes: DataFrame, edges: DataFrame, k: int = 10, scope: str = "al
     first, second = ("pagerank", "cited_by") if method == "pagerank" else ("cited_by", "pagerank")
     order = [F.desc(F.round(F.col(first), 12)), F.desc(F.round(F.col(second), 12)), F.col("id")]
     top = rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return top.join(domains, "id").join(nodes.select("id", "label", "title", "domain"), "id").select("rank", "id", F.col("label").alias("kind"), "title", "domain", "cited_by", F.round("pagerank", 6).alias("pagerank"), "citing_domains")
+    return top.join(domains, "id").join(nodes.select("id", "label", "title", "domain"), "id").select("rank", "id", F.col("label").alias("kind"), "title", "domain", "cited_by", F.round("pagerank", 6).alias("pagerank"), "citing_domains").orderBy("rank")
 
 
 def statute_frequency(nodes: DataFrame, edges: DataFrame, k: int = 10, domain: str | None = None) -> DataFrame:
@@ -107,7 +107,7 @@ def statute_frequency(nodes: DataFrame, edges: DataFrame, k: int = 10, domain: s
         rows = rows.join(nodes.filter(F.col("domain") == domain).select(F.col("id").alias("source")), "source", "left_semi")
     order = [F.desc("cases"), F.desc("mentions"), F.col("id")]
     top = rows.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("cases"), F.sum(F.coalesce("count", F.lit(1))).alias("mentions")).orderBy(*order).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).join(nodes.select("id", "display", "label"), "id").select("rank", "id", "display", F.col("label").alias("kind"), "cases", "mentions")
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).join(nodes.select("id", "display", "label"), "id").select("rank", "id", "display", F.col("label").alias("kind"), "cases", "mentions").orderBy("rank")
 
 
 def doctrine_influence(nodes: DataFrame, edges: DataFrame, k: int = 10, rounds: int = 100) -> DataFrame:
@@ -118,7 +118,7 @@ def doctrine_influence(nodes: DataFrame, edges: DataFrame, k: int = 10, rounds:
     uses = edges.filter(F.col("type") == "INVOKES_DOCTRINE")
     rows = uses.join(ranks, "source", "left").groupBy(F.col("target").alias("id")).agg(F.count_distinct("source").alias("cases"), F.sum(F.coalesce("weight", F.lit(0.0))).alias("influence"), F.avg("confidence").alias("mean_confidence"))
     order = [F.desc("cases"), F.desc("influence"), F.col("id")]
-    return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "id", "cases", F.round("influence", 6).alias("influence"), F.round("mean_confidence", 3).alias("mean_confidence"))
+    return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "id", "cases", F.round("influence", 6).alias("influence"), F.round("mean_confidence", 3).alias("mean_confidence")).orderBy("rank")
 
 
 def cross_corpus_bridges(nodes: DataFrame, edges: DataFrame, k: int = 20) -> DataFrame:
@@ -129,4 +129,4 @@ def cross_corpus_bridges(nodes: DataFrame, edges: DataFrame, k: int = 20) -> Dat
     totals = by.agg(F.sum("citing").alias("pairs"), F.count(F.lit(1)).alias("bridged"))
     order = [F.desc("citing"), F.col("id")]
     top = by.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return top.join(nodes.select("id", "title"), "id", "left").select("rank", "id", "title", "citing", totals.select("pairs").scalar().alias("unique_pairs"), totals.select("bridged").scalar().alias("bridged"))
+    return top.join(nodes.select("id", "title"), "id", "left").select("rank", "id", "title", "citing", totals.select("pairs").scalar().alias("unique_pairs"), totals.select("bridged").scalar().alias("bridged")).orderBy("rank")

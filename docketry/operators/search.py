@@ -55,7 +55,7 @@ def search_pages(pages: DataFrame, known: DataFrame, query: str, case_id: str |
     order = Window.orderBy(F.desc("score"), "case_id", "page")
     titles = known.select(F.col("id").alias("case_id"), "title")
     terms = [r[0] for r in query_terms(pages, query).collect()]  # the query's own words
-    return top.withColumn("rank", F.row_number().over(order)).join(pages, ["case_id", "page"]).join(titles, "case_id", "left").select("rank", "case_id", "page", F.round("score", 3).alias("score"), "title", snippet(F.col("text"), terms, 400).alias("snippet"))
+    return top.withColumn("rank", F.row_number().over(order)).join(pages, ["case_id", "page"]).join(titles, "case_id", "left").select("rank", "case_id", "page", F.round("score", 3).alias("score"), "title", snippet(F.col("text"), terms, 400).alias("snippet")).orderBy("rank")
 
 
 def resolve(refs: DataFrame, known: DataFrame, ref: str = "ref") -> DataFrame:
