@@ -253,7 +253,7 @@ def turn_aggregate(turns: DataFrame, input_price: float, output_price: float) ->
     counts, cost per turn (null where counts are missing). One aggregation over grouping sets."""
     cost = (F.col("input_tokens") * input_price + F.col("output_tokens") * output_price) / 1e6
     grouped = turns.groupingSets([["system"], ["system", "status"]], "system", "status").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_s"), 3).alias("latency_mean"), F.round(F.percentile("latency_s", F.lit(0.5)), 3).alias("latency_p50"), F.max("latency_s").alias("latency_max"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_s"), 6).alias("latency_mean"), F.round(F.percentile("latency_s", F.lit(0.5)), 6).alias("latency_p50"), F.max("latency_s").alias("latency_max"),
         F.sum("model_calls").alias("model_calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count_if(F.col("input_tokens").isNull()).alias("input_missing"),
         F.round(F.avg(cost), 6).alias("cost"), F.grouping("status").alias("g"),
     )

@@ -218,7 +218,7 @@ s AS (SELECT unit_id, pred_id, gold_id, 0.8::DOUBLE * CASE WHEN shared > 0 THEN
 n AS (SELECT (SELECT count(*) FROM a JOIN b USING (source, target)) AS tp, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb)
 SELECT 'CITES' AS type, tp, na - tp AS fp, nb - tp AS fn, round(tp / na, 4) AS p, round(tp / nb, 4) AS r, round(CASE WHEN tp > 0 THEN 2 * (tp / na) * (tp / nb) / (tp / na + tp / nb) ELSE 0 END, 4) AS f1 FROM n""",
     "m12_turns": f"""WITH {_T}, c AS (SELECT *, (input_tokens * 0.0214::DOUBLE + output_tokens * 0.5::DOUBLE) / 1e6 AS cost FROM t)
-SELECT system, CASE WHEN grouping(status) = 1 THEN '(all)' ELSE coalesce(status, '') END AS status, count(*) AS n, round(avg(latency_s), 3) AS latency_mean, round(quantile_cont(latency_s, 0.5), 3) AS latency_p50, max(latency_s) AS latency_max, sum(model_calls)::BIGINT AS model_calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) - count(input_tokens) AS input_missing, CASE WHEN count(*) = count(input_tokens) THEN round(avg(cost), 6) END AS cost
+SELECT system, CASE WHEN grouping(status) = 1 THEN '(all)' ELSE coalesce(status, '') END AS status, count(*) AS n, round(avg(latency_s), 6) AS latency_mean, round(quantile_cont(latency_s, 0.5), 6) AS latency_p50, max(latency_s) AS latency_max, sum(model_calls)::BIGINT AS model_calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) - count(input_tokens) AS input_missing, CASE WHEN count(*) = count(input_tokens) THEN round(avg(cost), 6) END AS cost
 FROM c GROUP BY GROUPING SETS ((system), (system, status))""",
     "e4_ids": """WITH g AS (SELECT DISTINCT case_id, part_name, seg_id FROM segments WHERE start_page = end_page), b AS (SELECT seg_id, case_id || ':' || part_name || ':part' AS base, row_number() OVER (PARTITION BY case_id, part_name ORDER BY seg_id) AS n FROM g) SELECT seg_id, CASE WHEN n > 1 THEN base || '_' || n ELSE base END AS id FROM b""",
     "t1_quota": """WITH w AS (SELECT event_id, ts, count(*) OVER m AS used_minute, count(*) OVER h AS used_hour, count(*) OVER d AS used_day, min(ts) OVER h AS first_hour FROM events

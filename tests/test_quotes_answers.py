@@ -5,6 +5,7 @@ import time
 import pytest
 
 from docketry.operators import answers, quotes
+from docketry.sources.tables import checkpointed
 
 PAGES = [("c", 1, "The Board held that a hyphen-\nated word “counts” here. A sentence that goes"), ("c", 2, "over the page end is found too. But the rest is else."), ("c", 3, "Short phrase. The last page of all speaks of harbors."), ("d", 1, None)]
 
@@ -75,8 +76,8 @@ DRAFT = "draft_id string, answer string, citations array<struct<case: string, qu
 
 def kinds(spark, pages, known, answer, citations, external=None):
     d = spark.createDataFrame([("x", answer, citations)], DRAFT)
-    c = answers.verified_citations(d, known, pages, external).cache()
-    p = answers.answer_problems(d, c, pages).cache()
+    c = checkpointed(answers.verified_citations(d, known, pages, external))
+    p = checkpointed(answers.answer_problems(d, c, pages))
     return answers.answer_reports(d, c, p).first(), answers.salvaged(d, c, p).first()
 
 
