@@ -15,6 +15,11 @@ LATIN = "aceijopsxy" "ABCEHIJKMNOPSTXYZ" "hdqwl"
 CYRILLIC = "асеіјорѕху" "АВСЕНІЈКМ.ОРЅТХ.." "һԁԛԝӏ"
 GREEK = "....ϳο...." "ΑΒ.ΕΗΙͿΚΜΝΟΡ.ΤΧΥΖ" "....."
 
+# Arabic letters that look alike only at some places of a word, at the same place of each line: kaf and keheh
+# and the two yehs before a letter that joins to them; the yehs without dots, where none follows.
+ARABIC_JOINED, ARABIC_FREE = "\u0643\u064a", "\u0649"
+PERSIAN_JOINED, PERSIAN_FREE = "\u06a9\u06cc", "\u06cc"
+
 # Invisible characters. The two joiners and the variation selectors count only where they change the look.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩ㅤ﻿ﾠ"
 JOINERS = "‌‍"
@@ -62,6 +67,31 @@ _SHAPERS = re.compile(f"[{JOINERS}{SELECTORS}]")
 _IDLE_JOINER = re.compile("(?<![؀-޿ࢠ-ࣿऀ-෿က-႟←-⯿️\U0001f000-\U0001faff])[‌‍]+|[‌‍]+(?![؀-޿ࢠ-ࣿऀ-෿က-႟←-⯿\U0001f000-\U0001faff])")
 _IDLE_SELECTOR = re.compile("(?<![#*0-9©® -⯿〰〽㊗㊙\U0001f000-\U0001faff])[︎️]+")
 
+_PERSIAN_LETTERS = "\u0679\u067e\u0686\u0688\u0691\u0698\u06af\u06ba\u06be\u06c1\u06d2"
+_PERSIAN = re.compile(f"[{PERSIAN_JOINED}{_PERSIAN_LETTERS}]")
+# Arabic letters join to the one before, but for the hamza alone and few others; a tatweel and a joiner act as a letter, marks don't count.
+_MARKS = "[\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e4\u06e7\u06e8\u06ea-\u06ed\u08ca-\u08ff\u0300-\u036f]*"
+_JOINS = _MARKS + "(?:[\u0620\u0622-\u064a\u066e\u066f\u0671-\u0673\u0675-\u06d3\u06d5\u06ee\u06ef\u06fa-\u06fc\u06ff\u0750-\u077f\u0870-\u0882\u0886\u0889-\u088e\u08a0-\u08ac\u08ae-\u08c8]|\u200d)"
+_HAMZA = _MARKS + "[\u0654\u0655]"  # takes the dots of one yeh and not of the other
+_JOINED = {script: re.compile(f"[{letters}](?={_JOINS})(?!{_HAMZA})") for script, letters in (("Arabic", ARABIC_JOINED), ("Persian", PERSIAN_JOINED))}
+_FREE = {script: re.compile(f"{letter}(?!{_JOINS})(?!{_HAMZA})") for script, letter in (("Arabic", ARABIC_FREE), ("Persian", PERSIAN_FREE))}
+# What only one of the two ways to write has, whatever its look-alikes are.
+_ARABIC_ONLY = re.compile(f"\u0629|[{ARABIC_JOINED}](?!{_JOINS})")
+_PERSIAN_ONLY = re.compile(f"[{_PERSIAN_LETTERS}]|\u06a9(?!{_JOINS})")
+
+
+def _arabic_form(s: str) -> str:
+    """The composed text with Arabic letters that look the same where they stand as one: the Arabic ones, or the Persian ones
+    in a text with more letters that only Persian or Urdu has than such that only Arabic has."""
+    if not _PERSIAN.search(s):
+        return s
+    s = _JOINED["Persian"].sub(lambda m: ARABIC_JOINED[PERSIAN_JOINED.index(m[0])], s)
+    s = _FREE["Persian"].sub(ARABIC_FREE, s)
+    if len(_PERSIAN_ONLY.findall(s)) > len(_ARABIC_ONLY.findall(s)):
+        s = _JOINED["Arabic"].sub(lambda m: PERSIAN_JOINED[ARABIC_JOINED.index(m[0])], s)
+        s = _FREE["Arabic"].sub(PERSIAN_FREE, s)
+    return s
+
 
 @lru_cache(maxsize=200_000)
 def token_scripts(token: str) -> frozenset[str]:
@@ -82,7 +112,8 @@ def consistent(text: str) -> str:
 
     Words are compared in prototype spelling, so the outcome depends on the look alone. A word is spelled in the only script
     that has all its letters; if several have (whole-script look-alikes), in the one that most other words of the text need;
-    if none has, letters stay prototypes. Digits, case, marks, line breaks and the number of blanks are kept.
+    if none has, letters stay prototypes. Arabic letters that look alike only before a letter that joins to them, or only where
+    none follows, are compared there. Digits, case, marks, line breaks and the number of blanks are kept.
     """
     plain, proto, to_cyrillic, to_greek = _tables()
     s = text.replace("\r\n", "\n") if "\r" in text else text
@@ -93,7 +124,7 @@ def consistent(text: str) -> str:
     if _SHAPERS.search(s):
         s = _IDLE_SELECTOR.sub("", _IDLE_JOINER.sub("", s))
     if not _EITHER.search(s):
-        return unicodedata.normalize("NFC", s)
+        return _arabic_form(unicodedata.normalize("NFC", s))
     s = unicodedata.normalize("NFD", s).translate(proto)
     if _EITHER.search(s):
         tokens = _TOKEN.findall(s)
@@ -109,7 +140,7 @@ def consistent(text: str) -> str:
             return m[0] if best == "Latin" else "".join([back[best].get(c, c) for c in m[0]])
 
         s = _TOKEN.sub(spell, s)
-    return unicodedata.normalize("NFC", s)
+    return _arabic_form(unicodedata.normalize("NFC", s))
 
 
 def _udf():

@@ -43,6 +43,25 @@ def test_pairs(spark, rows):
     assert alike(look_classes(d.limit(0))).count() == 0
 
 
+def test_arabic_letters_are_alike_where_they_join(spark, rows):
+    plain, keheh, yeh = "\u0643\u062a\u0627\u0628 \u0639\u0644\u064a\u0647", "\u06a9", "\u06cc"
+    disguised = plain.replace("\u0643", keheh).replace("\u064a", yeh)
+    for a, b in [(plain, disguised), ("\u0643\u064e\u0627", "\u06a9\u064e\u0627"), ("\u064a\u200b\u062f", "\u06cc\u062f"), ("\u0643\u200d\u0627", "\u06a9\u200d\u0627"), ("\u0639\u0644\u0649", "\u0639\u0644\u06cc"), ("\u067e\u0643\u062a", "\u067e\u06a9\u062a")]:
+        assert consistent(a) == consistent(b), (a, b)
+    for a, b in [("\u0645\u0644\u0643", "\u0645\u0644\u06a9"), ("\u0639\u0644\u064a", "\u0639\u0644\u06cc"), ("\u0643\u200c\u0627", "\u06a9\u200c\u0627"), ("\u064a\u0621", "\u06cc\u0621"), ("\u0649\u062f", "\u06cc\u062f"), ("\u0626\u062f", "\u06cc\u0654\u062f")]:
+        assert consistent(a) != consistent(b), (a, b)
+    persian = "\u067e\u06a9 \u06a9\u062a\u0627\u0628\u06cc \u06cc\u06a9"
+    assert consistent(disguised) == plain and consistent(persian) == persian == consistent(persian.replace("\u06cc\u06a9", "\u064a\u06a9"))
+    d = spark.createDataFrame([(1, plain), (2, disguised), (3, plain), (4, plain.replace("\u0643", keheh)), (5, "\u0645\u0644\u0643"), (6, "\u0645\u0644\u06a9")], "doc_id bigint, text string")
+    assert rows(alike(look_classes(d))) == [(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("\u0643\u06a9\u064a\u06cc\u0649\u0627\u0628\u0629\u067e\u0621\u064e\u0654\u200b\u200c\u200d a"), max_size=12))
+def test_arabic_form_is_stable(text):
+    assert consistent(consistent(text)) == consistent(text)
+
+
 CANONS = [("usc:67_1332a", "67 U.S.C. § 1332a"), ("usc:67_1332", "67 U.S.C. § 1332"), ("cfr:61_1237", "61 C.F.R. Part 1237"), ("gla:192", "Guild Licensing Act § 192"), ("cera:103", "Coastal Entry and Residence Act § 103"), ("in_dec:2005_833", "2005 I&N Dec. 833"), ("us:2007_562", "2007 U.S. 562"), ("sct:2009_493", "2009 S. Ct. 493"), ("f3d:2002_752", "2002 F.3d 752"), ("f4th:2006_41", "2006 F.4th 41"), ("fsupp3d:2001_837", "2001 F. Supp. 3d 837"), ("iwta:196", "Inland Waters Transit Act § 196")]
 MEANT = {
     "title 67 United States Code Section 1332a": "usc:67_1332a", "§ 1332a(b)(2) of 67 U.S.C.": "usc:67_1332a", "67-USC-1332": "usc:67_1332", "67 U,S,C, § l332 (c)": "usc:67_1332", "sec. 1332, title 67, U.S. Code": "usc:67_1332",
