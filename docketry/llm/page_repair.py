@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import ChainMap, Counter
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.llm.canonical import deletes
-from docketry.llm.scan_noise import HEADINGS, Page, RunReader, confusion_distance, edge_lines, fold_misread, line_runs, read_pages, reversed_confusions, run_words, running_text
+from docketry.llm.scan_noise import HEADINGS, Page, RunReader, breaks, confusion_distance, edge_lines, fold_misread, line_runs, read_pages, reversed_confusions, run_words, running_text, whole_lines
 from docketry.operators.skew import salted
 from docketry.sources.tables import checkpointed
 
-#: A word is common, and may be what a misread one was, from this share of all words on (at most a million are) and this count.
-COMMON_SHARE, COMMON_LEAST = 1e-6, 10
+#: A word is common, and may be what a misread one was, from this count on; those with this share of all words (at most a
+#: million have it) are broadcast, the rarer ones joined to the units that ask for them.
+COMMON_LEAST, COMMON_SHARE = 10, 1e-6
 #: A line is a running one from this share of all edge lines on (at most 5,000 are) and this count.
 RUNNING_SHARE, RUNNING_LEAST = 2e-4, 5
 #: A word is a misreading only of words that are so many times as frequent.
@@ -99,23 +102,25 @@ def misread_words(words: DataFrame, least: int) -> DataFrame:
 
 
 class Lexicon:
-    """What repair needs of the corpus: running lines and common words with counts, both of bounded size and broadcast; and
-    the table of misread words, which isn't and is only joined."""
+    """What repair needs of the corpus: running lines and the most frequent of the common words with counts, both of bounded
+    size and broadcast; and the other common words by the units that ask for them (None if all are broadcast) and the table of
+    misread words, which aren't and are only joined."""
 
     def __init__(self, units: DataFrame) -> None:
         spark = units.sparkSession
         self.statistics = checkpointed(page_statistics(units))
         totals = dict(self.statistics.groupBy("kind").agg(F.sum("n").alias("n")).collect())
-        least = max(COMMON_LEAST, int((totals.get("w") or 0) * COMMON_SHARE))
+        self.least = max(COMMON_LEAST, int((totals.get("w") or 0) * COMMON_SHARE))
         running = max(RUNNING_LEAST, int((totals.get("e") or 0) * RUNNING_SHARE))
         words = self.statistics.filter(F.col("kind") == "w").select("key", "n")
-        self.misread = checkpointed(misread_words(words, least))
-        common = words.filter(F.col("n") >= least).join(self.misread.select(F.col("token").alias("key")), "key", "left_anti")
-        self.common = spark.sparkContext.broadcast(dict(common.collect()))
+        self.misread = checkpointed(misread_words(words, COMMON_LEAST))
+        common = words.filter(F.col("n") >= COMMON_LEAST).join(self.misread.select(F.col("token").alias("key")), "key", "left_anti")
+        self.common = spark.sparkContext.broadcast(dict(common.filter(F.col("n") >= self.least).collect()))
         self.running = spark.sparkContext.broadcast({r[0] for r in self.statistics.filter((F.col("kind") == "e") & (F.col("n") >= running)).select("key").collect()})
+        self.rare = checkpointed(_rare_counts(units, common.filter(F.col("n") < self.least), self.common, self.running)) if self.least > COMMON_LEAST else None
 
 
-def _sure_repair(token: str, common: dict[str, int]) -> str | None:
+def _sure_repair(token: str, common: Mapping[str, int]) -> str | None:
     """The most frequent common word that one or two confusions make the token; for a number its letters as digits."""
     if any(c.isdigit() for c in token) and not re.search(r"[^0-9OIlo.,]", token):
         return token.translate(str.maketrans("OolI", "0011"))
@@ -124,19 +129,77 @@ def _sure_repair(token: str, common: dict[str, int]) -> str | None:
     return max(found, key=lambda w: common[w], default=None)
 
 
+@lru_cache(maxsize=200_000)
+def _sources(token: str) -> tuple[list[str], frozenset[str]]:
+    """What a token may be if one confusion made it, and if one or two did."""
+    one = reversed_confusions(token)
+    return one, frozenset(y for x in one for y in reversed_confusions(x)).union(one)
+
+
+def _asked_words(pages: list[Page], ends: bool, header: str, common: dict[str, int], read: RunReader) -> set[str]:
+    """All words but the broadcast ones whose counts repair of the pages may look up."""
+    out = {w.lower() for w in re.findall(r"[^\W\d_]+", header)}
+    found = breaks(pages, ends)
+    runs = {run for _, line in whole_lines(pages, [(b, True) for b in found]) for run in line.split()}
+    ends_of = {(p.page, i): line for p in pages for i, line in enumerate(p.body)} if found else {}
+    for b in found:
+        if b.mark == "-":  # the only mark that may be part of the word
+            compound = f"{b.left}-{b.right}".lower()
+            out.update((b.left.lower() + "-", (b.left + b.right).lower(), compound, *reversed_confusions(compound)))
+            runs.add((ends_of[b.page, b.line].rstrip()[:-1] + "-" + b.right).split()[-1])
+    for text, w, sure in {w[:3] for run in runs for w in read[run] if not w[3]}:
+        out.add(w)
+        if sure or "." in w:
+            one, both = _sources(text.lower())
+            if not any(x in common for x in one):
+                out |= both
+    return {w for w in out if w not in common}
+
+
+def _rare_counts(units: DataFrame, rare: DataFrame, common: Broadcast, running: Broadcast) -> DataFrame:
+    """asker, rare (map<word, n>): those of the words of `rare` (key, n) that a unit asks for."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = RunReader(common.value)
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                out += [(row[0], w) for w in _asked_words(*_read(row, running.value), row[2] or "", common.value, read)]
+            yield pd.DataFrame(out, columns=["asker", "word"])
+
+    asked = checkpointed(_unit_rows(units).mapInPandas(ask, "asker string, word string").distinct())
+    hot = asked.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= asked.select(F.count(F.lit(1))).scalar() * F.lit(0.01)).select("word")
+    left, right = salted(asked, rare.withColumnRenamed("key", "word"), hot, "word", F.col("asker"))
+    return left.join(right, ["word", "salt"]).groupBy("asker").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("rare"))
+
+
+def _known_rows(units: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """_unit_rows with `rare`, the counts of the common words that aren't broadcast but that the unit asks for; null if none."""
+    rows = _unit_rows(units)
+    if lexicon.rare is None:
+        return rows.withColumn("rare", F.lit(None).cast("map<string, bigint>"))
+    return rows.join(lexicon.rare, F.col("unit_id").eqNullSafe(F.col("asker")), "left").drop("asker")
+
+
+def _known(rare: list | dict | None, common: dict[str, int]) -> Mapping[str, int]:
+    """The common words that matter to a unit."""
+    return ChainMap(dict(rare), common) if rare is not None and len(rare) else common
+
+
 def noise_rows(units: DataFrame, lexicon: Lexicon) -> DataFrame:
     """unit_id, case_id, page, noise, token, before, after, repair: header, pageno, hyphen and sure ocr noise of each page, and
     with noise `?` each word that isn't common, with its neighbours. One row of a unit at a time."""
     common, running = lexicon.common, lexicon.running
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, lines = common.value, running.value
-        read = RunReader(known)
+        lines = running.value
+        read = RunReader(common.value)
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False, name=None):
                 unit, case = row[0], row[1]
-                pages, ends = _read(row, lines)
+                pages, ends = _read(row[:7], lines)
+                known = _known(row[7], common.value)
                 words, broken = running_text(pages, ends, known, read)
                 for p in pages:
                     out += [(unit, case, p.page, kind, None, None, None, None) for kind, there in (("header", p.header), ("pageno", p.pageno)) if there]
@@ -144,10 +207,10 @@ def noise_rows(units: DataFrame, lexicon: Lexicon) -> DataFrame:
                 out += _word_rows(unit, case, words, row[2] or "", known)
             yield pd.DataFrame(out, columns=["unit_id", "case_id", "page", "noise", "token", "before", "after", "repair"])
 
-    return _unit_rows(units).mapInPandas(scan, "unit_id string, case_id string, page int, noise string, token string, before string, after string, repair string")
+    return _known_rows(units, lexicon).mapInPandas(scan, "unit_id string, case_id string, page int, noise string, token string, before string, after string, repair string")
 
 
-def _word_rows(unit: str, case: str, words: list[tuple], header: str, known: dict[str, int]) -> list[tuple]:
+def _word_rows(unit: str, case: str, words: list[tuple], header: str, known: Mapping[str, int]) -> list[tuple]:
     """Rows of noise_rows for the words that aren't common. A capitalized word that stands once in the unit, and is by one
     confusion another of its uncommon words (or of its header's), is a misread name."""
     odd = [i for i, w in enumerate(words) if w[3] or not w[4] and len(w[2]) >= 3]
@@ -193,25 +256,30 @@ def page_noise(units: DataFrame) -> DataFrame:
     return judged(rows, lexicon).select("case_id", "page", "noise").distinct()
 
 
-def chosen_repairs(units: DataFrame, found: DataFrame) -> DataFrame:
+def chosen_repairs(units: DataFrame, found: DataFrame, lexicon: Lexicon) -> DataFrame:
     """unit_id, repairs map<token, word> of judged rows.
 
     A token with one possible word gets that; with several, the counts of the pairs that each would make with the words beside
-    it are added to what its cost allows. The pairs are counted over all units, but only those with a word in question.
+    it are added to what its cost allows. The pairs are counted over all units, but only those with a word in question, or
+    with one that isn't broadcast and so may be in question.
     """
     found = found.filter((F.col("noise") == "ocr") & F.col("token").isNotNull())
     options = found.select("unit_id", "token", "before", "after", F.explode(F.coalesce("repairs", F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("bigint").alias("count"), F.col("repair").alias("word"))))).alias("o")).select("unit_id", "token", "before", "after", "o.*").filter(F.col("word").isNotNull())
-    doubtful = found.filter(F.size("repairs") > 1).select(F.explode("repairs.word").alias("word")).distinct()
-    asked = {r[0] for r in doubtful.collect()}  # among the common words, of which there are at most a million
-    if asked:
-        shared = units.sparkSession.sparkContext.broadcast(asked)
+    doubtful = found.filter(F.size("repairs") > 1).select(F.explode("repairs").alias("r")).select("r.word", (-F.col("r.count")).alias("n")).distinct()
+    asked = {r[0] for r in doubtful.filter(F.col("n") >= lexicon.least).collect()}  # among the words with their share, of which there are at most a million
+    rarer = lexicon.rare is not None
+    if asked or rarer:
+        shared, common = units.sparkSession.sparkContext.broadcast(asked), lexicon.common
+
+        def counted(w: str) -> bool:
+            return w in shared.value or rarer and w not in common.value
 
         def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 seen: Counter[tuple[str, str]] = Counter()
                 for row in batch.itertuples(index=False, name=None):
                     words = [w for page in _read(row, set())[0] for line in page.body for run in line.split() for w in run_words(run)]
-                    seen.update(p for p in zip(words, words[1:], strict=False) if p[0] in shared.value or p[1] in shared.value)
+                    seen.update(p for p in zip(words, words[1:], strict=False) if counted(p[0]) or counted(p[1]))
                 yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["first", "second", "n"])
 
         bigrams = _unit_rows(units).mapInPandas(pairs, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
@@ -280,7 +348,7 @@ def case_paragraphs(units: DataFrame) -> DataFrame:
     """
     lexicon = Lexicon(units)
     found = judged(checkpointed(noise_rows(units, lexicon)), lexicon)
-    rows = _unit_rows(units).join(chosen_repairs(units, found), "unit_id", "left").select(*_UNIT, "repairs")
+    rows = _known_rows(units, lexicon).join(chosen_repairs(units, found, lexicon), "unit_id", "left").select(*_UNIT, "repairs", "rare")
     common, running = lexicon.common, lexicon.running
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,7 +358,7 @@ def case_paragraphs(units: DataFrame) -> DataFrame:
             for row in batch.itertuples(index=False, name=None):
                 i, n = _place(row[0])
                 pages, ends = _read(row[:7], running.value)
-                _, broken = running_text(pages, ends, common.value, read)
+                _, broken = running_text(pages, ends, _known(row[8], common.value), read)
                 done = paragraphs(pages, broken, dict(row[7]) if row[7] is not None else {})
                 numbers: Counter[int] = Counter()
                 reached = {p for p, _, _ in done}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 # What is printed and what it is misread as.
@@ -278,13 +279,10 @@ def is_noise(b: Break, count) -> bool:
     return not with_mark or count(joined) >= with_mark
 
 
-def running_text(pages: list[Page], ends_case: bool, known: dict[str, int], read: RunReader | None = None) -> tuple[list[tuple[int, str, str, bool, bool]], list[tuple[Break, bool]]]:
-    """The words of the text as (page, as written, in lower case, sure to be misread, common), with broken words whole again on
-    the page where they begin; and all breaks with whether the mark is noise. `known` has the common words."""
-    read = RunReader(known) if read is None else read
-    found = [(b, is_noise(b, lambda w: known.get(w, 0))) for b in breaks(pages, ends_case)]
+def whole_lines(pages: list[Page], found: list[tuple[Break, bool]]) -> Iterator[tuple[int, str]]:
+    """Page and text of each line, with broken words whole again on the line where they begin; with each break stands whether
+    the mark is noise."""
     at = {(b.page, b.line): (b, noise) for b, noise in found}
-    words: list[tuple[int, str, str, bool, bool]] = []
     skip = ""
     for page in pages:
         n = page.page
@@ -298,9 +296,18 @@ def running_text(pages: list[Page], ends_case: bool, known: dict[str, int], read
                 cut = line.rstrip()
                 line = cut[: len(cut) - 1 - len(b[0].left)] + b[0].left + ("" if b[1] else "-") + b[0].right
                 skip = b[0].right
-            for run in line.split():
-                for w in read[run]:
-                    words.append((n, *w))
+            yield n, line
+
+
+def running_text(pages: list[Page], ends_case: bool, known: Mapping[str, int], read: RunReader | None = None) -> tuple[list[tuple[int, str, str, bool, bool]], list[tuple[Break, bool]]]:
+    """The words of the text as (page, as written, in lower case, sure to be misread, common), with broken words whole again on
+    the page where they begin; and all breaks with whether the mark is noise. `known` has the common words, which may be more
+    than those that `read` knows."""
+    read = RunReader(known) if read is None else read
+    found = [(b, is_noise(b, lambda w: known.get(w, 0))) for b in breaks(pages, ends_case)]
+    words = [(n, *w) for n, line in whole_lines(pages, found) for run in line.split() for w in read[run]]
+    if isinstance(known, ChainMap):
+        words = [w if w[4] or w[2] not in known.maps[0] else (*w[:4], True) for w in words]
     return words, found
 
 

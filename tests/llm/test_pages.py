@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from docketry.llm import page_repair
 from docketry.llm.page_repair import case_paragraphs, misread_words, page_noise
 from docketry.llm.scan_noise import CONFUSIONS, confusion_distance, read_pages, read_run, running_text
 
@@ -61,6 +62,23 @@ def test_noise_and_text(spark, rows):
     assert " ".join(text).count("The harbor pass satisfied the continuous presence rule in 17,186 pages.") == 1 and "Roe v." not in " ".join(text)
 
 
+def test_rarer_words_count_at_every_size(spark, rows, monkeypatch):
+    body = PROSE * 3 + "\nThe warden of Wynzan re-examined the levy at Qorlet. A re- examined levy. The sloop sailed."
+    clean = [unit(1, 1, [(1, body)], f"lit_{i}") for i in range(30)]
+    odd = unit(1, 1, [(1, PROSE + "\nThe wardcn of Wyrizan re-\nexamined the levy. The slo0p sailed from the war-\nden. Then Qorlet and Qorlct of Wynzan.")], "lit_x")
+    df = spark.createDataFrame([*clean, odd, (None, "lit_n", *odd[2:])], UNIT)
+
+    def found():
+        return rows(page_noise(df)), rows(case_paragraphs(df))
+
+    small = found()
+    monkeypatch.setattr(page_repair, "COMMON_SHARE", 0.02)  # as on a table so large that these words are below the share
+    assert page_repair.Lexicon(df).rare is not None and found() == small
+    noise, text = [r for r in small[0] if r[0] == "lit_x"], " ".join(r[3] for r in small[1] if r[0] == "lit_x")
+    assert noise == [("lit_x", 1, "hyphen"), ("lit_x", 1, "ocr")]
+    assert "The warden of Wynzan re-examined the levy. The sloop sailed from the warden." in text
+
+
 def test_empty_tables_and_null_maps(spark):
     df = spark.createDataFrame([("a__u1of1", "a", None, None, None), ("b", "b", None, {1: None, 2: " \n "}, [])], UNIT)
     assert page_noise(df).count() == 0 and case_paragraphs(df).count() == 0 and page_noise(df.limit(0)).count() == 0
