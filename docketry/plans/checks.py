@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketry.functions.text import span_iou, span_overlap
 from docketry.operators import answers, evaluation, ledger, quotes
 from docketry.plans import sql
 from docketry.plans.graph import all_pages, cited, known_cases
@@ -75,41 +76,66 @@ def v11_reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """Segments on one page as gold items of their case."""
+    """All segments as gold items of their case, with offsets counted through its pages in order."""
+    s = table(spark, d, "segments").select("case_id", "seg_id", "part_name", "label", "start_page", "start_char", "end_page", "end_char").distinct()
+    pages = all_pages(spark, d).select(F.col("case_id").alias("c"), "page", F.length("text").alias("n"))
+    before = [F.coalesce(F.sum(F.when(F.col("page") < F.col(of), F.col("n"))), F.lit(0)).alias(to) for of, to in (("start_page", "start_base"), ("end_page", "end_base"))]
+    s = s.join(pages, (F.col("case_id") == F.col("c")) & (F.col("page") < F.col("end_page")), "left").groupBy(*s.columns).agg(*before)
+    return _gold_items(s, F.col("start_base") + F.col("start_char"), F.col("end_base") + F.col("end_char"))
+
+
+def one_page_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Segments on one page as gold items of their case, with offsets in that page, as the SQL of m1_scores and e4_ids has them."""
     s = table(spark, d, "segments").filter("start_page = end_page").select("case_id", "seg_id", "part_name", "label", "start_char", "end_char").distinct()
-    span = F.array(F.struct(F.col("start_char").alias("start"), F.col("end_char").alias("end")))
+    return _gold_items(s, F.col("start_char"), F.col("end_char"))
+
+
+def _gold_items(s: DataFrame, start: Column, end: Column) -> DataFrame:
+    span = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
     return s.select(F.col("case_id").alias("unit_id"), F.col("seg_id").alias("id"), F.col("part_name").alias("type"), "label", F.lit(None).cast("string").alias("summary"), span.alias("spans"), F.lit("llm").alias("provenance"), "start_char", "end_char")
 
 
-def pred(spark: SparkSession, d: str) -> DataFrame:
-    """The gold items with a fifth left out, spans moved and some types changed."""
-    moved = F.array(F.struct((F.col("start_char") + F.col("start_char") % 7).cast("int").alias("start"), F.col("end_char").alias("end")))
+def pred(items: DataFrame) -> DataFrame:
+    """Gold items with a fifth left out, spans moved and some types changed."""
+    span = F.col("spans")[0]
+    moved = F.array(F.struct((span["start"] + F.col("start_char") % 7).cast("int").alias("start"), span["end"].alias("end")))
     kind = F.when(F.col("start_char") % 11 == 3, "other").otherwise(F.col("type"))
     state = F.when(F.col("start_char") % 13 == 1, "unverified").otherwise("llm")
-    return gold(spark, d).filter("start_char % 5 <> 1").withColumns({"spans": moved, "type": kind, "provenance": state})
+    return items.filter("start_char % 5 <> 1").withColumns({"spans": moved, "type": kind, "provenance": state})
 
 
 def m1_scores(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.node_scores(pred(spark, d), gold(spark, d), 0.3).withColumn("score", F.round("score", 6))
+    """Scores of the segments on one page; m1_whole has those of all."""
+    q = one_page_gold(spark, d)
+    return evaluation.node_scores(pred(q), q, 0.3).withColumn("score", F.round("score", 6))
+
+
+def m1_whole(spark: SparkSession, d: str) -> DataFrame:
+    q = gold(spark, d)
+    return evaluation.node_scores(pred(q), q, 0.3).withColumn("score", F.round("score", 6))
 
 
 def m2_matched(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.matched(evaluation.node_scores(pred(spark, d), gold(spark, d), 0.3))
+    q = gold(spark, d)
+    return evaluation.matched(evaluation.node_scores(pred(q), q, 0.3))
 
 
 def m5_evaluated(spark: SparkSession, d: str) -> DataFrame:
-    p, q = pred(spark, d), gold(spark, d)
+    q = checkpointed(gold(spark, d))
+    p = pred(q)
     items = evaluation.outcomes(p, q, evaluation.matched(evaluation.node_scores(p, q, 0.3)), ["type"])
     return evaluation.scores(items, ["type"])
 
 
 def m5_macro(spark: SparkSession, d: str) -> DataFrame:
-    p, q = pred(spark, d), gold(spark, d)
+    q = checkpointed(gold(spark, d))
+    p = pred(q)
     return evaluation.macro_scores(evaluation.outcomes(p, q, evaluation.matched(evaluation.node_scores(p, q, 0.3)), ["type"]))
 
 
 def m6_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.threshold_sweep(pred(spark, d), gold(spark, d))
+    q = checkpointed(gold(spark, d))
+    return evaluation.threshold_sweep(pred(q), q)
 
 
 def m7_tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +145,8 @@ def m7_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m8_errors(spark: SparkSession, d: str) -> DataFrame:
-    p, q = pred(spark, d), gold(spark, d)
+    q = checkpointed(gold(spark, d))
+    p = pred(q)
     strict, loose = (evaluation.matched(evaluation.node_scores(p, q, 0.3, relaxed=r)) for r in (False, True))
     return evaluation.node_errors(p, q, strict, loose)
 
@@ -147,10 +174,24 @@ def e3_deduplicated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e4_ids(spark: SparkSession, d: str) -> DataFrame:
-    g = gold(spark, d).select(F.col("unit_id").alias("case_id"), "type", F.lit("part").alias("label"), F.col("id").alias("seg_id"))
+    """Ids of the segments on one page; e4_whole has those of all."""
+    g = one_page_gold(spark, d).select(F.col("unit_id").alias("case_id"), "type", F.lit("part").alias("label"), F.col("id").alias("seg_id"))
     return evaluation.assigned_ids(g, "seg_id").select("seg_id", "id")
 
 
+def e4_whole(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "segments").select("case_id", F.col("part_name").alias("type"), F.lit("part").alias("label"), "seg_id").distinct()
+    return evaluation.assigned_ids(g, "seg_id").select("seg_id", "id")
+
+
+def f13_whole(spark: SparkSession, d: str) -> DataFrame:
+    """f13_spans for all segments: each one's span, moved by a third of its length, against itself."""
+    start, end = F.col("spans")[0]["start"], F.col("spans")[0]["end"]
+    moved = F.floor((end - start) / 3)
+    at = [start, end, start + moved, end + moved]
+    return gold(spark, d).select(F.col("id").alias("seg_id"), F.round(span_iou(*at), 6).alias("iou"), F.round(span_overlap(*at), 6).alias("overlap"))
+
+
 def e6_progress(spark: SparkSession, d: str) -> DataFrame:
     """Units by how far their replies are, where segments stand for replies."""
     units = table(spark, d, "units").select(F.col("case_id").alias("unit_id"))
@@ -195,7 +236,7 @@ def t9_budget(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (v1_page_keys, v2_located, v3_items, v4_checked, v5_citations, v7_problems, v8_quotes, v10_salvaged, v11_reports, m1_scores, m2_matched, m5_evaluated, m5_macro, m6_sweep, m7_tiers, m8_errors, m9_summary, m11_scored, m12_turns, e3_deduplicated, e4_ids, e6_progress, t1_quota, t4_pruned, t5_digests, t6_tools, t6_trajectories, t7_tally, t9_budget)
+    for f in (v1_page_keys, v2_located, v3_items, v4_checked, v5_citations, v7_problems, v8_quotes, v10_salvaged, v11_reports, m1_scores, m1_whole, m2_matched, m5_evaluated, m5_macro, m6_sweep, m7_tiers, m8_errors, m9_summary, m11_scored, m12_turns, e3_deduplicated, e4_ids, e4_whole, f13_whole, e6_progress, t1_quota, t4_pruned, t5_digests, t6_tools, t6_trajectories, t7_tally, t9_budget)
 }
 
 _KEYS = f"""{sql.PAGES}, k AS (SELECT case_id, page, {sql.match_key("text")} AS key FROM pages), keys AS (SELECT case_id, page, key, (sum(length(key)) OVER w)::BIGINT AS e, coalesce(lead(key) OVER w, '') AS after, coalesce(lag(key) OVER w, '') AS before, lag(page) OVER w AS page_before, lead(page) OVER w AS page_after FROM k WINDOW w AS (PARTITION BY case_id ORDER BY page))"""
