@@ -125,3 +125,19 @@ def test_very_long_texts_take_little_time():
             began = time.time()
             f(text)
             assert time.time() - began < 10
+
+
+def test_the_corpus_teaches_abbreviations_and_overrules_the_lists(spark, rows):
+    asked = [("a", "The Qrst. Benn met. All agreed."), ("b", "He read vol. Xyl. nine. It ended. Panel left.")]
+    teach = [(f"t{i}", f"A letter of Qrst. {n} came, see xyl. {i} of it. The panel saw the file.") for i, n in enumerate(("Arden", "Bolk", "Cree", "Dorn", "Elst", "Fane", "Gorl", "Hest"))]
+    df = spark.createDataFrame(asked + teach, "turn_id string, text string")
+    got = {k: [] for k in "ab"}
+    for k, a, b in rows(sentence_spans(df, ["turn_id"])):
+        if k in got:
+            got[k].append(dict(asked)[k][a:b])
+    assert got["a"] == ["The Qrst. Benn met.", "All agreed."]
+    assert got["b"][1:] == ["It ended.", "Panel left."]
+    plain = [(f"v{i}", "It is in the col. The rest of the col is lost, and the col ended.") for i in range(5)]
+    df = spark.createDataFrame([("x", "It stood in the col. 9 ships came.")] + plain, "turn_id string, text string")
+    assert len([r for r in rows(sentence_spans(df, ["turn_id"])) if r[0] == "x"]) == 2
+    assert split_sentences("It stood in the col. 9 ships came.") == [(0, 34)]
