@@ -128,7 +128,7 @@ def test_very_long_texts_take_little_time():
 
 
 def test_the_corpus_teaches_abbreviations_and_overrules_the_lists(spark, rows):
-    asked = [("a", "The Qrst. Benn met. All agreed."), ("b", "He read vol. Xyl. nine. It ended. Panel left.")]
+    asked = [("a", "The Qrst. Benn met. All agreed."), ("b", "He read it. It ended. Panel left.")]
     teach = [(f"t{i}", f"A letter of Qrst. {n} came, see xyl. {i} of it. The panel saw the file.") for i, n in enumerate(("Arden", "Bolk", "Cree", "Dorn", "Elst", "Fane", "Gorl", "Hest"))]
     df = spark.createDataFrame(asked + teach, "turn_id string, text string")
     got = {k: [] for k in "ab"}
