@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def tree_aggregate(df: DataFrame, key: str, member: str, time: str, *, fan_in: int = 16) -> DataFrame:
+#: Rows of a chunk, which is combined where it lies, and states that one reducer of a round gets of a key.
+CHUNK_ROWS, FAN_IN = 65_536, 16
+
+
+def tree_rounds(n_rows: int, chunk: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> int:
+    """Rounds that bring the chunks of so many rows down to one state for each key."""
+    chunks, rounds = -(-n_rows // chunk), 1
+    while fan_in**rounds < chunks:
+        rounds += 1
+    return rounds
+
+
+def tree_aggregate(df: DataFrame, key: str, member: str, time: str, *, chunk: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """Rows, distinct members, first and last time of each key, by multi-level tree aggregation.
 
-    Level 0 aggregates by (key, member), so that even a key with a third of all rows is spread over all tasks; map-side
-    combine makes one partial of each chunk of input first. The partitions of that shuffle are the leaves of a tree. In
-    each further round every task combines what it holds of a key into one state, and a reducer gets the states of at
-    most `fan_in` nodes: ceil(log_fan_in(leaves)) rounds, none of which gives one reducer the partials of all tasks.
+    The input is tagged in chunks of a fixed number of rows; a chunk lies in one task, so what it has of a key is combined there.
+    Chunks are the leaves of a tree with fan_in**rounds places, spread evenly by hash: in each round the states of about
+    `fan_in` neighbours become one, until one is left. Rounds follow from the number of chunks (tree_rounds), whatever the
+    number of partitions is, and no reducer gets the states of all tasks of a key, even if it has a third of all rows.
+
+    Distinct members are kept exactly: pairs (key, member) are made distinct first within groups of chunks, then over all, so
+    that a pair in every chunk isn't brought together at once either; their counts, by partition, enter the same rounds.
 
     Columns out: key_value string, n_rows, n_members bigint, first_at, last_at timestamp. A null key is a group of its
     own; null members are rows but no members; null times are passed over (null if a key has no other). An empty table
     gives no rows. Only the three named columns are read, so others may have any name.
     """
-    leaves = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = df.select(F.col(key).cast("string").alias("k"), F.col(member).alias("m"), F.col(time).alias("t"))
-    state = state.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    state = state.select("k", "n", F.when(F.col("m").isNotNull(), 1).otherwise(0).cast("bigint").alias("d"), "lo", "hi", F.spark_partition_id().alias("node"))
+    rounds = tree_rounds(df.select(F.lit(1)).count(), chunk, fan_in)
+    leaves = fan_in**rounds
+    place = F.monotonically_increasing_id()  # the task in its upper bits, the row of the task in its lower
+    tagged = df.select(F.col(key).cast("string").alias("k"), F.col(member).alias("m"), F.col(time).alias("t"), F.pmod(F.xxhash64(F.shiftright(place, 33), F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / chunk)), F.lit(leaves)).alias("node"))
+    rows = tagged.groupBy("k", F.floor(F.col("node") / fan_in).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("d"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    group = F.floor(F.col("node") / fan_in ** (rounds // 2)) if rounds > 1 else F.lit(0)
+    pairs = tagged.filter(F.col("m").isNotNull()).select("k", "m", group.alias("group")).distinct().select("k", "m").distinct()
+    none = F.lit(None).cast(df.select(time).schema[0].dataType)
+    parts = pairs.groupBy("k", F.pmod(F.spark_partition_id(), F.lit(max(1, leaves // fan_in))).cast("bigint").alias("node")).agg(F.lit(0).cast("bigint").alias("n"), F.count(F.lit(1)).alias("d")).select("k", "node", "n", "d", none.alias("lo"), none.alias("hi"))
+    state = rows.unionByName(parts)
     merged = [F.sum("n").alias("n"), F.sum("d").alias("d"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    for _ in range(max(1, math.ceil(math.log(max(2, leaves), fan_in))) - 1):
+    for _ in range(rounds - 1):
         state = state.groupBy("k", F.floor(F.col("node") / fan_in).alias("node")).agg(*merged)
     return state.groupBy("k").agg(*merged).select(F.col("k").alias("key_value"), F.col("n").alias("n_rows"), F.col("d").alias("n_members"), F.col("lo").alias("first_at"), F.col("hi").alias("last_at"))
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docketry.operators.orphans import corpus_orphans, orphan_references
-from docketry.operators.skew import heavy_keys, salted, tree_aggregate
+from docketry.operators.skew import heavy_keys, salted, tree_aggregate, tree_rounds
 
 T0 = datetime(2031, 1, 1)
 
@@ -26,6 +26,22 @@ def test_tree_aggregate_against_brute_force(spark, rows):
         assert rows(tree_aggregate(df, "k", "m", "t", fan_in=fan_in)) == sorted(want, key=repr)
 
 
+def test_rounds_follow_from_the_chunks_at_any_number_of_partitions(spark, rows):
+    df = spark.range(5000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 50 as string)) AS k", "if(id % 2 = 0, null, cast(id % 700 as string)) AS m", "timestamp_seconds(id) AS t")
+    want = rows(df.groupBy("k").agg(F.count(F.lit(1)), F.count_distinct("m"), F.min("t"), F.max("t")))
+    assert [tree_rounds(n, 100, 4) for n in (0, 100, 401, 5000, 10**9)] == [1, 1, 2, 3, 12]
+    counts = set()
+    for partitions in (2, 4, 23):
+        for chunk, fan_in in ((100, 4), (1000, 2), (10_000, 16)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = tree_aggregate(df.repartition(partitions), "k", "m", "t", chunk=chunk, fan_in=fan_in)
+            assert rows(got) == want
+            exchanges = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(k#")
+            counts.add((tree_rounds(5000, chunk, fan_in), exchanges))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r for r, _ in counts} == {1, 3} and len(counts) == 2 and max(counts)[1] - min(counts)[1] >= 2, counts
+
+
 def test_tree_aggregate_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k string, m string, t timestamp")
     assert tree_aggregate(df, "k", "m", "t").count() == 0
