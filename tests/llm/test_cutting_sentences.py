@@ -5,8 +5,9 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from docketry.llm.cutting import balanced_cuts, boundaries, page_windows, unit_pieces
+from docketry.llm.cutting import balanced_cuts, boundaries, checked_pieces, cut_unit, marked_offset, page_windows, unit_pieces
 from docketry.llm.sentences import evidence, sentence_spans, split_sentences
 
 
@@ -46,13 +47,28 @@ def test_units(spark, rows):
     u = spark.createDataFrame(
         [("over", "p", [page(2, "b" * 30), page(1, "a. " * 10)]), ("over", "p", [page(2, "b" * 30), page(1, "a. " * 10)]), ("equal", "p", [page(1, "x" * 50)]), ("pages", "p", [page(i, None) for i in range(4)]), ("none", "p", None), ("lost", "nope", [page(1, "x" * 99)]), ("nulls", "q", [page(1, "x" * 99)] * 9)],
         "unit_id string, profile string, pages array<struct<page: int, text: string>>",
-    )
+    ).withColumn("case_id", F.lit("c"))
+    seg = spark.createDataFrame([("c", 1, 9), ("c", 2, 0), ("d", 1, 3), (None, 1, 1), ("c", None, 1)], "case_id string, start_page int, start_char int")
     s = spark.createDataFrame([("p", 3, 50, 10), ("q", None, None, None)], "profile string, window_pages int, edge_split_chars int, overlap_chars int")
-    got = unit_pieces(u, s)
+    got = unit_pieces(u, s, seg)
     assert {(r["unit_id"], r["limit_name"]) for r in got.collect()} == {("over", "edge_split_chars"), ("pages", "window_pages")}
     pieces = got.filter("unit_id = 'over'").orderBy("piece_no").collect()
     assert pieces[0]["text"].startswith("a. a.") and pieces[1]["text"].startswith(pieces[0]["text"][-10:]) and pieces[1]["first_page"] == 1 and pieces[1]["last_page"] == 2
-    assert unit_pieces(u.limit(0), s).count() == 0
+    assert unit_pieces(u.limit(0), s, seg).count() == 0 and unit_pieces(u, s, seg.limit(0)).count() == got.count()
+    assert {r[2:] for r in rows(checked_pieces(got, u, s))} == {(True, True, True)}
+
+
+def test_segments_are_boundaries_with_and_without_markers():
+    raw = "no stops here " * 30
+    at = 203
+    mark = "\n<<<PART BEGINS: majority | X | seg_id=c#s1>>>\n"
+    marked = raw[:at] + mark + raw[at:]
+    assert marked_offset(marked, at) == at and marked_offset(marked, at + 1) == at + 1 + len(mark) and marked_offset(raw, at) == at
+    for text in (raw, marked):
+        cuts = list(cut_unit([(1, text)], len(text) * 3 // 4, None, 5, {1: [at]}))
+        assert [(c[3], c[4], c[7]) for c in cuts] == [(0, at, "start"), (at - 5, len(text), "segment")]
+    assert [c[7] for c in cut_unit([(1, raw)], len(raw) * 3 // 4, None, 5)] == ["start", "none"]
+    assert page_windows(12, 9, {4}) == [(0, 4), (4, 11)] and page_windows(12, 9, set()) == [(0, 6), (6, 11)]
 
 
 SENTENCES = [
