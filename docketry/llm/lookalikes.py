@@ -7,9 +7,11 @@ import unicodedata
 from functools import cache, lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.operators.skew import salted
+
 # Letters that look alike, at the same place of each line. A dot stands for a letter without a twin.
 LATIN = "aceijopsxy" "ABCEHIJKMNOPSTXYZ" "hdqwl"
 CYRILLIC = "асеіјорѕху" "АВСЕНІЈКМ.ОРЅТХ.." "һԁԛԝӏ"
@@ -93,6 +95,40 @@ def _arabic_form(s: str) -> str:
     return s
 
 
+SCRIPTS = ("Latin", "Cyrillic", "Greek")
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split(" ")[0].capitalize()
+
+
+@lru_cache(maxsize=4)
+def public_confusables(app: str, spark: SparkSession) -> dict[str, dict[str, str]]:
+    """For each letter of a script other than SCRIPTS, its look-alikes among theirs, by script: letters with the same skeleton in
+    Unicode's confusables data (in the ICU library that Spark brings along) and of the same case. `app` tells sessions apart."""
+    letters = [chr(c) for c in range(0x41, 0x12000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo") and not unicodedata.decomposition(chr(c)) and not (0x3400 <= c <= 0x9FFF or 0xAC00 <= c <= 0xD7FF)]
+    skeletons = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
+    plain: dict[tuple[str, str, str], str] = {}
+    for c, skeleton in zip(letters, skeletons, strict=True):
+        script = _script(c)
+        if script in SCRIPTS and c in _basic_letters():
+            plain.setdefault((skeleton, unicodedata.category(c), script), c)
+    out: dict[str, dict[str, str]] = {}
+    for c, skeleton in zip(letters, skeletons, strict=True):
+        if _script(c) not in (*SCRIPTS, "Cjk", "Hangul", "Katakana", "Hiragana"):
+            twins = {script: plain[key] for script in SCRIPTS if (key := (skeleton, unicodedata.category(c), script)) in plain}
+            if twins:
+                out[c] = twins
+    return out
+
+
+@cache
+def _basic_letters() -> frozenset[str]:
+    """The letters with which the three scripts are ordinarily written, accents aside."""
+    ranges = ((0x41, 0x5A), (0x61, 0x7A), (0x391, 0x3A9), (0x3B1, 0x3C9), (0x400, 0x45F))
+    return frozenset(chr(c) for a, b in ranges for c in range(a, b + 1))
+
+
 @lru_cache(maxsize=200_000)
 def token_scripts(token: str) -> frozenset[str]:
     """The scripts in which every letter of the token (in prototype spelling) exists: the resolved script set of the token
@@ -106,13 +142,27 @@ def token_scripts(token: str) -> frozenset[str]:
     return frozenset(out)
 
 
-def consistent(text: str) -> str:
+def _resolved(token: str, wide: dict[str, dict[str, str]]) -> str:
+    """A token (in prototype spelling) that mixes letters of SCRIPTS with such of another script: spelled with their look-alikes in
+    the first of the three in which all its letters then are; as it is, if none has them all or nothing is mixed."""
+    if all(c in wide or unicodedata.combining(c) for c in token):
+        return token  # one foreign script alone
+    for script in SCRIPTS:
+        spelled = "".join([wide[c].get(script, c).translate(_tables()[1]) if c in wide else c for c in token])
+        if script in token_scripts(spelled) and not any(c in wide for c in spelled):
+            return spelled
+    return token
+
+
+def consistent(text: str, wide: dict[str, dict[str, str]] | None = None) -> str:
     """The text in the one form that all texts have that look the same: plain width, one kind of blank, no invisible
     characters, accents composed, and every word in one script where it can be.
 
     Words are compared in prototype spelling, so the outcome depends on the look alone. A word is spelled in the only script
     that has all its letters; if several have (whole-script look-alikes), in the one that most other words of the text need;
-    if none has, letters stay prototypes. Arabic letters that look alike only before a letter that joins to them, or only where
+    if none has, letters stay prototypes. A word that mixes one of the three scripts with letters of another one (Armenian,
+    Cherokee, Coptic ...) is spelled with their look-alikes of `wide` (public_confusables), if these put all of it in one script; a word
+    of such a script alone stays. Arabic letters that look alike only before a letter that joins to them, or only where
     none follows, are compared there. Digits, case, marks, line breaks and the number of blanks are kept.
     """
     plain, proto, to_cyrillic, to_greek = _tables()
@@ -123,9 +173,12 @@ def consistent(text: str) -> str:
         return s
     if _SHAPERS.search(s):
         s = _IDLE_SELECTOR.sub("", _IDLE_JOINER.sub("", s))
-    if not _EITHER.search(s):
+    foreign = bool(wide) and not wide.keys().isdisjoint(s)
+    if not foreign and not _EITHER.search(s):
         return _arabic_form(unicodedata.normalize("NFC", s))
     s = unicodedata.normalize("NFD", s).translate(proto)
+    if foreign:
+        s = _TOKEN.sub(lambda m: _resolved(m[0], wide) if not wide.keys().isdisjoint(m[0]) else m[0], s)
     if _EITHER.search(s):
         tokens = _TOKEN.findall(s)
         need = {"Latin": 0, "Cyrillic": 0, "Greek": 0}
@@ -144,9 +197,12 @@ def consistent(text: str) -> str:
 
 
 def _udf():
+    spark = SparkSession.active()
+    wide = public_confusables(spark.sparkContext.applicationId, spark)  # a few hundred letters, whatever the data
+
     @F.pandas_udf("string")
     def one_form(texts: pd.Series) -> pd.Series:
-        return texts.map(consistent, na_action="ignore")
+        return texts.map(lambda t: consistent(t, wide), na_action="ignore")
 
     return one_form.asNondeterministic()  # else a plan that uses the form twice computes it twice
 
@@ -170,9 +226,16 @@ def look_classes(documents: DataFrame, text: str = "text", key: str = "doc_id")
 def alike(classes: DataFrame) -> DataFrame:
     """Pairs doc_a < doc_b of documents that look the same but differ in characters, from look_classes.
 
-    Classes whose texts are all equal are left out before any pairing, so copies of one text never meet.
+    Pairs are made of different texts (look, raw) first, so copies of one text never meet, however many there are; the two sides of
+    a pair are then expanded to their documents, with texts of very many copies split over salts.
     """
-    mixed = classes.groupBy("look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter(F.col("lo") != F.col("hi")).select("look")
-    rows = classes.join(mixed, "look", "left_semi")
-    a, b = rows.select("look", F.col("doc_id").alias("doc_a"), F.col("raw").alias("raw_a")), rows.select("look", F.col("doc_id").alias("doc_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, "look").filter((F.col("doc_a") < F.col("doc_b")) & (F.col("raw_a") != F.col("raw_b"))).select("doc_a", "doc_b").distinct()
+    rows = classes.select("doc_id", "look", "raw").distinct()
+    texts = rows.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("n"))
+    mixed = texts.groupBy("look").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1).select("look")
+    texts = texts.join(mixed, "look", "left_semi")
+    pairs = texts.select("look", F.col("raw").alias("raw_a")).join(texts.select("look", F.col("raw").alias("raw_b")), "look").filter(F.col("raw_a") < F.col("raw_b"))
+    hot = texts.filter(F.col("n") >= rows.select(F.count(F.lit(1))).scalar() * F.lit(0.01)).select("raw").distinct()
+    for side in ("a", "b"):
+        members, right = salted(rows.select("doc_id", "raw"), pairs.withColumnRenamed(f"raw_{side}", "raw"), hot, "raw", F.col("doc_id"))
+        pairs = members.join(right, ["raw", "salt"]).drop("raw", "salt").withColumnRenamed("doc_id", f"doc_{side}")
+    return pairs.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).filter(F.col("doc_a") != F.col("doc_b")).distinct()

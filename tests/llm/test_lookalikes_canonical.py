@@ -4,9 +4,10 @@ import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docketry.llm.canonical import mapped_rows, mapped_values, read_citation
-from docketry.llm.lookalikes import CYRILLIC, GREEK, LATIN, alike, consistent, look_classes, token_scripts
+from docketry.llm.lookalikes import CYRILLIC, GREEK, LATIN, alike, consistent, look_classes, public_confusables, token_scripts
 
 SAME = [
     ("The order", "Тhе оrdеr"), ("Ｎｏ order．１", "No order.1"), ("a b c\td", "a b c d"), ("of​fi­ce⁠", "office"), ("oﬃce", "office"), ("café", "café"),
@@ -28,6 +29,23 @@ def test_words_are_spelled_in_one_script():
     assert token_scripts("cop") == {"Latin", "Cyrillic"} and token_scripts("cпop") == {"Cyrillic"} and token_scripts("gп") == set()
 
 
+def test_the_scripts_of_a_word_decide_what_its_letters_are(spark, rows):
+    wide = public_confusables(spark.sparkContext.applicationId, spark)
+    assert 100 < len(wide) < 5000 and wide["\u0570"]["Latin"] == "h" and not any(c in wide for c in LATIN + CYRILLIC + GREEK)
+    for disguised, true in (("\u0570arbor", "harbor"), ("n\u0585tice", "notice"), ("\u13aarder", "Arder"), ("\u0570аrbor", "harbor"), ("ⲟrder", "order"), ("\u043f\u0585\u043b", "\u043f\u043e\u043b")):
+        assert consistent(disguised, wide) == consistent(true, wide) == true, disguised
+    for alone in ("\u0570\u0561\u0575", "\u0570\u0585\u057d", "b\u03b1nk", "\u10db\u10d0\u10e0", "\u13a0\u13b3\u13a9"):
+        assert consistent(alone, wide) == alone
+    d = spark.createDataFrame([(1, "the \u0570arbor"), (2, "the harbor"), (3, "\u0570\u0585"), (4, "ho"), (5, None)], "doc_id bigint, text string")
+    assert rows(alike(look_classes(d))) == [(1, 2)]
+
+
+def test_copies_of_one_text_never_meet(spark, rows):
+    d = spark.createDataFrame([(i, "The order") for i in range(400)] + [(400, "Тhe order"), (401, "Тhе order")], "doc_id bigint, text string")
+    got = rows(alike(look_classes(d).withColumn("n_alike", F.lit(1))))
+    assert len(got) == 400 * 2 and (400, 401) not in got and all(a < b and b >= 400 for a, b in got)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from(LATIN + CYRILLIC.replace(".", "") + GREEK.replace(".", "") + "пжωb ​́"), max_size=24), st.randoms())
 def test_swapping_twins_never_changes_the_form(text, rnd):
