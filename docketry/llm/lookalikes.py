@@ -64,6 +64,7 @@ def _changed() -> re.Pattern:
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 _OWN = (re.compile(r"[Ѐ-ԯ]"), re.compile(r"[Ͱ-Ͽ]"))
 _EITHER = re.compile("[Ͱ-ԯ]")
+_OURS = re.compile("[A-Za-z\u00c0-\u024f\u0370-\u052f\u1e00-\u1fff]")
 _SHAPERS = re.compile(f"[{JOINERS}{SELECTORS}]")
 # Joiners shape Arabic and Syriac letters and Indic signs, and bind emoji; selectors choose the look of a symbol.
 _IDLE_JOINER = re.compile("(?<![؀-޿ࢠ-ࣿऀ-෿က-႟←-⯿️\U0001f000-\U0001faff])[‌‍]+|[‌‍]+(?![؀-޿ࢠ-ࣿऀ-෿က-႟←-⯿\U0001f000-\U0001faff])")
@@ -145,7 +146,8 @@ def token_scripts(token: str) -> frozenset[str]:
 def _resolved(token: str, wide: dict[str, dict[str, str]]) -> str:
     """A token (in prototype spelling) that mixes letters of SCRIPTS with such of another script: spelled with their look-alikes in
     the first of the three in which all its letters then are; as it is, if none has them all or nothing is mixed."""
-    if all(c in wide or unicodedata.combining(c) for c in token):
+    rest = [c for c in token if c not in wide and not unicodedata.combining(c)]
+    if not rest or not all(_OURS.match(c) for c in rest):
         return token  # one foreign script alone
     for script in SCRIPTS:
         spelled = "".join([wide[c].get(script, c).translate(_tables()[1]) if c in wide else c for c in token])
