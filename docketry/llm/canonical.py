@@ -169,9 +169,9 @@ def form_scores(texts: DataFrame, canons: DataFrame) -> DataFrame:
     distance are kept; the score chooses. A form's score is the cosine of its words and the typed ones: typed words that
     stand for none of the form's count against it, with the weight that they have in the list, or more if the list has them not.
     """
-    forms = written_forms(canons)
-    vocabulary, weights = _vocabulary(forms)
-    vocabulary, weights = checkpointed(vocabulary), checkpointed(weights)  # the reference list's, which doesn't grow
+    forms = checkpointed(written_forms(canons))  # what is of the reference list doesn't grow; read once, the plans stay short
+    vocabulary, weights = map(checkpointed, _vocabulary(forms))
+    thresholds = checkpointed(form_thresholds(forms, weights).join(forms.select("form", "scheme"), "form"))
     top = weights.agg(F.max("weight").alias("w")).select("w").scalar()
     size = F.size("words")
     letters = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(w, 1, 1)), "")
@@ -179,14 +179,14 @@ def form_scores(texts: DataFrame, canons: DataFrame) -> DataFrame:
     spelt = lambda i, k: F.array(run(letters(F.slice("words", i + 1, k)), i, k), run(F.concat(F.get("words", i), letters(F.slice("words", i + 2, k - 1))), i, k))
     runs = F.flatten(F.flatten(F.transform(F.sequence(F.lit(2), F.lit(4)), lambda k: F.transform(F.sequence(F.lit(0), F.greatest(size - k, F.lit(0))), lambda i: spelt(i, k)))))
     single = F.transform("words", lambda w, i: F.struct(w.alias("token"), F.array(i).alias("at"), F.lit(False).alias("initials")))
-    typed = texts.select("sig", F.explode(F.concat(single, F.filter(runs, lambda r: F.size("words") > F.element_at(r["at"], -1)))).alias("t")).select("sig", "t.*")
+    typed = checkpointed(texts.select("sig", F.explode(F.concat(single, F.filter(runs, lambda r: F.size("words") > F.element_at(r["at"], -1)))).alias("t")).select("sig", "t.*"))
     known = vocabulary.select("word").distinct()
     used = typed.filter(~F.col("initials")).select("token").distinct()
     index = known.select("word", F.explode(deletes(F.col("word"), edits_allowed(F.length("word")))).alias("key"))
     near = used.select("token", F.explode(deletes(F.col("token"), edits_allowed(F.length("token") + 1))).alias("key")).join(index, "key").select("token", "word").distinct()
     near = near.withColumn("edits", edits(F.col("token"), F.col("word"))).filter(F.col("edits") <= edits_allowed(F.length("word")))
     least = near.groupBy("token").agg(F.min("edits").alias("least"))
-    near = near.join(least, "token").filter(F.col("edits") == F.col("least")).select("token", "word", likeness(F.col("edits"), F.length("word")).alias("like"), F.lit(False).alias("initials"))
+    near = checkpointed(near.join(least, "token").filter(F.col("edits") == F.col("least")).select("token", "word", likeness(F.col("edits"), F.length("word")).alias("like"), F.lit(False).alias("initials")))
     shorts = vocabulary.filter("short").select("word").distinct()
     first = shorts.withColumn("letter", F.substring("word", 1, 1))
     long = used.withColumn("letter", F.substring("token", 1, 1)).join(first, "letter").filter(F.length("token") > F.length("word"))
@@ -204,7 +204,7 @@ def form_scores(texts: DataFrame, canons: DataFrame) -> DataFrame:
     places = typed.filter(~F.col("initials")).select("sig", "token", F.col("at")[0].alias("i")).join(value, "token")
     total = places.groupBy("sig").agg(F.sum("typed_weight").alias("all_weight"))
     met = there.join(places, ["sig", "i"]).groupBy("sig", "form").agg(F.sum("typed_weight").alias("met_weight"))
-    rows = dots.join(met, ["sig", "form"]).join(total, "sig").join(form_thresholds(forms, weights), "form").join(forms.select("form", "scheme"), "form")
+    rows = dots.join(met, ["sig", "form"]).join(total, "sig").join(thresholds, "form")
     score = F.col("dot") / F.sqrt("norm") / F.sqrt(F.col("own") + F.greatest(F.col("all_weight") - F.col("met_weight"), F.lit(0.0)))
     return rows.withColumn("score", score).filter(F.col("score") >= F.col("threshold")).groupBy("sig", "scheme").agg(F.max("score").alias("score"))
 
@@ -220,7 +220,7 @@ def mapped_values(values: DataFrame, canons: DataFrame) -> DataFrame:
     """
     read = values.select("value").filter(F.col("value").isNotNull()).distinct().withColumn("r", _reader()("value")).select("value", "r.*")
     read = checkpointed(read.filter(F.col("second").isNotNull() & (F.size("words") > 0)).withColumn("sig", F.array_join("words", " ")))
-    scored = form_scores(read.groupBy("sig").agg(F.first("words").alias("words")), canons)
+    scored = form_scores(checkpointed(read.groupBy("sig").agg(F.first("words").alias("words"))), canons)
     entry = F.regexp_extract_all("canon_id", F.lit(r"(\d+[a-z]?)(?=_|$)"), 1)
     entries = canons.select("canon_id", F.substring_index("canon_id", ":", 1).alias("scheme"), F.when(F.size(entry) > 1, entry[0]).alias("e_first"), F.element_at(entry, -1).alias("second"))
     joined = read.select("value", "sig", "first", "second").join(entries, "second").filter(F.col("first").eqNullSafe(F.col("e_first"))).join(scored, ["sig", "scheme"])
@@ -239,9 +239,9 @@ def mapped_rows(rows: DataFrame, canons: DataFrame) -> DataFrame:
     Values are mapped once each; the mapping is joined back with hot values salted.
     """
     rows = rows.filter(F.col("value").isNotNull())
-    counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")))
     total = rows.select(F.count(F.lit(1))).scalar()
     hot = counts.filter(F.col("n") >= total * F.lit(HOT_SHARE)).select("value")
-    mapped = mapped_values(counts, canons).select("value", "canon_id")
+    mapped = checkpointed(mapped_values(counts, canons).select("value", "canon_id"))
     left, right = salted(rows, mapped, hot, "value", F.col("row_key"))
     return left.join(right, ["value", "salt"], "left").select("tbl", "row_key", "value", "canon_id").distinct()
