@@ -118,12 +118,17 @@ def fence_fields(df: DataFrame, source: str, names: tuple[str, ...] = FENCED_FIE
     return df.select(*[rewrite(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
 
 
+def title_case(c: Column) -> Column:
+    """Every run of letters with a capital first, also behind hyphens and apostrophes."""
+    parts = F.regexp_extract_all(c, F.lit(r"([A-Za-zÀ-ɏ]+|[^A-Za-zÀ-ɏ]+)"), 1)
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
 def surname(c: Column) -> Column:
     """The last word of an author that is no title, with capitals as in a title (also behind an apostrophe)."""
     words = F.filter(F.regexp_extract_all(c, F.lit(r"([A-Za-z][A-Za-z'’\-]*)"), 1), lambda w: ~F.lower(w).isin(*TITLES))
     last = F.when(F.size(words) > 0, F.element_at(words, -1)).otherwise(F.trim(c))
-    parts = F.regexp_extract_all(last, F.lit(r"([A-Za-zÀ-ɏ]+|[^A-Za-zÀ-ɏ]+)"), 1)
-    return F.when(c.isNotNull(), F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), ""))
+    return F.when(c.isNotNull(), title_case(last))
 
 
 # Titles of judges.
@@ -149,3 +154,22 @@ def json_object(c: Column) -> Column:
     inner = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
     parses = lambda x: F.try_parse_json(x).isNotNull()
     return F.when(parses(body), body).when((inner != "") & parses(inner), inner)
+
+
+def final_answer(c: Column) -> Column:
+    """struct<answer, citations, parsed> of a reply: of the last JSON object in a fenced block that has a text `answer`, or without
+    blocks of the object from the last `{"answer"` (or the first brace) to the last brace; else the reply itself, not parsed.
+    Citations without a case are left out."""
+    schema = "struct<answer: string, citations: array<struct<case: string, quote: string, page: int>>>"
+    blocks = F.regexp_extract_all(c, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), 1)
+    last = F.length(c) - F.locate(F.reverse(F.lit('{"answer"')), F.reverse(c)) - len('{"answer"') + 2
+    start = F.when(F.contains(c, F.lit('{"answer"')), last).otherwise(F.locate("{", c))
+    end = F.length(c) - F.locate("}", F.reverse(c)) + 1
+    bare = F.when((start > 0) & F.contains(c, F.lit("}")), F.array(F.substring(c, start, end - start + 1))).otherwise(F.array().cast("array<string>"))
+    texts = F.when(F.size(blocks) > 0, blocks).otherwise(bare)
+    is_text = lambda t: F.schema_of_variant(F.try_variant_get(F.try_parse_json(t), "$.answer", "variant")) == "STRING"
+    read = F.from_json(F.element_at(F.filter(texts, is_text), -1), schema)
+    ok = F.size(F.filter(texts, is_text)) > 0
+    none = F.array().cast("array<struct<case: string, quote: string, page: int>>")
+    kept = F.filter(F.coalesce(read["citations"], none), lambda x: F.coalesce(x["case"], F.lit("")) != "")
+    return F.when(c.isNotNull(), F.struct(F.trim(F.when(ok, read["answer"]).otherwise(c)).alias("answer"), F.when(ok, kept).otherwise(none).alias("citations"), ok.alias("parsed")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.citations import canon
 from docketry.functions.text import match_key
-from docketry.operators.quotes import checked_quotes
+from docketry.operators.quotes import altered_quotes, checked_quotes
 from docketry.operators.search import resolve
 
 VERIFIED, EXTERNAL, UNVERIFIED = "verified_in_corpus", "resolved_externally", "unverified"
@@ -42,6 +42,18 @@ QUOTE_LEAST, QUOTATION_LEAST = 3, 5
 _MARKER, _QUOTED, _CASE_CITE = re.compile(MARKER), re.compile(QUOTED), re.compile(CASE_CITE)
 
 
+# Fixed value: what the text of a provider's failure says.
+PROVIDER_ERROR = r"(?i)API Error|Request rejected \(429\)|HTTP 429|usage limit|rate.?limit"
+
+
+def failure(status: Column, input_tokens: Column, output_tokens: Column, parsed: Column, answer: Column) -> Column:
+    """Why a turn is no real result, or null: the agent failed; no tokens are counted and no draft was parsed, so the model never
+    answered; or the draft is a provider's error. Nulls count as 0, as not parsed and as empty."""
+    none = lambda c: F.coalesce(c, F.lit(0)) == 0
+    silent = none(input_tokens) & none(output_tokens) & ~F.coalesce(parsed, F.lit(False))
+    return F.when(status == "error", "agent error").when(silent, "model never answered").when(F.coalesce(answer, F.lit("")).rlike(PROVIDER_ERROR), "provider error in draft")
+
+
 def answer_sentences(c: Column) -> Column:
     """Sentences and list items of an answer as an array; stops of legal abbreviations end none."""
     hidden = F.regexp_replace(c, PROTECTED, "$1․")
@@ -152,7 +164,7 @@ def answer_problems(drafts: DataFrame, citations: DataFrame, pages: DataFrame) -
     where = citations.filter(F.col("in_corpus")).select("draft_id", "marker", "case_id")
     tries = quotes.join(where, "draft_id", "left").filter(F.col("case_id").isNotNull() & (~F.col("full") | F.array_contains("markers", F.col("marker"))))
     literal = checked_quotes(tries.select("draft_id", "quote_no", "quote", "case_id", F.lit(None).cast("int").alias("page")).distinct(), pages)
-    held = literal.filter("quote_match").select("draft_id", "quote_no").unionByName(_altered(literal.filter(~F.col("quote_match")), pages)).distinct()
+    held = literal.filter("quote_match").select("draft_id", "quote_no").unionByName(altered_quotes(literal.filter(~F.col("quote_match")), pages, ["draft_id", "quote_no"])).distinct()
     quote = quotes.join(held, ["draft_id", "quote_no"], "left_anti").select("draft_id", F.lit("unverified_quote").alias("kind"), F.substring("quote", 1, 200).alias("detail"))
     out = dangling
     for part in (unused, bad, none, claim, cite, status, quote):
@@ -160,17 +172,6 @@ def answer_problems(drafts: DataFrame, citations: DataFrame, pages: DataFrame) -
     return out
 
 
-def _altered(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    from docketry.operators.quotes import PagesIndex, _with_pages
-
-    @F.pandas_udf("boolean")
-    def there(texts: pd.Series, quotes: pd.Series) -> pd.Series:
-        return pd.Series([t is not None and PagesIndex((x["page"], x["text"]) for x in t).altered(q) for t, q in zip(texts, quotes, strict=True)])
-
-    asked = rows.filter(F.col("quote").rlike(r"\[[A-Za-z]{1,3}\]")).select("draft_id", "quote_no", "quote", "case_id")
-    return _with_pages(asked, pages, "case_id").filter(there("pages", "quote")).select("draft_id", "quote_no")
-
-
 def answer_reports(drafts: DataFrame, citations: DataFrame, problems: DataFrame) -> DataFrame:
     """draft_id, passed, problem_kinds (distinct, sorted) and the number of citations in each tier."""
     kinds = problems.groupBy("draft_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ", ").alias("problem_kinds"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from docketry.functions.text import jaccard, slug, span_iou, span_overlap, token_set
 from docketry.operators.answers import STATUS_LABEL, status_claims
+from docketry.sources.tables import checkpointed
 
 SPAN_WEIGHT, TEXT_WEIGHT, MERGE_OVERLAP = 0.8, 0.2, 0.5
 SWEEP = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
@@ -20,6 +21,8 @@ STANCES = ("follows", "distinguishes", "overrules", "criticizes", "relies_on", "
 PARTS = ("headnote", "syllabus", "front_matter_or_syllabus", "majority", "per_curiam", "concurrence", "dissent", "concurrence_and_dissent", "body_unsegmented")
 AUTHORITY_KINDS = ("case", "statute", "regulation", "constitution", "other")
 ANSWERED = ("verified", "salvaged")
+# Fixed value: the name of the tool by which an agent checks its own answer.
+VERIFY_TOOL = "mcp__verifier__verify_answer"
 
 
 def valid_nodes(raw: DataFrame) -> DataFrame:
@@ -122,13 +125,24 @@ def node_scores(pred: DataFrame, gold: DataFrame, threshold: float, *, relaxed:
     return pairs.withColumn("score", SPAN_WEIGHT * best + TEXT_WEIGHT * jaccard(F.col("pred_words"), F.col("gold_words"))).filter(F.col("score") >= threshold).select("unit_id", "pred_id", "gold_id", "score")
 
 
-def matched(scores: DataFrame) -> DataFrame:
-    """unit_id, pred_id, gold_id: greedy pairs, best score first, then by ids; each id in one pair. A fold over a unit's scored pairs."""
-    pairs = scores.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pred_id", "gold_id"))).alias("c"))
-    none = F.array().cast("array<struct<s: double, pred_id: string, gold_id: string>>")
-    taken = lambda acc, x: F.exists(acc, lambda y: (y["pred_id"] == x["pred_id"]) | (y["gold_id"] == x["gold_id"]))
-    kept = F.aggregate("c", none, lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    return pairs.select("unit_id", F.explode(kept).alias("k")).select("unit_id", "k.pred_id", "k.gold_id")
+def matched(scores: DataFrame, within: tuple[str, ...] = ("unit_id",)) -> DataFrame:
+    """The columns `within`, pred_id, gold_id: greedy pairs, best score first, then by ids; each id in one pair.
+
+    A pair that is the best of both its ends is the next that greed takes of either, so all such pairs are taken at once, and again
+    of what they leave, until nothing is left: the same pairs as one after the other, whatever a unit's number of scored pairs.
+    Rounds are written to the shared checkpoint folder.
+    """
+    pairs = checkpointed(scores.select(*within, "pred_id", "gold_id", "score").distinct())
+    out = pairs.select(*within, "pred_id", "gold_id").limit(0)
+    order = [F.desc("score"), "pred_id", "gold_id"]
+    first = lambda end: F.row_number().over(Window.partitionBy(*within, end).orderBy(*order)) == 1
+    while not pairs.isEmpty():
+        best = checkpointed(pairs.withColumns({"a": first("pred_id"), "b": first("gold_id")}).filter("a AND b").select(*within, "pred_id", "gold_id"))
+        out = out.unionByName(best)
+        for end in ("pred_id", "gold_id"):
+            pairs = pairs.join(best.select(*within, end), [*within, end], "left_anti")
+        pairs = checkpointed(pairs)
+    return out
 
 
 def matched_edges(pred: DataFrame, gold: DataFrame, nodes: DataFrame, *, relaxed: bool = False) -> DataFrame:
@@ -177,15 +191,13 @@ def macro_scores(items: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(pred: DataFrame, gold: DataFrame, thresholds: tuple[float, ...] = SWEEP) -> DataFrame:
-    """threshold, tp, fp, fn, p, r, f1 of node matching at each threshold. Pairs are scored once."""
-    pairs = node_scores(pred, gold, min(thresholds))
+    """threshold, tp, fp, fn, p, r, f1 of node matching at each threshold. Pairs are scored once and matched for all thresholds at once."""
+    pairs = node_scores(pred, gold, min(thresholds)).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).filter(F.col("score") >= F.col("threshold"))
+    hits = matched(pairs, ("threshold", "unit_id")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
     n_pred, n_gold = pred.select(F.count(F.lit(1))).scalar(), gold.select(F.count(F.lit(1))).scalar()
-    out = None
-    for t in thresholds:
-        tp = matched(pairs.filter(F.col("score") >= t)).agg(F.count(F.lit(1)).alias("n"))
-        row = tp.select(F.lit(t).alias("threshold"), *prf(F.col("n"), n_pred - F.col("n"), n_gold - F.col("n")))
-        out = row if out is None else out.unionByName(row)
-    return out
+    each = pred.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double").join(hits, "threshold", "left")
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    return each.select("threshold", *prf(n, n_pred - n, n_gold - n))
 
 
 def tier_scores(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -230,11 +242,12 @@ def error_summary(errors: DataFrame, order: list[str], examples: int = 5) -> Dat
     return n.join(lines, "bucket")
 
 
-def scored_turns(turns: DataFrame, golden: DataFrame, disclaimer: str = "Disclaimer:") -> DataFrame:
-    """Each turn with recall, precision, behaviour_ok, needs_tools_ok, status_claims.
+def scored_turns(turns: DataFrame, golden: DataFrame, disclaimer: str = "Disclaimer:", *, allowed_tools: tuple[str, ...] | None = None, verify_tool: str = VERIFY_TOOL) -> DataFrame:
+    """Each turn with recall, precision, missed, behaviour_ok, n_status_claims, needs_tools_ok, only_allowed_tools, self_verified, tool_calls.
 
     turns: id, system, status, text, cited array<string> (cases verified and referred to), tools array<string>; golden: id, category,
-    expect, expected_cases, needs_tools. Recall is null without expected cases, precision also without cited ones.
+    expect, expected_cases, needs_tools. Recall is null without expected cases, precision also without cited ones; what is said of
+    tools is null for turns without a list of them.
     """
     rows = turns.join(golden, "id")
     expected, cited = F.coalesce("expected_cases", F.array().cast("array<string>")), F.coalesce("cited", F.array().cast("array<string>"))
@@ -245,24 +258,45 @@ def scored_turns(turns: DataFrame, golden: DataFrame, disclaimer: str = "Disclai
     claims = status_claims(F.col("text"))
     behaviour = F.when(F.col("expect") == "refuse", m == 0).when(F.col("expect") == "disclaimer", F.contains(text, F.lit(disclaimer))).when(F.col("expect") == "status", answered & F.contains(text, F.lit(STATUS_LABEL)) & (claims == 0)).otherwise(answered)
     needs = F.forall(F.coalesce("needs_tools", F.array().cast("array<string>")), lambda x: F.exists("tools", lambda t: F.contains(t, x)))
-    return rows.withColumns({"recall": F.when(n > 0, F.round(hit / n, 3)), "precision": F.when((n > 0) & (m > 0), F.round(hit / m, 3)), "behaviour_ok": behaviour, "needs_tools_ok": F.when(F.col("tools").isNotNull(), needs), "n_status_claims": claims})
+    listed = F.col("tools").isNotNull()
+    allowed = F.lit(True) if allowed_tools is None else F.forall("tools", lambda t: t.isin(*allowed_tools))
+    return rows.withColumns(
+        {
+            "recall": F.when(n > 0, F.round(hit / n, 3)), "precision": F.when((n > 0) & (m > 0), F.round(hit / m, 3)), "missed": F.array_sort(F.array_except(expected, cited)), "behaviour_ok": behaviour,
+            "needs_tools_ok": F.when(listed, needs), "only_allowed_tools": F.when(listed, allowed), "self_verified": F.when(listed, F.array_contains("tools", verify_tool)), "tool_calls": F.when(listed, F.size("tools")),
+            "n_status_claims": claims,
+        }
+    )
+
 
+def turn_aggregate(scored: DataFrame, input_price: float, output_price: float) -> DataFrame:
+    """system, category ((all) for all of a system's): what scored turns add up to, in one aggregation over grouping sets.
 
-def turn_aggregate(turns: DataFrame, input_price: float, output_price: float) -> DataFrame:
-    """system, status (null for all of a system's): turns, mean, median and longest latency, token sums, turns without input
-    counts, cost per turn (null where counts are missing). One aggregation over grouping sets."""
-    cost = (F.col("input_tokens") * input_price + F.col("output_tokens") * output_price) / 1e6
-    grouped = turns.groupingSets([["system"], ["system", "status"]], "system", "status").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_s"), 6).alias("latency_mean"), F.round(F.percentile("latency_s", F.lit(0.5)), 6).alias("latency_p50"), F.max("latency_s").alias("latency_max"),
-        F.sum("model_calls").alias("model_calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count_if(F.col("input_tokens").isNull()).alias("input_missing"),
-        F.round(F.avg(cost), 6).alias("cost"), F.grouping("status").alias("g"),
+    n; means of recall and precision, nulls aside; shares of behaviour_ok, answered, and of needs_tools_ok, only_allowed_tools and
+    self_verified where these are known; sums of status claims and unverified citations; mean, median and longest latency; sums of
+    tokens and calls, with null as 0; turns with output but no input tokens (their cost is understated); cost of a turn and of all.
+
+    scored: of scored_turns, with system, category, latency_s, input_tokens, output_tokens, model_calls and n_unverified.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    cost = (zero("input_tokens") * input_price + zero("output_tokens") * output_price) / 1e6
+    share = lambda c: F.round(F.avg(c.cast("int")), 3)
+    flags = ("behaviour_ok", "needs_tools_ok", "only_allowed_tools", "self_verified")
+    total = lambda c: F.sum(zero(c)).cast("bigint")
+    grouped = scored.groupingSets([["system"], ["system", "category"]], "system", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 3).alias("recall"), F.round(F.avg("precision"), 3).alias("precision"), *[share(F.col(c)).alias(c) for c in flags],
+        share(F.coalesce(F.col("status").isin(*ANSWERED), F.lit(False))).alias("answered"), total("n_status_claims").alias("status_claims"), total("n_unverified").alias("unverified_citations"),
+        F.round(F.avg("latency_s"), 1).alias("latency_mean"), F.round(F.percentile("latency_s", F.lit(0.5)), 1).alias("latency_p50"), F.round(F.max("latency_s"), 1).alias("latency_max"),
+        total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"), total("model_calls").alias("model_calls"), F.count_if((zero("output_tokens") > 0) & (zero("input_tokens") == 0)).alias("input_missing"),
+        F.round(F.avg(cost), 6).alias("cost"), F.round(F.sum(cost), 4).alias("cost_total"), F.grouping("category").alias("g"),
     )
-    return grouped.withColumn("status", F.when(F.col("g") == 1, "(all)").otherwise(F.coalesce("status", F.lit("")))).withColumn("cost", F.when(F.col("input_missing") == 0, F.col("cost"))).drop("g")
+    return grouped.withColumn("category", F.when(F.col("g") == 1, "(all)").otherwise(F.coalesce("category", F.lit("")))).drop("g")
 
 
-def unit_progress(units: DataFrame, replies: DataFrame, stages: tuple[str, ...] = ("nodes", "edges")) -> DataFrame:
-    """unit_id, state: done with a whole reply for each stage, partial with some, failed if one was cut off, else pending.
-    replies: unit_id, stage, finish_reason."""
-    by = replies.filter(F.col("stage").isin(*stages)).groupBy("unit_id").agg(F.count_distinct(F.when(F.col("finish_reason") != "length", F.col("stage"))).alias("whole"), F.count_if(F.col("finish_reason") == "length").alias("cut"))
-    rows = units.select("unit_id").distinct().join(by, "unit_id", "left").fillna(0, ["whole", "cut"])
-    return rows.select("unit_id", F.when(F.col("whole") >= len(stages), "done").when(F.col("cut") > 0, "failed").when(F.col("whole") > 0, "partial").otherwise("pending").alias("state"))
+def unit_progress(units: DataFrame, replies: DataFrame, stages: tuple[str, ...] = ("nodes", "edges"), *, offline: bool = False) -> DataFrame:
+    """unit_id, state: ok with a whole reply for each stage; partial where there is a reply for each but one was cut off or failed;
+    of others not_cached if nothing can be asked (`offline`), else pending. replies: unit_id, stage, finish_reason."""
+    whole = F.coalesce(F.col("finish_reason"), F.lit("stop")) == "stop"
+    by = replies.filter(F.col("stage").isin(*stages)).groupBy("unit_id").agg(F.count_distinct(F.when(whole, F.col("stage"))).alias("whole"), F.count_distinct("stage").alias("there"))
+    rows = units.select("unit_id").distinct().join(by, "unit_id", "left").fillna(0, ["whole", "there"])
+    return rows.select("unit_id", F.when(F.col("whole") >= len(stages), "ok").when(F.col("there") >= len(stages), "partial").otherwise("not_cached" if offline else "pending").alias("state"))

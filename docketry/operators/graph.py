@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.functions.citations import canon, cite_pattern
+from docketry.operators.mentions import match_offsets
 
 CITATION_EDGES = ("CITES", "FOLLOWS", "DISTINGUISHES", "OVERRULES", "CITES_LLM")
 NODE_LABELS = ("Case", "Authority", "Statute", "Regulation", "Page", "Doctrine", "Judge")
@@ -106,17 +107,34 @@ def own_citations(known: DataFrame) -> DataFrame:
     return cited.groupBy("canon_id").agg(F.max_by(F.struct("id", "domain"), "id").alias("r")).select("canon_id", F.col("r.id").alias("target"), F.col("r.domain").alias("target_domain"))
 
 
-def find_evidence(rows: DataFrame, pages: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """`rows` (case_id and a Java pattern) with page and quote of the pattern's first match in the case's pages, in page order;
-    null where there is none. The quote is the match with 60 characters on either side."""
-    rows = rows.withColumn("row_id", F.xxhash64("case_id", pattern))
-    hits = rows.select("row_id", "case_id", pattern).distinct().join(pages, "case_id").filter(F.rlike("text", F.col(pattern)))
-    found = F.regexp_substr("text", F.col(pattern))
-    at = F.call_function("instr", F.col("text"), found)
-    start = F.greatest(at - CONTEXT, F.lit(1))
-    quote = F.substring("text", start, at - start + F.length(found) + CONTEXT)
-    first = hits.groupBy("row_id").agg(F.min_by(F.struct("page", quote.alias("quote")), "page").alias("e")).select("row_id", "e.page", "e.quote")
-    return rows.join(first, "row_id", "left").drop("row_id")
+def quoted_match(text: Column, pattern: Column) -> Column:
+    """The pattern's first match with 60 characters on either side. Where it is, the text before it says, which the pattern itself
+    splits off: what the match says may stand earlier inside something longer."""
+    at = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
+    found = F.length(F.regexp_substr(text, pattern))
+    start = F.greatest(at - CONTEXT, F.lit(0))
+    return F.substring(text, start + 1, at - start + found + CONTEXT)
+
+
+#: Patterns of one case that a page is searched for at a time.
+BLOCK = 200
+
+
+def find_evidence(rows: DataFrame, pages: DataFrame, raw: str = "raw") -> DataFrame:
+    """`rows` (case_id and a citation as written) with page and quote of the citation's first match in the case's pages, in page
+    order; null where there is none. Blanks may stand anywhere in it, digits on either side may not.
+
+    Each page meets its case's distinct citations in blocks, so its text is sent along once for each block; a citation is searched
+    for as a pattern only on pages that, without blanks, have it at all.
+    """
+    asked = rows.select(F.col("case_id").alias("of_case"), F.col(raw).alias("raw")).distinct().filter(F.col("raw").isNotNull())
+    number = F.floor((F.row_number().over(Window.partitionBy("of_case").orderBy("raw")) - 1) / BLOCK)
+    blocks = asked.withColumn("block", number).groupBy("of_case", "block").agg(F.collect_list("raw").alias("raws"))
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    there = pages.withColumn("bare", bare(F.col("text"))).join(blocks, pages["case_id"] == F.col("of_case")).withColumn("raws", F.filter("raws", lambda r: F.contains("bare", bare(r))))
+    hits = there.filter(F.size("raws") > 0).select("case_id", "page", "text", F.explode("raws").alias(raw)).withColumn("pattern", cite_pattern(F.col(raw))).filter(F.rlike("text", F.col("pattern")))
+    first = hits.groupBy("case_id", raw).agg(F.min_by(F.struct("page", quoted_match(F.col("text"), F.col("pattern")).alias("quote")), "page").alias("e")).select("case_id", raw, "e.page", "e.quote")
+    return rows.join(first, ["case_id", raw], "left")
 
 
 def detected_citations(records: DataFrame, known: DataFrame) -> DataFrame:
@@ -137,8 +155,7 @@ def resolved_citations(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def citation_edges(records: DataFrame, known: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Contributions of detected citations: edges, and the authorities outside the corpus as nodes."""
-    found = resolved_citations(detected_citations(records, known), known).withColumn("pattern", cite_pattern(F.col("raw")))
-    found = find_evidence(found, pages)
+    found = find_evidence(resolved_citations(detected_citations(records, known), known), pages)
     order = _order(1, "case_id", F.lpad(F.col("pos").cast("string"), 9, "0"))
     edges = edge_rows(found, "CITES", F.col("case_id"), F.col("target"), order, scope=F.col("scope"), basis=F.lit("detected_citation"), page=F.col("page"), quote=F.col("quote"))
     none = F.lit(None).cast("string")
@@ -169,28 +186,51 @@ def match_edges(matches: DataFrame) -> DataFrame:
     return edge_rows(rows, "CITES", F.col("source"), F.col("target"), _order(3, "source", "match_id"), scope=F.lit("cross_domain"), basis=F.col("basis"), confidence=confidence, page=F.col("page"), quote=F.col("quote"))
 
 
+US_CITATION = r"(?<!\d)(\d+\s*U\.\s*S\.\s*\d+)(?!\d)"
+
+
 def cross_domain_matches(known: DataFrame, pages: DataFrame, from_domain: str, to_domain: str) -> DataFrame:
     """Matches found in text: cases of `from_domain` whose pages name a case of `to_domain` or give its U.S. citation.
 
-    Reporter citations are extracted from the pages and joined on their canonical id. Titles are joined on their first word of
-    four letters or more, a key that every matching page has, before the pattern (any blanks between words, any case) is
-    tried; so no page meets all titles. match_id, source, target, basis, page, quote of the first page that matches.
+    match_id, source, target, basis, and page and quote of the first page that matches; both null for a match that only runs over
+    the end of a page. Titles match with any blanks between words and in any case.
+
+    Citations are taken from each page with their quotes and joined by canonical id. A title is looked for where its rarest word
+    is: the words of pages, without texts, are joined to these keys, which so are no frequent words; the pages then meet the
+    titles that may be on them as one array, so a text is sent along once. Blank pages and titles without a word match nothing.
     """
-    sources = pages.join(known.filter(F.col("domain") == from_domain).select(F.col("id").alias("case_id")), "case_id", "left_semi")
+    ids = known.filter(F.col("domain") == from_domain).select(F.col("id").alias("case_id"))
+    own = pages.filter(F.trim("text") != "").join(ids, "case_id", "left_semi")
+    following = F.lead("text").over(Window.partitionBy("case_id").orderBy("page"))
+    sources = own.select("case_id", "page", "text", F.concat_ws("\n", "text", following).alias("both"))
     targets = known.filter(F.col("domain") == to_domain)
-    cite = r"(?<!\d)(\d+\s*U\.\s*S\.\s*\d+)(?!\d)"
-    cites = sources.select("case_id", "page", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(cite), 1))).alias("found")).withColumn("canon_id", canon(F.col("found"))["id"])
-    by_reporter = cites.join(targets.filter(F.col("canon_id").startswith("us:")).select("canon_id", F.col("id").alias("target")), "canon_id").select(F.lit("reporter").alias("basis"), "case_id", "target", "page", "text", "found")
-    word = r"(?U)(\w{4,})"
-    names = targets.select(F.col("id").alias("target"), F.trim(F.regexp_replace("title", r"(?U)\s+", " ")).alias("title")).filter(F.col("title") != "")
-    names = names.select("target", F.concat(F.lit("(?i)"), F.regexp_replace(F.regexp_replace("title", r"([^\p{L}\p{N} ])", r"\\$1"), " ", r"\\s+")).alias("pattern"), F.regexp_extract(F.lower("title"), word, 1).alias("key"))
-    words = sources.select("case_id", "page", "text", F.explode(F.array_distinct(F.concat(F.regexp_extract_all(F.lower("text"), F.lit(word), 1), F.array(F.lit(""))))).alias("key"))
-    by_name = words.join(names, "key").filter(F.rlike("text", "pattern")).withColumn("found", F.regexp_substr("text", F.col("pattern"))).select(F.lit("name").alias("basis"), "case_id", "target", "page", "text", "found")
+    found = sources.filter(F.rlike("both", F.lit(US_CITATION))).select("case_id", "page", "both", F.length("text").alias("n"), F.explode(match_offsets(F.col("both"), US_CITATION)).alias("m"))
+    inside = (F.col("m.start") + F.length("m.found")) <= F.col("n")
+    low = F.greatest(F.col("m.start") - CONTEXT, F.lit(0))
+    length = F.least(F.col("m.start") + F.length("m.found") + CONTEXT, F.col("n")) - low
+    cites = found.filter(F.col("m.start") < F.col("n")).select("case_id", "page", F.when(inside, F.col("m.start")).alias("at"), F.when(inside, F.substring("both", low + 1, length)).alias("quote"), canon(F.col("m.found"))["id"].alias("canon_id"))
+    by_reporter = cites.join(targets.filter(F.col("canon_id").startswith("us:")).select("canon_id", F.col("id").alias("target")), "canon_id").select(F.lit("reporter").alias("basis"), "case_id", "target", "page", "at", "quote")
+    # Names: the words of pages and of titles, without texts.
+    word = r"(?U)(\w+)"
+    names = targets.select(F.col("id").alias("target"), F.trim(F.regexp_replace("title", r"(?U)\s+", " ")).alias("title")).filter(F.rlike("title", F.lit(word)))
+    names = names.withColumn("pattern", F.concat(F.lit("(?i)"), F.regexp_replace(F.regexp_replace("title", r"([^\p{L}\p{N} ])", r"\\$1"), " ", r"\\s+")))
+    title_words = names.select("target", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(word), 1))).alias("word"))
+    page_words = sources.select("case_id", "page", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), 1))).alias("word"))
+    page_words = page_words.join(title_words.select("word").distinct(), "word", "left_semi")
+    counts = page_words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    keys = title_words.join(counts, "word", "left").groupBy("target").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("k")).filter(F.col("k.n") > 0).select("target", F.col("k.word").alias("word"))
+    near = page_words.join(keys, "word").join(names.select("target", "pattern"), "target").groupBy("case_id", "page").agg(F.collect_set(F.struct("target", "pattern")).alias("names"))
+    # A name may begin on the page before the one that has its key.
+    before = Window.partitionBy("case_id").orderBy("page")
+    reach = own.select("case_id", "page", F.lead("page").over(before).alias("next_page"))
+    wide = near.unionByName(near.withColumnRenamed("page", "next_page").join(reach, ["case_id", "next_page"]).select("case_id", "page", "names"))
+    wide = wide.groupBy("case_id", "page").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    tried = sources.join(wide, ["case_id", "page"]).select("case_id", "page", "text", "both", F.explode(F.filter("names", lambda t: F.rlike("both", t["pattern"]))).alias("t"))
+    on_page = F.rlike("text", "t.pattern")
+    quote = F.when(on_page, quoted_match(F.col("text"), F.col("t.pattern")))
+    by_name = tried.select(F.lit("name").alias("basis"), "case_id", "t.target", "page", F.when(on_page, 0).alias("at"), quote.alias("quote"))
     hits = by_reporter.unionByName(by_name)
-    at = F.call_function("instr", F.col("text"), F.col("found"))
-    start = F.greatest(at - CONTEXT, F.lit(1))
-    quote = F.substring("text", start, at - start + F.length("found") + CONTEXT)
-    first = hits.groupBy("case_id", "target", "basis").agg(F.min_by(F.struct("page", quote.alias("quote")), "page").alias("e"))
+    first = hits.groupBy("case_id", "target", "basis").agg(F.min(F.when(F.col("quote").isNotNull(), F.struct("page", "at", "quote"))).alias("e"))
     return first.select(F.sha2(F.concat_ws("|", "case_id", "target", "basis"), 256).alias("match_id"), F.col("case_id").alias("source"), "target", "basis", "e.page", "e.quote")
 
 

@@ -42,11 +42,15 @@ def within_budget(calls: DataFrame, run: str, order: list[str], cap: int) -> Dat
     return calls.withColumn("n_call", F.row_number().over(Window.partitionBy(run).orderBy(*order))).filter(F.col("n_call") <= cap)
 
 
-def session_digest(turns: DataFrame, session: str, key: str, time: str, question: str, answer: str) -> DataFrame:
-    """session, digest: the last six turns of each session, oldest first, each as its question and the start of its answer."""
+def session_digest(turns: DataFrame, session: str, key: str, time: str, question: str, answer: str, cases: str | None = None) -> DataFrame:
+    """session, digest: a line with the session's name, then its last six turns, oldest first and numbered, each with its question, up to six cases that it
+    discussed (`cases`: array<struct<title, case_id, citation>>; none without such a column) and the start of its answer."""
     last = turns.withColumn("_n", F.row_number().over(Window.partitionBy(session).orderBy(F.desc(time), F.desc(key)))).filter(F.col("_n") <= DIGEST_TURNS)
-    line = F.concat_ws(" -> ", F.coalesce(question, F.lit("?")), F.substring(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?U)\s+", " "), 1, DIGEST_CHARS))
-    return last.select(session, "_n", line.alias("line")).groupBy(session).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "line")), asc=False), lambda x: x["line"]), "\n").alias("digest"))
+    summary = F.substring(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?U)\s+", " "), 1, DIGEST_CHARS)
+    named = F.lit("") if cases is None else F.array_join(F.transform(F.slice(F.coalesce(F.col(cases), F.array().cast("array<struct<title: string, case_id: string, citation: string>>")), 1, DIGEST_CASES), lambda c: F.concat(F.coalesce(c["title"], F.lit("")), F.lit(" ("), F.coalesce(c["case_id"], c["citation"], F.lit("")), F.lit(")"))), ", ")
+    parts = last.select(session, "_n", F.struct(F.coalesce(question, F.lit("?")).alias("q"), F.when(named == "", "none").otherwise(named).alias("cases"), summary.alias("a")).alias("t"))
+    turn = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". Q: "), x["t"]["q"], F.lit("\n   Cases discussed: "), x["t"]["cases"], F.lit("\n   Answer summary: "), x["t"]["a"])
+    return parts.groupBy(session).agg(F.array_join(F.concat(F.array(F.concat(F.lit("Research session '"), F.first(session), F.lit("' so far (most recent last):"))), F.transform(F.sort_array(F.collect_list(F.struct("_n", "t")), asc=False), turn)), "\n").alias("digest"))
 
 
 def tool_stats(turns: DataFrame, key: str, tools: str = "tools") -> DataFrame:

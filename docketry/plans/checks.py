@@ -155,16 +155,32 @@ def m9_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.error_summary(m8_errors(spark, d), ["unit_id", "side", "id"])
 
 
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Turns scored as answers to one question each: expected are a turn's tools (as names of cases), cited all but the first of them
+    and the system, or none; what is expected of the answer follows the number of revisions."""
+    t = table(spark, d, "turns").dropDuplicates(["turn_id"])
+    none = F.array().cast("array<string>")
+    cited = F.when((F.col("revisions") == 1) & (F.col("output_tokens") % 2 == 0), none).otherwise(F.concat(F.slice(F.coalesce("tools", none), 2, 99), F.array("system")))
+    turns = t.select(F.col("turn_id").alias("id"), "system", "status", F.when(F.col("output_tokens") % 3 == 0, F.concat_ws(" ", "text", F.lit("Disclaimer: none"))).otherwise(F.col("text")).alias("text"), cited.alias("cited"), "tools", "latency_s", "input_tokens", "output_tokens", "model_calls", F.col("model_calls").alias("n_unverified"))
+    expect = F.when(F.col("revisions") == 0, "answer").when(F.col("revisions") == 1, "refuse").otherwise("disclaimer")
+    golden = t.select(F.col("turn_id").alias("id"), F.coalesce("lang", F.lit("none")).alias("category"), expect.alias("expect"), F.col("tools").alias("expected_cases"), F.array(F.lit("verify")).alias("needs_tools"))
+    return evaluation.scored_turns(turns, golden, allowed_tools=("find_citing", "search_cases", "verify_answer", "get_page", "search_pages"), verify_tool="verify_answer")
+
+
+def m10_cited(spark: SparkSession, d: str) -> DataFrame:
+    """The cases that each draft cites: verified, and referred to by a marker."""
+    rows = checkpointed(drafts(spark, d))
+    found = answers.cited_cases(rows, answers.verified_citations(rows, known_cases(spark, d), all_pages(spark, d)))
+    return found.select("draft_id", F.array_join("cited", ",").alias("cited"))
+
+
 def m11_scored(spark: SparkSession, d: str) -> DataFrame:
-    """Turns scored as answers to one question each: refused ones ought to cite nothing, others to cite the first match's source."""
-    t = table(spark, d, "turns").dropDuplicates(["turn_id"]).select(F.col("turn_id").alias("id"), "system", "status", "text", "tools")
-    c = v5_citations(spark, d).filter(F.col("tier") == answers.VERIFIED).groupBy(F.col("draft_id").alias("id")).agg(F.array_sort(F.collect_set("case_id")).alias("cited"))
-    golden = drafts(spark, d).select(F.col("draft_id").alias("id"), F.lit("any").alias("category"), F.lit("answer").alias("expect"), F.transform(F.slice("citations", 1, 1), lambda x: x["case"]).alias("expected_cases"), F.array(F.lit("verify")).alias("needs_tools"))
-    return evaluation.scored_turns(t.join(c, "id", "left"), golden).select("id", "system", "recall", "precision", "behaviour_ok", "needs_tools_ok", "n_status_claims")
+    flags = ["behaviour_ok", "needs_tools_ok", "only_allowed_tools", "self_verified", "tool_calls"]
+    return scored(spark, d).select("id", "system", "category", "recall", "precision", F.array_join("missed", ",").alias("missed"), *flags)
 
 
 def m12_turns(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.turn_aggregate(table(spark, d, "turns").dropDuplicates(["turn_id"]), 0.0214, 0.5)
+    return evaluation.turn_aggregate(scored(spark, d).withColumn("n_status_claims", F.col("tool_calls")), 0.0214, 0.5)
 
 
 def e3_deduplicated(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +228,10 @@ def t4_pruned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t5_digests(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.session_digest(table(spark, d, "turns").dropDuplicates(["turn_id"]), "session", "turn_id", "asked_at", "question_id", "text")
+    """Sessions' digests, where a turn's tools stand for the cases that it discussed."""
+    t = table(spark, d, "turns").dropDuplicates(["turn_id"])
+    cases = F.transform("tools", lambda x: F.struct(x.alias("title"), F.lit(None).cast("string").alias("case_id"), F.col("question_id").alias("citation")))
+    return ledger.session_digest(t.withColumn("cases", cases), "session", "turn_id", "asked_at", "question_id", "text", "cases")
 
 
 def t6_tools(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +255,7 @@ def t9_budget(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (v1_page_keys, v2_located, v3_items, v4_checked, v5_citations, v7_problems, v8_quotes, v10_salvaged, v11_reports, m1_scores, m1_whole, m2_matched, m5_evaluated, m5_macro, m6_sweep, m7_tiers, m8_errors, m9_summary, m11_scored, m12_turns, e3_deduplicated, e4_ids, e4_whole, f13_whole, e6_progress, t1_quota, t4_pruned, t5_digests, t6_tools, t6_trajectories, t7_tally, t9_budget)
+    for f in (v1_page_keys, v2_located, v3_items, v4_checked, v5_citations, v7_problems, v8_quotes, v10_salvaged, v11_reports, m1_scores, m1_whole, m2_matched, m5_evaluated, m5_macro, m6_sweep, m7_tiers, m8_errors, m9_summary, m10_cited, m11_scored, m12_turns, e3_deduplicated, e4_ids, e4_whole, f13_whole, e6_progress, t1_quota, t4_pruned, t5_digests, t6_tools, t6_trajectories, t7_tally, t9_budget)
 }
 
 _KEYS = f"""{sql.PAGES}, k AS (SELECT case_id, page, {sql.match_key("text")} AS key FROM pages), keys AS (SELECT case_id, page, key, (sum(length(key)) OVER w)::BIGINT AS e, coalesce(lead(key) OVER w, '') AS after, coalesce(lag(key) OVER w, '') AS before, lag(page) OVER w AS page_before, lead(page) OVER w AS page_after FROM k WINDOW w AS (PARTITION BY case_id ORDER BY page))"""
@@ -246,6 +265,11 @@ l AS (SELECT *, CASE WHEN length(piece) < 12 THEN NULL WHEN here > 0 THEN s + he
 _GOLD = """gold AS (SELECT DISTINCT case_id AS unit_id, seg_id AS id, part_name AS type, label, start_char AS s, end_char AS e FROM segments WHERE start_page = end_page),
 pred AS (SELECT unit_id, id, CASE WHEN s % 11 = 3 THEN 'other' ELSE type END AS type, label, (s + s % 7)::INT AS s, e FROM gold WHERE s % 5 <> 1)"""
 _T = "t AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY loaded_at) = 1)"
+_SCORED = """s0 AS (SELECT turn_id AS id, system, status, latency_s, input_tokens, output_tokens, model_calls, tools, revisions, coalesce(lang, 'none') AS category, coalesce(CASE WHEN output_tokens % 3 = 0 THEN concat_ws(' ', text, 'Disclaimer: none') ELSE text END, '') AS text, list_distinct(coalesce(tools, [])) AS e,
+CASE WHEN revisions = 1 AND output_tokens % 2 = 0 THEN [] ELSE list_distinct(list_concat(list_slice(coalesce(tools, []), 2, 99), [system])) END AS c FROM t),
+scored AS (SELECT *, CASE WHEN len(e) > 0 THEN round(len(list_intersect(e, c)) / len(e), 3) END AS recall, CASE WHEN len(e) > 0 AND len(c) > 0 THEN round(len(list_intersect(e, c)) / len(c), 3) END AS precision, array_to_string(list_sort(list_filter(e, lambda x: NOT list_contains(c, x))), ',') AS missed,
+CASE revisions WHEN 0 THEN status IN ('verified', 'salvaged') WHEN 1 THEN len(c) = 0 ELSE contains(text, 'Disclaimer:') END AS behaviour_ok, CASE WHEN tools IS NOT NULL THEN len(list_filter(tools, lambda x: contains(x, 'verify'))) > 0 END AS needs_tools_ok,
+CASE WHEN tools IS NOT NULL THEN NOT list_contains(tools, 'most_cited') END AS only_allowed_tools, CASE WHEN tools IS NOT NULL THEN list_contains(tools, 'verify_answer') END AS self_verified, len(tools)::INT AS tool_calls FROM s0)"""
 _LABELS = "list_distinct(regexp_extract_all(lower(coalesce({0}.label, '')), '[a-z0-9]+'))"
 
 ORACLES = {
@@ -258,15 +282,20 @@ s AS (SELECT unit_id, pred_id, gold_id, 0.8::DOUBLE * CASE WHEN shared > 0 THEN
     "m7_tiers": f"""WITH {sql.CASES}, {sql.CITED}, a AS (SELECT DISTINCT source, target FROM matches WHERE source IS NOT NULL AND target IS NOT NULL), b AS (SELECT DISTINCT source, target FROM cited WHERE scope = 'cross_domain'),
 n AS (SELECT (SELECT count(*) FROM a JOIN b USING (source, target)) AS tp, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb)
 SELECT 'CITES' AS type, tp, na - tp AS fp, nb - tp AS fn, round(tp / na, 4) AS p, round(tp / nb, 4) AS r, round(CASE WHEN tp > 0 THEN 2 * (tp / na) * (tp / nb) / (tp / na + tp / nb) ELSE 0 END, 4) AS f1 FROM n""",
-    "m12_turns": f"""WITH {_T}, c AS (SELECT *, (input_tokens * 0.0214::DOUBLE + output_tokens * 0.5::DOUBLE) / 1e6 AS cost FROM t)
-SELECT system, CASE WHEN grouping(status) = 1 THEN '(all)' ELSE coalesce(status, '') END AS status, count(*) AS n, round(avg(latency_s), 6) AS latency_mean, round(quantile_cont(latency_s, 0.5), 6) AS latency_p50, max(latency_s) AS latency_max, sum(model_calls)::BIGINT AS model_calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) - count(input_tokens) AS input_missing, CASE WHEN count(*) = count(input_tokens) THEN round(avg(cost), 6) END AS cost
-FROM c GROUP BY GROUPING SETS ((system), (system, status))""",
+    "m11_scored": f"WITH {_T}, {_SCORED} SELECT id, system, category, recall, precision, missed, behaviour_ok, needs_tools_ok, only_allowed_tools, self_verified, tool_calls FROM scored",
+    "m12_turns": f"""WITH {_T}, {_SCORED}, c AS (SELECT *, (coalesce(input_tokens, 0) * 0.0214::DOUBLE + coalesce(output_tokens, 0) * 0.5::DOUBLE) / 1e6 AS cost1 FROM scored)
+SELECT system, CASE WHEN grouping(category) = 1 THEN '(all)' ELSE category END AS category, count(*) AS n, round(avg(recall), 3) AS recall, round(avg(precision), 3) AS precision, round(avg(behaviour_ok::INT), 3) AS behaviour_ok, round(avg(needs_tools_ok::INT), 3) AS needs_tools_ok,
+round(avg(only_allowed_tools::INT), 3) AS only_allowed_tools, round(avg(self_verified::INT), 3) AS self_verified, round(avg((status IN ('verified', 'salvaged'))::INT), 3) AS answered, sum(coalesce(tool_calls, 0))::BIGINT AS status_claims, sum(model_calls)::BIGINT AS unverified_citations,
+round(avg(latency_s), 1) AS latency_mean, round(quantile_cont(latency_s, 0.5), 1) AS latency_p50, round(max(latency_s), 1) AS latency_max, sum(coalesce(input_tokens, 0))::BIGINT AS input_tokens, sum(coalesce(output_tokens, 0))::BIGINT AS output_tokens, sum(coalesce(model_calls, 0))::BIGINT AS model_calls,
+count(*) FILTER (coalesce(output_tokens, 0) > 0 AND coalesce(input_tokens, 0) = 0) AS input_missing, round(avg(cost1), 6) AS cost, round(sum(cost1), 4) AS cost_total FROM c GROUP BY GROUPING SETS ((system), (system, category))""",
     "e4_ids": """WITH g AS (SELECT DISTINCT case_id, part_name, seg_id FROM segments WHERE start_page = end_page), b AS (SELECT seg_id, case_id || ':' || part_name || ':part' AS base, row_number() OVER (PARTITION BY case_id, part_name ORDER BY seg_id) AS n FROM g) SELECT seg_id, CASE WHEN n > 1 THEN base || '_' || n ELSE base END AS id FROM b""",
     "t1_quota": """WITH w AS (SELECT event_id, ts, count(*) OVER m AS used_minute, count(*) OVER h AS used_hour, count(*) OVER d AS used_day, min(ts) OVER h AS first_hour FROM events
 WINDOW m AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW), h AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW), d AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW))
 SELECT event_id, used_minute, used_hour, used_day, round(3600 - (epoch_us(ts) - epoch_us(first_hour)) / 1e6, 3) AS wait_hour, CASE WHEN used_day >= 6 THEN 'day' WHEN used_hour >= 3 THEN 'hour' WHEN used_minute >= 2 THEN 'minute' END AS blocked_by FROM w""",
     "t4_pruned": "SELECT user_id, count(*) AS n FROM events WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts) < 86400000000 GROUP BY user_id",
-    "t5_digests": f"""WITH {_T}, r AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY asked_at DESC, turn_id DESC) AS n, coalesce(question_id, '?') || ' -> ' || substring(regexp_replace(coalesce(text, ''), '{sql.BLANK}+', ' ', 'g'), 1, 400) AS line FROM t) SELECT session, string_agg(line, chr(10) ORDER BY n DESC) AS digest FROM r WHERE n <= 6 GROUP BY session""",
+    "t5_digests": f"""WITH {_T}, r AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY asked_at DESC, turn_id DESC) AS n, *  EXCLUDE session FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC) AS i FROM r WHERE n <= 6),
+l AS (SELECT session, i, i || '. Q: ' || coalesce(question_id, '?') || chr(10) || '   Cases discussed: ' || coalesce(nullif(array_to_string(list_transform(list_slice(coalesce(tools, []), 1, 6), lambda x: x || ' (' || coalesce(question_id, '') || ')'), ', '), ''), 'none') || chr(10) || '   Answer summary: ' || substring(regexp_replace(coalesce(text, ''), '{sql.BLANK}+', ' ', 'g'), 1, 400) AS line FROM k)
+SELECT session, 'Research session ' || chr(39) || session || chr(39) || ' so far (most recent last):' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS digest FROM l GROUP BY session""",
     "t6_tools": f"WITH {_T}, u AS (SELECT turn_id, unnest(tools) AS tool FROM t) SELECT tool, count(*) AS calls, count(DISTINCT turn_id) AS turns FROM u GROUP BY tool",
     "t6_trajectories": f"WITH {_T}, u AS (SELECT system, coalesce(len(tools), 0)::INT AS n FROM t) SELECT system, count(*) AS n_turns, quantile_cont(n, 0.25)::DOUBLE AS q1, quantile_cont(n, 0.5)::DOUBLE AS median, quantile_cont(n, 0.75)::DOUBLE AS q3, round(avg(n), 6) AS mean, max(n) AS most FROM u GROUP BY system",
     "t7_tally": "WITH a AS (SELECT user_id, sum(m) AS x FROM (SELECT user_id, event_type, max(value) AS m FROM events GROUP BY 1, 2) GROUP BY 1), b AS (SELECT user_id, sum(m) AS y FROM (SELECT user_id, ts::DATE, max(value) AS m FROM events GROUP BY 1, 2) GROUP BY 1) SELECT a.user_id, round(greatest(x, y), 4) AS tokens FROM a JOIN b USING (user_id)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,7 +150,7 @@ def a6_statutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a7_doctrines(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.doctrine_influence(*small_graph(spark, d), k=25, rounds=2).select("rank", "id", "cases", "mean_confidence")
+    return analytics.doctrine_influence(*small_graph(spark, d), k=25, rounds=2)
 
 
 def a8_bridges(spark: SparkSession, d: str) -> DataFrame:
@@ -240,6 +242,8 @@ UNION ALL SELECT 'MENTIONS_STATUTE', case_id, canon_id, NULL, count(*), 'determi
 UNION ALL SELECT 'CITES', m.source, m.target, 'cross_domain', NULL, CASE WHEN c.sure = 1 THEN 'deterministic' ELSE 'unverified' END, c.confidence FROM medges m JOIN conf c USING (source, target)
 UNION ALL SELECT DISTINCT 'INVOKES_DOCTRINE', case_id, {_DOCTRINE}, NULL, NULL::BIGINT, 'llm', 0.8::DOUBLE FROM law WHERE kind = 'other' AND trim(coalesce(display, '')) <> ''),
 edges AS (SELECT e.* FROM edges0 e WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes))"""
+# Each of these is used several times, and holds regular expressions: DuckDB is to compute it once.
+_SMALL = re.sub(r"(?<=\w) AS \((?=SELECT|\s*SELECT)", " AS MATERIALIZED (", _SMALL)
 _PAIRS = "keep AS (SELECT id FROM nodes WHERE label IN ('Case', 'Authority')), pairs AS (SELECT DISTINCT source, target FROM edges WHERE type = 'CITES')"
 _START = "(SELECT min(source) FROM cited WHERE scope <> 'external')"
 _LINKS = "links AS (SELECT DISTINCT source, target FROM edges e JOIN nodes n ON n.id = e.target WHERE type = 'CITES' AND n.label = 'Case')"

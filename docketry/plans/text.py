@@ -89,10 +89,12 @@ def f18_judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f19_failed(spark: SparkSession, d: str) -> DataFrame:
-    """Turns that failed, and why: an error status, no text, or no call of the model."""
-    t = table(spark, d, "turns").select("turn_id", "status", "text", "model_calls").distinct()
-    reason = F.when(F.col("status") == "error", "error").when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty").when(F.coalesce("model_calls", F.lit(0)) == 0, "no model call")
-    return t.select("turn_id", reason.alias("reason"))
+    """Why turns are no real results. A turn's text is its draft, which counts as parsed where it has a marker; every third turn's is
+    followed by the number of a reporter, or by a provider's error where the turn had revisions."""
+    t = table(spark, d, "turns").select("turn_id", "status", "input_tokens", "output_tokens", "revisions", "text").distinct()
+    ending = F.when(F.col("revisions") > 0, "API Error: usage limit").otherwise("26 I&N Dec. 429")
+    draft = F.when(F.pmod(F.length("turn_id") + F.coalesce(F.length("text"), F.lit(0)), F.lit(3)) == 0, F.concat_ws(" ", "text", ending)).otherwise(F.col("text"))
+    return t.select("turn_id", answers.failure(F.col("status"), F.col("input_tokens"), F.col("output_tokens"), F.col("text").rlike(r"\[\d+\]"), draft).alias("reason"))
 
 
 def f20_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +165,9 @@ SELECT mention_id, round(CASE WHEN na + nb - k > 0 THEN k / (na + nb - k) ELSE 0
     "f13_spans": f"WITH {_SPANS} SELECT seg_id, round(CASE WHEN e1 - s1 - m > 0 THEN (e1 - s1 - m) / (e1 + m - s1) ELSE 0 END, 6) AS iou, round(CASE WHEN e1 - s1 - m > 0 AND e1 > s1 THEN (e1 - s1 - m) / (e1 - s1) ELSE 0 END, 6) AS overlap FROM a",
     "f15_json": "SELECT event_id, (props::JSON->>'k')::INT AS k FROM events",
     "f16_fenced": "SELECT doc_id, '<<<UNTRUSTED_CASE_TEXT source=documents' || chr(10) || replace(replace(text, '<<<', '‹‹‹'), '>>>', '›››') || chr(10) || 'UNTRUSTED_CASE_TEXT>>>' AS fenced, CASE WHEN text IS NOT NULL THEN '' END AS flags FROM documents",
-    "f19_failed": "SELECT turn_id, CASE WHEN status = 'error' THEN 'error' WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN coalesce(model_calls, 0) = 0 THEN 'no model call' END AS reason FROM (SELECT DISTINCT turn_id, status, text, model_calls FROM turns)",
+    "f19_failed": """WITH t AS (SELECT DISTINCT turn_id, status, input_tokens, output_tokens, revisions, text FROM turns), d AS (SELECT *, CASE WHEN (length(turn_id) + coalesce(length(text), 0)) % 3 = 0 THEN concat_ws(' ', text, CASE WHEN revisions > 0 THEN 'API Error: usage limit' ELSE '26 I&N Dec. 429' END) ELSE text END AS draft FROM t)
+SELECT turn_id, CASE WHEN status = 'error' THEN 'agent error' WHEN coalesce(input_tokens, 0) = 0 AND coalesce(output_tokens, 0) = 0 AND NOT coalesce(regexp_matches(text, '\\[\\d+\\]'), false) THEN 'model never answered'
+WHEN regexp_matches(coalesce(draft, ''), '(?i)API Error|Request rejected \\(429\\)|HTTP 429|usage limit|rate.?limit') THEN 'provider error in draft' END AS reason FROM d""",
     "f20_cost": "SELECT turn_id, round((input_tokens * 0.0214::DOUBLE + output_tokens * 0.5::DOUBLE) / 1e6, 9) AS cost FROM (SELECT DISTINCT turn_id, input_tokens, output_tokens FROM turns)",
     "f22_strength": f"SELECT match_id, CASE WHEN quote IS NULL THEN 'weak' WHEN len(string_split({sql.squash('quote')}, ' ')) >= 15 THEN 'strong' ELSE 'moderate' END AS strength FROM (SELECT DISTINCT match_id, quote FROM matches)",
     "s3_membership": "SELECT coalesce(u.id, r.id) AS id, CASE WHEN u.id IS NULL THEN 'not loaded' ELSE 'not selected' END AS problem FROM (SELECT DISTINCT case_id AS id FROM units) u FULL JOIN (SELECT DISTINCT id FROM records) r ON u.id = r.id WHERE u.id IS NULL OR r.id IS NULL",

@@ -112,10 +112,20 @@ def run_totals(manifests: DataFrame, counters: list[str]) -> DataFrame:
     return manifests.agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in counters])
 
 
+# The nodes that a parsed reading query may consist of, and functions that run code or wait.
+READING = set(
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Tail Distinct Join LateralJoin Union Except Intersect SubqueryAlias UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedWith "
+    "UnresolvedHaving UnresolvedInlineTable LocalRelation OneRowRelation WithWindowDefinition Window Generate Pivot Unpivot Sample UnresolvedHint UnresolvedOrdinal UnresolvedTableValuedFunction ResolvedInlineTable Expand UnresolvedTVFAliases".split()
+)
+RUNNING_CODE = ("reflect", "java_method", "try_reflect", "sleep")
+
+
 class read_only_sql:
-    """A query over named views, run only if its plan reads: `read_only_sql(spark, nodes=..., edges=...)(query)`.
+    """A query over named views, run only if it reads: `read_only_sql(spark, nodes=..., edges=...)(query)`.
 
-    The parsed plan is inspected, not the text, so a query may mention `create` or `set` in a string.
+    The whole parsed plan is walked, queries in WITH and in expressions included, and every node must be one of READING; so
+    nothing that writes, however it is wrapped, is run. Functions that run code are refused. The text isn't looked at, so a query
+    may mention `create` or `set` in a string.
     """
 
     def __init__(self, spark: SparkSession, **views: DataFrame) -> None:
@@ -124,8 +134,24 @@ class read_only_sql:
             df.createOrReplaceTempView(name)
 
     def __call__(self, query: str, limit: int = 50) -> DataFrame:
-        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+        self._check(self.spark._jsparkSession.sessionState().sqlParser().parsePlan(query))
+        return self.spark.sql(query).limit(limit)
+
+    def _check(self, plan) -> None:
         kind = plan.getClass().getSimpleName()
-        if any(x in plan.getClass().getName() for x in ("Command", "Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Set", "Truncate", "Load", "Cache", "Refresh", "Replace")) and kind not in ("SubqueryAlias",):
+        if kind not in READING:
             raise PermissionError(f"not a read: {kind}")
-        return self.spark.sql(query).limit(limit)
+        for group in (plan.children(), plan.innerChildren()):
+            for i in range(group.size()):
+                self._check(group.apply(i))
+        self._check_expressions(plan.expressions())
+
+    def _check_expressions(self, expressions) -> None:
+        for i in range(expressions.size()):
+            e = expressions.apply(i)
+            kind = e.getClass().getSimpleName()
+            if kind == "UnresolvedFunction" and e.nameParts().last().lower() in RUNNING_CODE:
+                raise PermissionError(f"not a read: {e.nameParts().last()}")
+            if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+                self._check(e.plan())
+            self._check_expressions(e.children())

@@ -76,6 +76,24 @@ def test_text_matches_find_names_over_blanks_and_bounded_numbers(corpus):
     assert got == {("imm1", "lit1", "name"), ("imm1", "lit1", "reporter")}
 
 
+def test_evidence_is_where_the_citation_itself_is(spark, rows):
+    pages = spark.createDataFrame([("a", 1, "See 115 U.S. 20 (first), and then at length, and in other words, as has been said before, 15 U.S. 20 (the second)."), ("a", 2, "15 U.S. 20"), ("b", 1, "2115 U.S. 20")], "case_id string, page int, text string")
+    cites = spark.createDataFrame([("a", "15 U.S. 20", 1), ("a", "15 U.S. 20", 2), ("b", "15 U.S. 20", 3), ("c", "1 U.S. 1", 4), ("a", None, 5)], "case_id string, raw string, n int")
+    got = {r["n"]: (r["page"], r["quote"]) for r in graph.find_evidence(cites, pages).collect()}
+    assert got[1] == got[2] and got[1][0] == 1 and got[1][1].endswith("said before, 15 U.S. 20 (the second).") and "115" not in got[1][1]
+    assert got[3] == got[4] == got[5] == (None, None)
+
+
+def test_matches_over_a_page_end_have_no_evidence(spark):
+    known = spark.createDataFrame([("s", "immigration", "Matter of S", "nocite:s"), ("t", "litigation", "Gamma v. Delta", "us:585_198"), ("u", "litigation", "Delta", "nocite:u"), ("v", "litigation", "??", "nocite:v")], "id string, domain string, title string, canon_id string")
+    pages = spark.createDataFrame([("s", 1, "as in Gamma v."), ("s", 2, "  "), ("s", 3, "Delta, 585 U.S."), ("s", 4, "198, and 1585 U.S. 198.")], "case_id string, page int, text string")
+    got = {(r["target"], r["basis"]): (r["page"], r["quote"]) for r in graph.cross_domain_matches(known, pages, "immigration", "litigation").collect()}
+    assert got == {("t", "name"): (None, None), ("t", "reporter"): (None, None), ("u", "name"): (3, "Delta, 585 U.S.")}
+    more = pages.unionByName(spark.createDataFrame([("s", 5, "GAMMA  v. delta")], pages.schema))
+    assert graph.cross_domain_matches(known, more, "immigration", "litigation").filter("target = 't' AND basis = 'name'").first()["page"] == 5
+    assert graph.cross_domain_matches(known, pages.limit(0), "immigration", "litigation").count() == 0
+
+
 def test_build_is_the_same_in_any_order(spark, corpus):
     again = graph.build_graph(corpus["records"].orderBy(F.desc("id")), corpus["lead"], corpus["units"].orderBy(F.desc("case_id")), *[spark.createDataFrame([], s) for s in ("mention_id string, case_id string, canon_id string, kind string, display string, page int, quote string", "match_id string, source string, target string, basis string, page int, quote string")])[1]
     key = lambda df: sorted(map(str, df.filter("type = 'HAS_PAGE'").collect()))
@@ -185,7 +203,7 @@ def test_dense_top_k(spark, rows):
     v = r.normal(size=(40, 5))
     v[3] = 0
     df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(40)] + [(99, None)], "vec_id bigint, embedding array<float>")
-    got = rows(search.dense_top_k(df, df.filter("vec_id % 10 = 0"), 4, block=2))
+    got = rows(search.dense_top_k(df, df.filter("vec_id % 10 = 0"), 4, pass_bytes=80))
     w = v.astype(np.float32).astype(float)
     n = np.linalg.norm(w, axis=1)
     for q in (0, 10, 20, 30):

@@ -47,7 +47,10 @@ def test_tally_and_usage(spark, rows):
 def test_digest(spark):
     t = spark.createDataFrame([("s", f"t{i}", at(i), f"q{i}", "x" * 500) for i in range(8)], "session string, turn_id string, ts timestamp, q string, a string")
     lines = ledger.session_digest(t, "session", "turn_id", "ts", "q", "a").first()["digest"].split("\n")
-    assert len(lines) == 6 and lines[0].startswith("q2 -> x") and len(lines[0]) == 406
+    assert len(lines) == 1 + 6 * 3 and lines[1:3] == ["1. Q: q2", "   Cases discussed: none"] and lines[3] == "   Answer summary: " + "x" * 400
+    c = t.withColumn("cases", F.expr("transform(sequence(1, 8), i -> struct('T' AS title, if(i = 1, null, 'id') AS case_id, '1 U.S. 1' AS citation))"))
+    lines = ledger.session_digest(c, "session", "turn_id", "ts", "q", "a", "cases").first()["digest"].split("\n")
+    assert lines[2] == "   Cases discussed: T (1 U.S. 1), " + ", ".join(["T (id)"] * 5)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -98,6 +101,18 @@ def test_logs_shards_and_cache(spark, tmp_path, rows):
     assert rows(records.membership(a, a.filter("id = 'x'").unionByName(a.limit(1).withColumn("id", F.lit("z"))))) == [("y", "not selected"), ("z", "not loaded")]
 
 
+def test_only_reads_are_run(spark):
+    spark.createDataFrame([(1, "create")], "a int, b string").createOrReplaceTempView("seen")
+    spark.sql("CREATE TABLE IF NOT EXISTS victim (a INT) USING parquet")
+    ask = records.read_only_sql(spark)
+    for q in ("SELECT * FROM seen", "WITH x AS (SELECT a FROM seen) SELECT * FROM x ORDER BY a LIMIT 3", "SELECT 'insert into' AS s, (SELECT max(a) FROM seen) AS m FROM seen GROUP BY 1 HAVING count(*) > 0", "SELECT a FROM seen UNION SELECT 2 EXCEPT SELECT 3", "VALUES (1), (2)", "SELECT a, row_number() OVER (PARTITION BY b ORDER BY a) FROM seen JOIN (SELECT explode(array(1, 2)) AS a) y USING (a) WHERE a IN (SELECT a FROM seen)"):
+        ask(q).collect()
+    for q in ("WITH a AS (SELECT 1 AS a) INSERT INTO victim SELECT a FROM a", "INSERT INTO victim VALUES (1)", "DROP TABLE victim", "CREATE TABLE t2 AS SELECT 1", "SET x = 1", "SELECT reflect('java.lang.System', 'currentTimeMillis')", "SELECT * FROM seen WHERE a = (SELECT java_method('java.lang.Math', 'abs', 1))", "CACHE TABLE seen", "TRUNCATE TABLE victim", "FROM seen INSERT INTO victim SELECT a", "DELETE FROM victim"):
+        with pytest.raises(PermissionError):
+            ask(q)
+    assert spark.table("victim").count() == 0
+
+
 def test_settings(spark, tmp_path, monkeypatch):
     raw = {"name": "all", "sources": [{"domain": "a", "paths": ["x"]}, {"domain": "b", "paths": ["y"], "statute_patterns": ["usc"]}], "cross_domain": [["a", "b"]], "settings": {"model": "m"}}
     (tmp_path / "d.json").write_text(json.dumps(raw))

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from docketry.operators import answers, quotes
 from docketry.sources.tables import checkpointed
@@ -17,11 +19,30 @@ def pages(spark):
 
 def at(spark, pages, quote, page, case="c"):
     q = spark.createDataFrame([(case, page, quote)], "case_id string, page int, quote string")
-    row = quotes.located(q, pages).first()
-    index = quotes.PagesIndex([(p, t or "") for c, p, t in PAGES if c == case])
-    want = index.locate(quote, page)
-    assert (None if row["found_page"] is None else (row["found_page"], row["found_start"], row["found_end"])) == want
-    return row["found_page"]
+    return quotes.located(q, pages).first()["found_page"]
+
+
+def test_chains_against_brute_force(spark):
+    rnd = random.Random(3)
+    data = [("".join(rnd.choice("ab") for _ in range(rnd.randrange(30))), ["".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(1, 4))]) for _ in range(300)]
+
+    def brute(text, pieces, gap):
+        starts = [i for i in range(len(text)) if text.startswith(pieces[0], i)]
+        for s in starts if gap is not None else starts[:1]:
+            end = s + len(pieces[0])
+            for p in pieces[1:]:
+                at = text.find(p, end)
+                if at < 0 or gap is not None and at - end > gap:
+                    break
+                end = at + len(p)
+            else:
+                return s, end
+        return None
+
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "i int, t string, p array<string>")
+    for gap in (None, 0, 3):
+        got = {r["i"]: r["c"] and tuple(r["c"]) for r in df.select("i", quotes.chain_span(F.col("t"), F.col("p"), gap).alias("c")).collect()}
+        assert got == {i: brute(t, p, gap) for i, (t, p) in enumerate(data)}
 
 
 def test_located(spark, pages):
@@ -43,22 +64,28 @@ def test_checked_with_note(spark, pages, rows):
     assert got == {1: (True, 2, "quote found on page 2, not 1"), 2: (True, 3, None), 3: (False, None, None), 4: (False, None, None)} or got[1][1] in (2, 3)
 
 
-def test_gap_limit_stops_stitching():
-    far = quotes.PagesIndex([(1, "alpha beta gamma " + "x" * 400 + " delta epsilon")])
-    assert far.locate("alpha beta gamma ... delta epsilon", 1) and not far.locate("alpha beta gamma ... delta epsilon", 1, 300)
+def test_gap_limit_stops_stitching(spark):
+    p = spark.createDataFrame([("f", 1, "alpha beta gamma " + "x" * 400 + " delta epsilon")], "case_id string, page int, text string")
+    q = spark.createDataFrame([("f", 1, "alpha beta gamma ... delta epsilon")], "case_id string, page int, quote string")
+    assert quotes.located(q, p).first()["found_page"] == 1 and quotes.located(q, p, max_gap=300).first()["found_page"] is None and not quotes.checked_quotes(q, p).first()["quote_match"]
 
 
-def test_repetitive_page_is_quick():
-    index = quotes.PagesIndex([(1, "the same words again " * 20_000)])
+def test_repetitive_page_is_quick(spark):
+    p = spark.createDataFrame([("r", 1, "the same words again " * 5_000)], "case_id string, page int, text string")
+    q = spark.createDataFrame([("r", 1, "the same words again ... " * 6 + "but not this ending"), ("r", 1, "[t]he same words ... " * 6 + "but not [T]his")], "case_id string, page int, quote string")
+    began = time.time()
+    assert quotes.located(q, p).filter("found_page IS NOT NULL").count() == 0
+    plain = time.time() - began  # with what starting the queries takes
     began = time.time()
-    assert index.check("the same words again ... " * 6 + "but not this ending", 1) is None
-    assert not index.altered("[t]he same words ... " * 6 + "but not [T]his")
-    assert time.time() - began < 3
+    assert quotes.checked_quotes(q, p).filter("quote_match").count() == 0 and quotes.altered_quotes(q, p, ["page"]).count() == 0
+    assert time.time() - began < 2 * plain + 3
 
 
-def test_altered_letters():
-    index = quotes.PagesIndex([(1, "But the rest of it is else where")])
-    assert index.altered("[b]ut the rest of it") and not index.altered("[n]ut the rest of it") and not index.altered("the rest[] of it was")
+def test_altered_letters(spark, rows):
+    p = spark.createDataFrame([("a", 1, "But the rest of it is else"), ("a", 2, "where, and ended")], "case_id string, page int, text string")
+    asked = ["[b]ut the rest of it", "[n]ut the rest of it", "the rest[] of it was", "[b]ut the ... is [E]lse where", "is [e]lsewhere ... the [R]est", "but the rest of it", "[b]ut ...", "[I]t is elsewhere, [A]nd ended"]
+    q = spark.createDataFrame([(i, "a", t) for i, t in enumerate(asked)] + [(99, None, asked[0])], "i int, case_id string, quote string")
+    assert rows(quotes.altered_quotes(q, p, ["i"])) == [(0,), (3,), (7,)]
 
 
 def test_verified_items(spark, rows):
