@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docketry.functions.text import fence_fields
 from docketry.operators import analytics, answers, graph, ledger, search
 from docketry.sources.records import read_only_sql
+from docketry.sources.tables import checkpointed
 
 
 def clamp(n: int, low: int, high: int) -> int:
@@ -80,7 +81,7 @@ class Corpus:
 
     def verify_answer(self, answer: str, citations: list[tuple[str, str | None, int | None]]) -> DataFrame:
         drafts = self._draft(answer, citations)
-        found = answers.verified_citations(drafts, self.known, self.pages, self.external)
+        found = checkpointed(answers.verified_citations(drafts, self.known, self.pages, self.external))
         return answers.answer_reports(drafts, found, answers.answer_problems(drafts, found, self.pages))
 
     def _draft(self, answer: str, citations: list[tuple[str, str | None, int | None]]) -> DataFrame:

@@ -12,6 +12,7 @@ from docketry.functions.citations import canon
 from docketry.functions.text import match_key
 from docketry.operators.quotes import altered_quotes, checked_quotes
 from docketry.operators.search import resolve
+from docketry.sources.tables import checkpointed
 
 VERIFIED, EXTERNAL, UNVERIFIED = "verified_in_corpus", "resolved_externally", "unverified"
 STATUS_LABEL = "not verified; may have subsequent treatment"
@@ -97,7 +98,7 @@ def verified_citations(drafts: DataFrame, known: DataFrame, pages: DataFrame, ex
     """
     rows = drafts.select("draft_id", F.posexplode("citations").alias("pos", "c")).select("draft_id", (F.col("pos") + 1).alias("marker"), F.coalesce("c.case", F.lit("")).alias("case"), "c.quote", F.col("c.page").cast("int").alias("page"))
     found = resolve(rows, known, "case").withColumnRenamed("ref", "case")
-    rows = rows.join(found, "case", "left")
+    rows = checkpointed(rows.join(found, "case", "left"))  # citations of the drafts, read twice
     inside = checked_quotes(rows.filter(F.col("case_id").isNotNull()), pages)
     tier = F.when(F.col("quote_match"), VERIFIED).otherwise(UNVERIFIED)
     reason = F.when(F.coalesce("quote", F.lit("")) == "", "in-corpus citation needs a supporting quote + page").when(~F.col("quote_match"), "quote not found in stored page text")
@@ -148,6 +149,7 @@ def answer_quotes(drafts: DataFrame) -> DataFrame:
 
 def answer_problems(drafts: DataFrame, citations: DataFrame, pages: DataFrame) -> DataFrame:
     """draft_id, kind, detail: what keeps a draft from passing. citations are those of verified_citations."""
+    citations = checkpointed(citations)
     used = drafts.select("draft_id", F.explode(markers(F.col("answer"))).alias("marker"))
     given = citations.select("draft_id", "marker")
     text = lambda c: F.col(c).cast("string").alias("detail")
@@ -163,7 +165,7 @@ def answer_problems(drafts: DataFrame, citations: DataFrame, pages: DataFrame) -
     quotes = answer_quotes(drafts)
     where = citations.filter(F.col("in_corpus")).select("draft_id", "marker", "case_id")
     tries = quotes.join(where, "draft_id", "left").filter(F.col("case_id").isNotNull() & (~F.col("full") | F.array_contains("markers", F.col("marker"))))
-    literal = checked_quotes(tries.select("draft_id", "quote_no", "quote", "case_id", F.lit(None).cast("int").alias("page")).distinct(), pages)
+    literal = checkpointed(checked_quotes(tries.select("draft_id", "quote_no", "quote", "case_id", F.lit(None).cast("int").alias("page")).distinct(), pages))
     held = literal.filter("quote_match").select("draft_id", "quote_no").unionByName(altered_quotes(literal.filter(~F.col("quote_match")), pages, ["draft_id", "quote_no"])).distinct()
     quote = quotes.join(held, ["draft_id", "quote_no"], "left_anti").select("draft_id", F.lit("unverified_quote").alias("kind"), F.substring("quote", 1, 200).alias("detail"))
     out = dangling

@@ -70,8 +70,12 @@ def corpus_orphans(matches: DataFrame, records: DataFrame, lead_records: DataFra
     by_id, by_cite = corpus_references(matches, records)
     cases = case_spans(records, lead_records)
     cited = cases.withColumn("c", canon(F.col("citation"))).filter(F.col("c.kind") == "case")
-    ids = orphan_references(by_id, cases.select(F.col("id").alias("ref"), "born", "gone"))
-    return ids.unionByName(orphan_references(by_cite, cited.select(F.col("c.id").alias("ref"), "born", "gone")))
+    # Both kinds of reference in one run, told apart by a prefix of the key.
+    marked = lambda kind, c: F.concat(F.lit(kind), c).alias("ref")
+    refs = [rows.withColumn("ref", marked(kind, F.col("ref"))) for kind, rows in (("i:", by_id), ("c:", by_cite))]
+    parents = cases.select(marked("i:", F.col("id")), "born", "gone").unionByName(cited.select(marked("c:", F.col("c.id")), "born", "gone"))
+    out = orphan_references(refs[0].unionByName(refs[1]), parents)
+    return out.withColumn("ref", F.substring("ref", 3, 1 << 30))
 
 
 def orphan_counts(orphans: DataFrame, refs: DataFrame) -> DataFrame:
