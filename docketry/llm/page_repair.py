@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import ChainMap, Counter
 from collections.abc import Iterator, Mapping
-from functools import lru_cache
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.llm.canonical import deletes
-from docketry.llm.scan_noise import HEADINGS, Page, RunReader, breaks, confusion_distance, edge_lines, fold_misread, line_runs, read_pages, reversed_confusions, run_words, running_text, whole_lines
+from docketry.llm.scan_noise import (
+    HEADINGS, MOST_COST, Page, RunReader, breaks, confusion_distance, edge_lines, fold_misread, inner_lines, is_number, line_runs, nearest_names, read_pages, read_run, reversed_confusions, run_words,
+    running_text, whole_lines,
+)
 from docketry.operators.skew import salted
 from docketry.sources.tables import checkpointed
 
 #: A word is common, and may be what a misread one was, from this count on; those with this share of all words (at most a
 #: million have it) are broadcast, the rarer ones joined to the units that ask for them.
 COMMON_LEAST, COMMON_SHARE = 10, 1e-6
-#: A line is a running one from this share of all edge lines on (at most 5,000 are) and this count.
-RUNNING_SHARE, RUNNING_LEAST = 2e-4, 5
+#: A line is a running one if it stands at the edges of so many pages, and there in this share of all its occurrences, whatever the
+#: corpus's size. Those with RUNNING_SHARE of all edge lines (at most 5,000 are) are broadcast, the others joined to their units.
+RUNNING_LEAST, RUNNING_AT_EDGE, RUNNING_SHARE = 5, 0.8, 2e-4
 #: A word is a misreading only of words that are so many times as frequent.
 TIMES = 10
-#: Longer strings of letters are no words to be repaired.
-LONGEST_WORD = 64
+#: Words up to this length meet in an index of deletes; longer ones, of which that would make very many keys, in one of thirds, as two
+#: edits leave one third whole.
+DELETED_UP_TO = 24
+#: Places in the bit map by which pairs of words are told apart that nobody asks for; the map has 2 MB.
+PAIR_BITS = 1 << 24
 
 _UNIT = "unit_id", "case_id", "header", "numbers", "texts", "marked_numbers", "marked_texts"
 
@@ -60,80 +69,103 @@ def _read(row: tuple, running: set[str]) -> tuple[list[Page], bool]:
 
 
 def page_statistics(units: DataFrame) -> DataFrame:
-    """kind, key, n over all units: words (w), with those that have a hyphen, and edge lines (e). Each batch is counted before
-    anything is shuffled."""
+    """kind, key, n over all units: words (w), with those that have a hyphen, words with signs that can't be in one (s), lines at the
+    edges of pages (e) and like lines elsewhere (l). Each batch is counted before anything is shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             runs: Counter[str] = Counter()
-            words: Counter[str] = Counter()
-            edges: Counter[str] = Counter()
+            kinds: dict[str, Counter[str]] = {k: Counter() for k in "wsel"}
             for row in batch.itertuples(index=False, name=None):
-                pages, _ = _read(row, set())
+                pages, ends = _read(row, set())
+                raw = dict(zip(row[3], row[4], strict=True))
                 runs.update(line_runs(pages))
-                edges.update(edge_lines(pages, dict(zip(row[3], row[4], strict=True))))
+                kinds["e"].update(edge_lines(pages, raw))
+                for page in pages:
+                    if not page.first:
+                        kinds["l"].update(inner_lines(page, raw.get(page.page)))
+                kinds["s"].update(w for b in breaks(pages, ends) for w in _signed(b.left + b.right))
             for run, n in runs.items():
                 for w in run_words(run):
-                    words[w] += n
-            yield pd.DataFrame([*(("w", k, n) for k, n in words.items()), *(("e", k, n) for k, n in edges.items())], columns=["kind", "key", "n"])
+                    kinds["w"][w] += n
+                for w in _signed(run):
+                    kinds["s"][w] += n
+            yield pd.DataFrame([(kind, k, n) for kind, counted in kinds.items() for k, n in counted.items()], columns=["kind", "key", "n"])
 
     return _unit_rows(units).mapInPandas(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+_SIGN = re.compile("[0-9†!]")
+
+
+def _signed(run: str) -> list[str]:
+    """The words of a string that bear signs which can't be in them, numbers aside."""
+    return [t.lower() for t, sure in read_run(run) if sure and not is_number(t)] if _SIGN.search(run) else []
+
+
+def index_keys(word: Column, *, asked: bool) -> Column:
+    """The keys by which words that two edits may make of one another meet: what is left without up to two letters (so that two at
+    least are left), or for long words their thirds with their place, on the asking side shifted by up to two and for lengths up to
+    two off."""
+    length = F.length(word)
+    third = lambda n, j: (n * j / 3).cast("int")
+    part = lambda n, j, by: F.concat(F.lit(f"{j}:"), n.cast("string"), F.lit(":"), F.substring(word, F.greatest(third(n, j) + by + 1, F.lit(1)), third(n, j + 1) - third(n, j)))
+    off = range(-2, 3) if asked else (0,)
+    thirds = F.array_distinct(F.array(*[part(length + d, j, F.lit(by)) for d in off for j in range(3) for by in off]))
+    return F.when(length <= DELETED_UP_TO, deletes(word, F.least(length - 2, F.lit(2)))).otherwise(thirds)
+
+
 def misread_words(words: DataFrame, least: int) -> DataFrame:
-    """token, repairs (array of struct<cost, count, word>, best first) for words (key, n) that are misreadings of common ones.
+    """token, n, repairs (array of struct<cost, count, word>, best first) for words (key, n, and kind if some bear signs) that may be
+    misreadings of common ones.
 
-    Both sides meet in a symmetric-delete index of depth two; of those the weighted edit distance keeps what confusions explain.
+    Both sides meet in a symmetric-delete index; of those the weighted edit distance keeps what confusions explain.
     """
-    size = F.length("key")
-    usable = words.filter((size >= 3) & (size <= LONGEST_WORD))
-    keyed = lambda df: F.explode(deletes(df["key"], F.lit(2)))
-    frequent = usable.filter(F.col("n") >= least)
-    index = frequent.select(F.col("key").alias("word"), F.col("n").alias("count"), keyed(frequent).alias("part"))
-    pairs = usable.select(F.col("key").alias("token"), "n", keyed(usable).alias("part")).join(index, "part")
-    pairs = pairs.filter((F.col("token") != F.col("word")) & (F.col("count") >= F.col("n") * TIMES)).select("token", "word", "count").distinct()
+    usable = words.filter(F.length("key") >= 3)
+    plain = usable.filter(F.col("kind") == "w") if "kind" in words.columns else usable
+    frequent = plain.filter(F.col("n") >= least)
+    index = frequent.select(F.col("key").alias("word"), F.col("n").alias("count"), F.explode(index_keys(F.col("key"), asked=False)).alias("part"))
+    asking = usable.groupBy("key").agg(F.max("n").alias("n"))
+    pairs = asking.select(F.col("key").alias("token"), "n", F.explode(index_keys(F.col("key"), asked=True)).alias("part")).join(index, "part")
+    pairs = pairs.filter((F.col("token") != F.col("word")) & (F.col("count") >= F.col("n") * TIMES)).select("token", "n", "word", "count").distinct()
 
     @F.pandas_udf("double")
     def cost(tokens: pd.Series, true: pd.Series) -> pd.Series:
         return pd.Series([confusion_distance(a, b) for a, b in zip(tokens, true, strict=True)], dtype="float64")
 
     kept = pairs.withColumn("cost", cost("token", "word")).filter(F.col("cost").isNotNull() & ~F.isnan("cost"))
-    return kept.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("cost", (-F.col("count")).alias("count"), "word"))).alias("repairs"))
+    return kept.groupBy("token").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("cost", (-F.col("count")).alias("count"), "word"))).alias("repairs"))
 
 
 class Lexicon:
-    """What repair needs of the corpus: running lines and the most frequent of the common words with counts, both of bounded
-    size and broadcast; and the other common words by the units that ask for them (None if all are broadcast) and the table of
-    misread words, which aren't and are only joined."""
+    """What repair needs of the corpus. Of bounded size and broadcast: the most frequent of the common words with counts, and of the
+    running lines. The others are joined to the units that ask for them (`rare`; None if all are broadcast), and the table of
+    words that may be misread isn't broadcast at all."""
 
     def __init__(self, units: DataFrame) -> None:
         spark = units.sparkSession
         self.statistics = checkpointed(page_statistics(units))
         totals = dict(self.statistics.groupBy("kind").agg(F.sum("n").alias("n")).collect())
         self.least = max(COMMON_LEAST, int((totals.get("w") or 0) * COMMON_SHARE))
-        running = max(RUNNING_LEAST, int((totals.get("e") or 0) * RUNNING_SHARE))
-        words = self.statistics.filter(F.col("kind") == "w").select("key", "n")
+        words = self.statistics.filter(F.col("kind").isin("w", "s"))
         self.misread = checkpointed(misread_words(words, COMMON_LEAST))
-        common = words.filter(F.col("n") >= COMMON_LEAST).join(self.misread.select(F.col("token").alias("key")), "key", "left_anti")
+        common = words.filter((F.col("kind") == "w") & (F.col("n") >= COMMON_LEAST)).select("key", "n").join(self.misread.select(F.col("token").alias("key")), "key", "left_anti")
         self.common = spark.sparkContext.broadcast(dict(common.filter(F.col("n") >= self.least).collect()))
-        self.running = spark.sparkContext.broadcast({r[0] for r in self.statistics.filter((F.col("kind") == "e") & (F.col("n") >= running)).select("key").collect()})
-        self.rare = checkpointed(_rare_counts(units, common.filter(F.col("n") < self.least), self.common, self.running)) if self.least > COMMON_LEAST else None
+        lines = self.statistics.filter(F.col("kind").isin("e", "l")).groupBy("key").agg(F.sum(F.when(F.col("kind") == "e", F.col("n")).otherwise(0)).alias("n"), F.sum("n").alias("everywhere"))
+        lines = lines.filter((F.col("n") >= RUNNING_LEAST) & (F.col("n") >= RUNNING_AT_EDGE * F.col("everywhere")))
+        shared = int((totals.get("e") or 0) * RUNNING_SHARE)
+        self.running = spark.sparkContext.broadcast({r[0] for r in lines.filter(F.col("n") >= shared).select("key").collect()})
+        rare = None
+        if self.least > COMMON_LEAST:
+            rare = common.filter(F.col("n") < self.least)
+        if shared > RUNNING_LEAST:
+            few = lines.filter(F.col("n") < shared).select(F.concat(F.lit(LINE), "key").alias("key"), "n")
+            rare = few if rare is None else rare.unionByName(few)
+        self.rare = None if rare is None else checkpointed(_rare_counts(units, rare, self.common, self.running))
 
 
-def _sure_repair(token: str, common: Mapping[str, int]) -> str | None:
-    """The most frequent common word that one or two confusions make the token; for a number its letters as digits."""
-    if any(c.isdigit() for c in token) and not re.search(r"[^0-9OIlo.,]", token):
-        return token.translate(str.maketrans("OolI", "0011"))
-    one = reversed_confusions(token.lower())
-    found = [w for w in one if w in common] or [w for x in one for w in reversed_confusions(x) if w in common]
-    return max(found, key=lambda w: common[w], default=None)
-
-
-@lru_cache(maxsize=200_000)
-def _sources(token: str) -> tuple[list[str], frozenset[str]]:
-    """What a token may be if one confusion made it, and if one or two did."""
-    one = reversed_confusions(token)
-    return one, frozenset(y for x in one for y in reversed_confusions(x)).union(one)
+#: Marks lines among the words that a unit asks for.
+LINE = "\n"
 
 
 def _asked_words(pages: list[Page], ends: bool, header: str, common: dict[str, int], read: RunReader) -> set[str]:
@@ -147,12 +179,7 @@ def _asked_words(pages: list[Page], ends: bool, header: str, common: dict[str, i
             compound = f"{b.left}-{b.right}".lower()
             out.update((b.left.lower() + "-", (b.left + b.right).lower(), compound, *reversed_confusions(compound)))
             runs.add((ends_of[b.page, b.line].rstrip()[:-1] + "-" + b.right).split()[-1])
-    for text, w, sure in {w[:3] for run in runs for w in read[run] if not w[3]}:
-        out.add(w)
-        if sure or "." in w:
-            one, both = _sources(text.lower())
-            if not any(x in common for x in one):
-                out |= both
+    out.update(w[1] for run in runs for w in read[run] if not w[3])
     return {w for w in out if w not in common}
 
 
@@ -164,7 +191,9 @@ def _rare_counts(units: DataFrame, rare: DataFrame, common: Broadcast, running:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False, name=None):
-                out += [(row[0], w) for w in _asked_words(*_read(row, running.value), row[2] or "", common.value, read)]
+                pages, ends = _read(row, running.value)
+                out += [(row[0], w) for w in _asked_words(pages, ends, row[2] or "", common.value, read)]
+                out += [(row[0], LINE + f) for f in edge_lines(pages, dict(zip(row[3], row[4], strict=True))) if f not in running.value]
             yield pd.DataFrame(out, columns=["asker", "word"])
 
     asked = checkpointed(_unit_rows(units).mapInPandas(ask, "asker string, word string").distinct())
@@ -181,14 +210,21 @@ def _known_rows(units: DataFrame, lexicon: Lexicon) -> DataFrame:
     return rows.join(lexicon.rare, F.col("unit_id").eqNullSafe(F.col("asker")), "left").drop("asker")
 
 
+def _running(rare: list | dict | None, running: set[str]) -> set[str]:
+    """The running lines that matter to a unit."""
+    own = {k[len(LINE) :] for k in dict(rare) if k.startswith(LINE)} if rare is not None and len(rare) else None
+    return running | own if own else running
+
+
 def _known(rare: list | dict | None, common: dict[str, int]) -> Mapping[str, int]:
     """The common words that matter to a unit."""
     return ChainMap(dict(rare), common) if rare is not None and len(rare) else common
 
 
 def noise_rows(units: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """unit_id, case_id, page, noise, token, before, after, repair: header, pageno, hyphen and sure ocr noise of each page, and
-    with noise `?` each word that isn't common, with its neighbours. One row of a unit at a time."""
+    """unit_id, case_id, page, noise, token, before, after, repair: header, pageno and hyphen noise of each page, ocr noise in numbers and
+    in names that the unit itself has, and with noise `?` each other word that isn't common, or `!` if it bears signs that can't
+    be in it, with its neighbours. One row of a unit at a time."""
     common, running = lexicon.common, lexicon.running
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +234,7 @@ def noise_rows(units: DataFrame, lexicon: Lexicon) -> DataFrame:
             out = []
             for row in batch.itertuples(index=False, name=None):
                 unit, case = row[0], row[1]
-                pages, ends = _read(row[:7], lines)
+                pages, ends = _read(row[:7], _running(row[7], lines))
                 known = _known(row[7], common.value)
                 words, broken = running_text(pages, ends, known, read)
                 for p in pages:
@@ -211,37 +247,85 @@ def noise_rows(units: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def _word_rows(unit: str, case: str, words: list[tuple], header: str, known: Mapping[str, int]) -> list[tuple]:
-    """Rows of noise_rows for the words that aren't common. A capitalized word that stands once in the unit, and is by one
-    confusion another of its uncommon words (or of its header's), is a misread name."""
+    """Rows of noise_rows for the words that aren't common. A capitalized word that stands once in the unit, and is by one confusion
+    another of its uncommon words (or of its header's), is a misread name; numbers have their digits for a lexicon."""
     odd = [i for i, w in enumerate(words) if w[3] or not w[4] and len(w[2]) >= 3]
     if not odd:
         return []
     own = Counter(w[2] for w in words if not w[4])
-    own.update(w.lower() for w in re.findall(r"[^\W\d_]+", header))
+    own.update(w.lower() for w in re.findall(r"[^\W\d_]+", header) if w.lower() not in known)
+    names = nearest_names({w[2] for i in odd if not (w := words[i])[3] and w[1][0].isupper() and own[w[2]] == 1}, {w: n for w, n in own.items() if w not in known})
     out = []
     for i in odd:
         page, text, w, sure, _ = words[i]
         before = words[i - 1][2] if i else None
         after = words[i + 1][2] if i + 1 < len(words) else None
-        noise, repair = "?", None
-        if sure:
-            noise, repair = "ocr", _sure_repair(text, known)
-        elif text[0].isupper() and own[w] == 1 and (same := [x for x in reversed_confusions(w) if own.get(x) and x not in known]):
-            noise, repair = "ocr", same[0]
-        elif "." in w and (fixed := _sure_repair(w, known)):
-            noise, repair = "ocr", fixed
+        noise, repair = "!" if sure else "?", None
+        if sure and is_number(text):
+            noise, repair = "ocr", text.translate(str.maketrans("OolI", "0011"))
+        elif w in names and not sure and text[0].isupper():
+            noise, repair = "ocr", names[w]
         out.append((unit, case, page, noise, text, before, after, repair))
     return out
 
 
-def judged(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """noise_rows with each `?` decided: those that are misreadings become ocr with their repairs, the others fall away."""
-    doubt = rows.filter(F.col("noise") == "?").withColumn("word", F.lower("token"))
+def pair_counts(units: DataFrame, asked: DataFrame) -> DataFrame:
+    """first, second, n: how often the pairs of words `asked` (first, second) stand in the pages' texts.
+
+    A bit map of fixed size, made of the asked pairs' checksums, tells where a text is read which pairs nobody asks for; the
+    others are counted for each batch, and an exact join drops those that came through by chance.
+    """
+    spark = units.sparkSession
+    place = F.pmod(F.crc32(F.concat_ws(" ", "first", "second")), F.lit(PAIR_BITS)).cast("int")
+    bits = np.zeros(PAIR_BITS, dtype=bool)
+    places = asked.select(place.alias("p")).distinct().toPandas()["p"].to_numpy()  # numbers below PAIR_BITS
+    bits[places] = True
+    shared = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        there, last = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).tobytes(), PAIR_BITS - 1
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for texts in batch["texts"]:
+                for text in texts:
+                    if text:
+                        words = _WORDS.findall(text.lower())
+                        seen.update([p for p in map(_PAIR, words, words[1:]) if there[crc32(p.encode()) & last]])
+            yield pd.DataFrame([(*p.split(" "), n) for p, n in seen.items()], columns=["first", "second", "n"])
+
+    found = _unit_rows(units).select("texts").mapInPandas(count, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
+    return found.join(asked.select("first", "second").distinct(), ["first", "second"], "left_semi")
+
+
+_WORDS, _PAIR = re.compile(r"[^\W\d_]+"), "{} {}".format
+#: What a unit of cost takes from a word's score: a repair of the highest cost needs a word TIMES as frequent.
+COST_WEIGHT = math.log(TIMES) / MOST_COST
+
+
+def judged(units: DataFrame, rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """noise_rows with each doubtful word decided: those that are misreadings become ocr with their repair, the others fall away.
+
+    The words are joined to what they may be misreadings of. Each of these, and the word as it stands unless it bears signs, is
+    scored by its frequency, how often it stands between the same two words elsewhere in the corpus, and what the misreading
+    costs; the best is taken, of equal ones the cheapest, most frequent, first in the alphabet.
+    """
+    doubt = rows.filter(F.col("noise").isin("?", "!")).withColumn("word", F.lower("token"))
     counts = doubt.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     hot = counts.filter(F.col("n") >= doubt.select(F.count(F.lit(1))).scalar() * F.lit(0.01)).select("word")
-    left, right = salted(doubt, lexicon.misread.withColumnRenamed("token", "word"), hot, "word", F.struct("unit_id", "page"))
-    read = left.join(right, ["word", "salt"]).withColumn("noise", F.lit("ocr")).drop("salt", "word")
-    return rows.filter(F.col("noise") != "?").withColumn("repairs", F.lit(None).cast("array<struct<cost: double, count: bigint, word: string>>")).unionByName(read)
+    left, right = salted(doubt.drop("repair"), lexicon.misread.withColumnRenamed("token", "word"), hot, "word", F.struct("unit_id", "page"))
+    read = left.join(right, ["word", "salt"]).drop("salt")
+    itself = F.when(F.col("noise") == "?", F.array(F.struct(F.lit(0.0).alias("cost"), (-F.col("n")).alias("count"), F.col("word").alias("word")))).otherwise(F.array().cast("array<struct<cost: double, count: bigint, word: string>>"))
+    options = checkpointed(read.select("unit_id", "case_id", "page", "token", "before", "after", F.col("word").alias("as_read"), F.explode(F.concat("repairs", itself)).alias("o")).select("*", "o.cost", (-F.col("o.count")).alias("count"), F.col("o.word").alias("word")).drop("o"))
+    asked = options.select(F.explode(F.array(F.struct(F.col("before").alias("first"), F.col("word").alias("second")), F.struct(F.col("word").alias("first"), F.col("after").alias("second")))).alias("p")).select("p.*").dropna().distinct()
+    found = checkpointed(pair_counts(units, checkpointed(asked)))
+    options = options.join(found.select(F.col("first").alias("before"), F.col("second").alias("word"), F.col("n").alias("n_before")), ["before", "word"], "left")
+    options = options.join(found.select(F.col("first").alias("word"), F.col("second").alias("after"), F.col("n").alias("n_after")), ["word", "after"], "left")
+    here = F.when(F.col("word") == F.col("as_read"), 1).otherwise(0)  # the place itself
+    beside = lambda c: F.log1p(F.greatest(F.coalesce(c, F.lit(0)) - here, F.lit(0)))
+    score = F.log(F.greatest("count", F.lit(1))) + beside("n_before") + beside("n_after") - COST_WEIGHT * F.col("cost")
+    best = options.groupBy("unit_id", "case_id", "page", "token", "before", "after", "as_read").agg(F.min(F.struct(F.round(-score, 9).alias("s"), (-F.col("cost")).alias("dear"), (-F.col("count")).alias("count"), "word")).alias("b"))
+    chosen = best.filter(F.col("b.word") != F.col("as_read")).select("unit_id", "case_id", "page", F.lit("ocr").alias("noise"), "token", "before", "after", F.col("b.word").alias("repair"))
+    return rows.filter(~F.col("noise").isin("?", "!")).unionByName(chosen)
 
 
 def page_noise(units: DataFrame) -> DataFrame:
@@ -253,44 +337,14 @@ def page_noise(units: DataFrame) -> DataFrame:
     """
     lexicon = Lexicon(units)
     rows = checkpointed(noise_rows(units, lexicon))
-    return judged(rows, lexicon).select("case_id", "page", "noise").distinct()
-
+    return judged(units, rows, lexicon).select("case_id", "page", "noise").distinct()
 
-def chosen_repairs(units: DataFrame, found: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """unit_id, repairs map<token, word> of judged rows.
 
-    A token with one possible word gets that; with several, the counts of the pairs that each would make with the words beside
-    it are added to what its cost allows. The pairs are counted over all units, but only those with a word in question, or
-    with one that isn't broadcast and so may be in question.
-    """
-    found = found.filter((F.col("noise") == "ocr") & F.col("token").isNotNull())
-    options = found.select("unit_id", "token", "before", "after", F.explode(F.coalesce("repairs", F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("bigint").alias("count"), F.col("repair").alias("word"))))).alias("o")).select("unit_id", "token", "before", "after", "o.*").filter(F.col("word").isNotNull())
-    doubtful = found.filter(F.size("repairs") > 1).select(F.explode("repairs").alias("r")).select("r.word", (-F.col("r.count")).alias("n")).distinct()
-    asked = {r[0] for r in doubtful.filter(F.col("n") >= lexicon.least).collect()}  # among the words with their share, of which there are at most a million
-    rarer = lexicon.rare is not None
-    if asked or rarer:
-        shared, common = units.sparkSession.sparkContext.broadcast(asked), lexicon.common
-
-        def counted(w: str) -> bool:
-            return w in shared.value or rarer and w not in common.value
-
-        def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                seen: Counter[tuple[str, str]] = Counter()
-                for row in batch.itertuples(index=False, name=None):
-                    words = [w for page in _read(row, set())[0] for line in page.body for run in line.split() for w in run_words(run)]
-                    seen.update(p for p in zip(words, words[1:], strict=False) if counted(p[0]) or counted(p[1]))
-                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["first", "second", "n"])
-
-        bigrams = _unit_rows(units).mapInPandas(pairs, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
-        options = options.join(bigrams.select(F.col("first").alias("before"), F.col("second").alias("word"), F.col("n").alias("n_before")), ["before", "word"], "left")
-        options = options.join(bigrams.select(F.col("first").alias("word"), F.col("second").alias("after"), F.col("n").alias("n_after")), ["word", "after"], "left")
-        score = F.log1p(F.coalesce("n_before", F.lit(0))) + F.log1p(F.coalesce("n_after", F.lit(0))) - 10 * F.col("cost")
-    else:
-        score = -10 * F.col("cost")
-    scored = options.groupBy("unit_id", "token", "word").agg(F.sum(score).alias("score"), F.min("count").alias("count"))
-    best = scored.groupBy("unit_id", "token").agg(F.min(F.struct((-F.col("score")).alias("s"), "count", "word")).alias("b"))
-    return best.groupBy("unit_id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("b.word").alias("word")))).alias("repairs"))
+def chosen_repairs(found: DataFrame) -> DataFrame:
+    """unit_id, repairs map<token, word> of judged rows: of a token's repairs in a unit the most frequent, then the first."""
+    counted = found.filter((F.col("noise") == "ocr") & F.col("repair").isNotNull()).groupBy("unit_id", "token", "repair").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("unit_id", "token").agg(F.min(F.struct((-F.col("n")).alias("n"), "repair")).alias("b"))
+    return best.groupBy("unit_id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("b.repair").alias("word")))).alias("repairs"))
 
 
 def _as_written(token: str, word: str) -> str:
@@ -347,8 +401,8 @@ def case_paragraphs(units: DataFrame) -> DataFrame:
     the paragraphs that begin on it, but for one that the earlier unit carries over from the page before.
     """
     lexicon = Lexicon(units)
-    found = judged(checkpointed(noise_rows(units, lexicon)), lexicon)
-    rows = _known_rows(units, lexicon).join(chosen_repairs(units, found, lexicon), "unit_id", "left").select(*_UNIT, "repairs", "rare")
+    repairs = checkpointed(chosen_repairs(judged(units, checkpointed(noise_rows(units, lexicon)), lexicon)))
+    rows = _known_rows(units, lexicon).join(repairs, "unit_id", "left").select(*_UNIT, "repairs", "rare")
     common, running = lexicon.common, lexicon.running
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -357,7 +411,7 @@ def case_paragraphs(units: DataFrame) -> DataFrame:
             out = []
             for row in batch.itertuples(index=False, name=None):
                 i, n = _place(row[0])
-                pages, ends = _read(row[:7], running.value)
+                pages, ends = _read(row[:7], _running(row[8], running.value))
                 _, broken = running_text(pages, ends, _known(row[8], common.value), read)
                 done = paragraphs(pages, broken, dict(row[7]) if row[7] is not None else {})
                 numbers: Counter[int] = Counter()

@@ -187,6 +187,19 @@ def edge_lines(pages: list[Page], raw: dict[int, str | None]) -> set[str]:
     return out
 
 
+def inner_lines(page: Page, raw: str | None) -> Counter[str]:
+    """The folded lines of a page that aren't at its edges and look like running ones: how often such a line stands elsewhere."""
+    lines = (raw or "").split("\n")
+    edges = set(_edges(lines))
+    short = (x for i, x in enumerate(lines) if i not in edges and x.strip() and not _NUMBER_LINE.fullmatch(x) and not _runs_as_prose(x))
+    return Counter(f for x in short if len(f := fold_misread(x)) > 3 and " " in f and f not in page.headings)
+
+
+def is_number(token: str) -> bool:
+    """Whether a token is a number, some of whose digits may be misread as letters."""
+    return any(c.isdigit() for c in token) and not re.search(r"[^0-9OIlo.,]", token)
+
+
 def read_run(run: str) -> tuple[tuple[str, bool], ...]:
     """The words and numbers of a string without blanks, each with whether it bears a sign that can't be in it. Numbers and
     words with ordinary suffixes are left out where all their signs can be."""
@@ -347,6 +360,38 @@ def reversed_confusions(word: str) -> list[str]:
     return sorted({word[:i] + true + word[i + len(read) :] for true, read in CONFUSIONS for i in range(len(word) - len(read) + 1) if word.startswith(read, i)})
 
 
+def deleted(word: str, depth: int) -> set[str]:
+    """A word and what is left of it without up to `depth` letters: the keys of a symmetric-delete index."""
+    out = {word}
+    level = {word}
+    for _ in range(depth):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out |= level
+    return out
+
+
+def delete_depth(length: int) -> int:
+    """Letters that may be missing of a word of this length, so that two at least are left."""
+    return max(0, min(2, length - 2))
+
+
+def nearest_names(odd: set[str], own: Mapping[str, int]) -> dict[str, str]:
+    """For each of the words `odd` the cheapest of the `own` words (then the most frequent) that confusions explain, found through a
+    symmetric-delete index over a document's own words."""
+    index: dict[str, list[str]] = {}
+    for w in own:
+        if 3 <= len(w) <= 40:
+            for k in deleted(w, delete_depth(len(w))):
+                index.setdefault(k, []).append(w)
+    out = {}
+    for w in odd:
+        near = {x for k in deleted(w, delete_depth(len(w))) for x in index.get(k, ()) if x != w} if 3 <= len(w) <= 40 else set()
+        cost = {x: c for x in near if (c := confusion_distance(w, x, CONFUSION_COST)) is not None}
+        if cost:
+            out[w] = min(cost, key=lambda x: (cost[x], -own[x], x))
+    return out
+
+
 def confusion_distance(read: str, true: str, most: float = MOST_COST) -> float | None:
     """Weighted edit distance from the printed to the read word: confusions cost CONFUSION_COST, other edits 1; None above `most`."""
     n, m = len(true), len(read)

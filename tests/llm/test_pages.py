@@ -48,6 +48,26 @@ def test_misread_words_need_a_common_word(spark, rows):
     assert got == {"rccord": "record", "recorcl": "record", "modemized": "modernized"}
 
 
+def test_words_of_any_length_have_an_index(spark):
+    long = "incomprehensibilityandotherwordswithoutblanks" * 3
+    i, j = long.index("e", 50), long.index("m", 3)
+    odd = [long[:i] + "c" + long[i + 1 :], long[:j] + "rn" + long[j + 1 :]]
+    w = spark.createDataFrame([(long, 50), (odd[0], 1), (odd[1], 1), ("arm", 90), ("arrn", 2), ("the", 900), ("tbe", 9), ("tho", 30)], "key string, n bigint")
+    got = {r["token"]: r["repairs"][0]["word"] for r in misread_words(w, 10).collect()}
+    assert got["arrn"] == "arm" and got["tbe"] == "the" and "tho" not in got
+    assert {k: v for k, v in got.items() if len(k) > 24} == dict.fromkeys(odd, long)
+
+
+def test_context_decides_and_running_lines_stand_at_edges(spark, rows):
+    body = "The hearing officer met the warden of the port in the month of modem trade. " * 4
+    plain = [unit(1, 1, [(1, "Start of it\n" + body), (2, "Interim Print Copy\n" + body + "\n" + body + "\nRound Table Rules\n" + body + "\n" + body)], f"lit_{i}") for i in range(20)]
+    other = "A modern office is a modern place and the modern court sat. " * 60
+    df = spark.createDataFrame([*plain, unit(1, 1, [(1, other)], "lit_m"), unit(1, 1, [(1, body), (2, "Interim Print Copy\n" + body + "The warclen sat."), (3, "Round Table Rules\n" + body)], "lit_z")], UNIT)
+    got = {r for r in rows(page_noise(df)) if r[0] in ("lit_z", "lit_3")}
+    assert got == {("lit_3", 2, "header"), ("lit_z", 2, "header"), ("lit_z", 2, "ocr")}  # modem is no misread modern here
+    assert "The warden sat." in " ".join(r[3] for r in rows(case_paragraphs(df)) if r[0] == "lit_z")
+
+
 def test_noise_and_text(spark, rows):
     clean = [unit(1, 1, [(1, PROSE * 4), (2, PROSE * 4)], f"lit_{i}") for i in range(5, 15)]
     noisy = [
