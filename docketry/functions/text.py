@@ -162,7 +162,7 @@ def final_answer(c: Column) -> Column:
     Citations without a case are left out."""
     schema = "struct<answer: string, citations: array<struct<case: string, quote: string, page: int>>>"
     blocks = F.regexp_extract_all(c, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), 1)
-    last = F.length(c) - F.locate(F.reverse(F.lit('{"answer"')), F.reverse(c)) - len('{"answer"') + 2
+    last = F.length(c) - F.call_function("locate", F.reverse(F.lit('{"answer"')), F.reverse(c)) - len('{"answer"') + 2
     start = F.when(F.contains(c, F.lit('{"answer"')), last).otherwise(F.locate("{", c))
     end = F.length(c) - F.locate("}", F.reverse(c)) + 1
     bare = F.when((start > 0) & F.contains(c, F.lit("}")), F.array(F.substring(c, start, end - start + 1))).otherwise(F.array().cast("array<string>"))

@@ -62,12 +62,16 @@ def search_pages(pages: DataFrame, known: DataFrame, query: str, case_id: str |
     return top.withColumn("rank", F.row_number().over(order)).join(pages, ["case_id", "page"]).join(titles, "case_id", "left").select("rank", "case_id", "page", F.round("score", 3).alias("score"), "title", snippet(F.col("text"), terms, 400).alias("snippet")).orderBy("rank")
 
 
+#: Characters of a run on which names and titles are joined; a name found within a title has as many at least.
+GRAM = 6
+
+
 def resolve(refs: DataFrame, known: DataFrame, ref: str = "ref") -> DataFrame:
     """ref, case_id: the case that each reference means; null for none.
 
     An id wins, then a canonical citation; a well-formed citation of no case is nothing, whatever names look like it; then a
     name without `In re` or `Matter of`: equal to a title, or longer than five characters and within one. Of several the
-    smallest id is taken. Names are joined on a shared word before they are compared.
+    smallest id is taken. Names meet the titles that have the rarest of their runs of GRAM characters before they are compared.
     """
     rows = refs.select(F.col(ref).alias("ref")).distinct().withColumn("s", squash(F.col("ref"))).filter(F.coalesce("s", F.lit("")) != "").withColumn("c", canon(F.col("s")))
     by_id = rows.join(known.select(F.col("id").alias("s"), F.col("id").alias("by_id")), "s", "left")
@@ -77,12 +81,15 @@ def resolve(refs: DataFrame, known: DataFrame, ref: str = "ref") -> DataFrame:
     strip = lambda c: F.regexp_replace(c, r"^[ ,.]+|[ ,.]+$", "")
     open_refs = by_cite.filter(F.col("by_id").isNull() & F.col("by_cite").isNull() & ((F.col("c.kind") != "case") | F.col("c.id").startswith("other:"))).withColumn("name", strip(bare(F.col("s")))).filter(F.col("name") != "")
     names = known.select("id", F.lower("title").alias("title"), bare(F.col("title")).alias("bare"))
-    word = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), 1)))
-    longest = F.element_at(F.array_sort(F.regexp_extract_all("name", F.lit(r"(?U)(\w+)"), 1), lambda a, b: F.length(b) - F.length(a)), 1)
-    pairs = open_refs.withColumn("word", longest).join(names.withColumn("word", word(F.col("title"))), "word")
-    whole = (F.col("name") == F.col("bare")) | (F.col("name") == F.col("title"))
-    part = (F.length("name") > 5) & (F.contains("title", "name") | F.startswith("bare", "name"))
-    by_name = pairs.filter(whole | part).groupBy("ref").agg(F.min("id").alias("by_name"))
+    asked = open_refs.select("ref", "name")
+    whole = asked.join(names.select("id", F.explode(F.array_distinct(F.array("title", "bare"))).alias("name")), "name").select("ref", "id")
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, GRAM)))).alias("gram")
+    in_titles = names.filter(F.length("title") >= GRAM).select("id", "title", grams(F.col("title")))
+    counts = in_titles.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    long = asked.filter(F.length("name") >= GRAM).select("ref", "name", grams(F.col("name"))).join(counts, "gram", "left")
+    keys = long.groupBy("ref", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).filter(F.col("k.n") > 0).select("ref", "name", F.col("k.gram").alias("gram"))
+    part = keys.join(in_titles, "gram").filter(F.contains("title", "name")).select("ref", "id")
+    by_name = whole.unionByName(part).groupBy("ref").agg(F.min("id").alias("by_name"))
     return by_cite.join(by_name, "ref", "left").select("ref", F.coalesce("by_id", "by_cite", "by_name").alias("case_id"))
 
 

@@ -277,6 +277,9 @@ ORACLES = {
     "v2_located": f"WITH {_LOCATED} SELECT quote_id, case_id, page, CASE WHEN f IS NULL THEN -1 WHEN f < s THEN page_before WHEN f >= s + n THEN page_after ELSE own_page END AS found_page, coalesce(f, -1) AS found_start, coalesce(f + length(piece), -1) AS found_end FROM l",
     "v3_items": f"""WITH {_LOCATED}, g AS (SELECT case_id, count(*) AS n_quotes, count(f) AS n_verified, max(CASE WHEN f IS NOT NULL THEN len(string_split_regex(trim(quote), '\\s+')) END) AS longest FROM l GROUP BY case_id)
 SELECT case_id, CASE WHEN n_verified > 0 THEN 'llm' ELSE 'unverified' END AS provenance, round(CASE WHEN n_verified = 0 THEN 0.3::DOUBLE WHEN n_verified < n_quotes THEN 0.72::DOUBLE ELSE 0.9::DOUBLE END, 4) AS confidence, CASE WHEN n_verified >= 2 OR longest >= 15 THEN 'strong' WHEN n_verified = 1 THEN 'moderate' ELSE 'weak' END AS evidence_strength, n_verified, n_quotes FROM g""",
+    "v4_checked": f"""WITH {_KEYS}, {_QUOTES}, h AS (SELECT q.quote_id, q.page, keys.page AS at_page, page_before, page_after, length(key) AS n, CASE WHEN strpos(key || after, piece) > 0 THEN strpos(key || after, piece) - 1 WHEN strpos(before || key || after, piece) > 0 THEN strpos(before || key || after, piece) - 1 - length(before) END AS f
+FROM q JOIN keys ON keys.case_id = q.case_id WHERE length(piece) >= 12), w AS (SELECT quote_id, arg_min(CASE WHEN f < 0 THEN page_before WHEN f >= n THEN page_after ELSE at_page END, CASE WHEN at_page = page THEN 0 ELSE at_page END) AS matched_page FROM h WHERE f IS NOT NULL GROUP BY quote_id)
+SELECT q.quote_id, w.matched_page IS NOT NULL AS quote_match, w.matched_page, CASE WHEN w.matched_page <> q.page THEN 'quote found on page ' || w.matched_page || ', not ' || q.page END AS page_note FROM q LEFT JOIN w USING (quote_id)""",
     "m1_scores": f"""WITH {_GOLD}, j AS (SELECT p.unit_id, p.id AS pred_id, g.id AS gold_id, {_LABELS.format("p")} AS a, {_LABELS.format("g")} AS b, least(p.e, g.e) - greatest(p.s, g.s) AS shared, greatest(p.e, g.e) - least(p.s, g.s) AS hull FROM pred p JOIN gold g ON p.unit_id = g.unit_id AND p.type = g.type),
 s AS (SELECT unit_id, pred_id, gold_id, 0.8::DOUBLE * CASE WHEN shared > 0 THEN shared / hull ELSE 0 END + 0.2::DOUBLE * CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END AS score FROM j) SELECT unit_id, pred_id, gold_id, round(score, 6) AS score FROM s WHERE score >= 0.3::DOUBLE""",
     "m7_tiers": f"""WITH {sql.CASES}, {sql.CITED}, a AS (SELECT DISTINCT source, target FROM matches WHERE source IS NOT NULL AND target IS NOT NULL), b AS (SELECT DISTINCT source, target FROM cited WHERE scope = 'cross_domain'),
@@ -289,6 +292,8 @@ round(avg(only_allowed_tools::INT), 3) AS only_allowed_tools, round(avg(self_ver
 round(avg(latency_s), 1) AS latency_mean, round(quantile_cont(latency_s, 0.5), 1) AS latency_p50, round(max(latency_s), 1) AS latency_max, sum(coalesce(input_tokens, 0))::BIGINT AS input_tokens, sum(coalesce(output_tokens, 0))::BIGINT AS output_tokens, sum(coalesce(model_calls, 0))::BIGINT AS model_calls,
 count(*) FILTER (coalesce(output_tokens, 0) > 0 AND coalesce(input_tokens, 0) = 0) AS input_missing, round(avg(cost1), 6) AS cost, round(sum(cost1), 4) AS cost_total FROM c GROUP BY GROUPING SETS ((system), (system, category))""",
     "e4_ids": """WITH g AS (SELECT DISTINCT case_id, part_name, seg_id FROM segments WHERE start_page = end_page), b AS (SELECT seg_id, case_id || ':' || part_name || ':part' AS base, row_number() OVER (PARTITION BY case_id, part_name ORDER BY seg_id) AS n FROM g) SELECT seg_id, CASE WHEN n > 1 THEN base || '_' || n ELSE base END AS id FROM b""",
+    "e6_progress": """WITH r AS (SELECT DISTINCT case_id, CASE WHEN part_name = 'majority' THEN 'edges' ELSE 'nodes' END AS stage, end_char % 10 <> 0 AS whole FROM segments), b AS (SELECT case_id, count(DISTINCT CASE WHEN whole THEN stage END) AS whole, count(DISTINCT stage) AS there FROM r GROUP BY case_id)
+SELECT CASE WHEN b.whole >= 2 THEN 'ok' WHEN b.there >= 2 THEN 'partial' ELSE 'pending' END AS state, count(*) AS n FROM (SELECT DISTINCT case_id FROM units) u LEFT JOIN b USING (case_id) GROUP BY 1""",
     "t1_quota": """WITH w AS (SELECT event_id, ts, count(*) OVER m AS used_minute, count(*) OVER h AS used_hour, count(*) OVER d AS used_day, min(ts) OVER h AS first_hour FROM events
 WINDOW m AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW), h AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW), d AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW))
 SELECT event_id, used_minute, used_hour, used_day, round(3600 - (epoch_us(ts) - epoch_us(first_hour)) / 1e6, 3) AS wait_hour, CASE WHEN used_day >= 6 THEN 'day' WHEN used_hour >= 3 THEN 'hour' WHEN used_minute >= 2 THEN 'minute' END AS blocked_by FROM w""",

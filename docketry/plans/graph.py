@@ -284,12 +284,19 @@ doms AS (SELECT p.target AS id, n.domain, count(*) AS k FROM pairs p JOIN nodes
 SELECT t.rank::INT AS rank, t.id, n.label AS kind, n.domain, t.cited_by, l.citing_domains FROM top t JOIN nodes n USING (id) JOIN lists l USING (id)""",
     "a6_statutes": f"""WITH {_SMALL}, f AS (SELECT target AS id, count(*) AS cases, sum(n)::BIGINT AS mentions FROM edges WHERE type = 'MENTIONS_STATUTE' GROUP BY target), t AS (SELECT *, row_number() OVER (ORDER BY cases DESC, mentions DESC, id)::INT AS rank FROM f)
 SELECT t.rank, t.id, n.display, n.label AS kind, t.cases, t.mentions FROM t JOIN nodes n USING (id) WHERE t.rank <= 25""",
+    "a7_doctrines": f"""WITH {_SMALL}, keepc AS (SELECT id FROM nodes WHERE label = 'Case'), linksc AS (SELECT e.source, e.target FROM edges e JOIN keepc a ON a.id = e.source JOIN keepc b ON b.id = e.target WHERE type = 'CITES'), {sql.pagerank("keepc", "linksc", 2)},
+u AS (SELECT e.target AS id, count(DISTINCT e.source) AS cases, sum(coalesce(r.rank, 0)) AS influence, avg(e.confidence) AS mean_confidence FROM edges e LEFT JOIN ranks2 r ON r.id = e.source WHERE type = 'INVOKES_DOCTRINE' GROUP BY e.target), t AS (SELECT *, row_number() OVER (ORDER BY cases DESC, influence DESC, id)::INT AS rank FROM u)
+SELECT rank, id, cases, round(influence, 6) AS influence, round(mean_confidence, 3) AS mean_confidence FROM t WHERE rank <= 25""",
     "a8_bridges": f"""WITH {_SMALL}, p AS (SELECT DISTINCT source, target FROM edges WHERE type = 'CITES' AND scope = 'cross_domain'), b AS (SELECT target AS id, count(*) AS citing FROM p GROUP BY target), t AS (SELECT *, row_number() OVER (ORDER BY citing DESC, id)::INT AS rank FROM b)
 SELECT t.rank, t.id, n.title, t.citing, (SELECT count(*) FROM p) AS unique_pairs, (SELECT count(*) FROM b) AS bridged FROM t LEFT JOIN nodes n USING (id) WHERE t.rank <= 20""",
     "a9_stats": f"WITH {_SMALL} SELECT 'node label' AS what, label AS name, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'edge type', type, count(*) FROM edges GROUP BY type UNION ALL SELECT 'edge provenance', provenance, count(*) FROM edges GROUP BY provenance",
     "r2_bm25": f"WITH {_bm25('SELECT doc_id, text FROM documents', 'doc_id')} SELECT doc_id, round(score, 6) AS score FROM scored",
     "r3_search_pages": f"""WITH {sql.CASES}, {sql.PAGES}, {_bm25("SELECT case_id || '#' || page AS k, case_id, page, text FROM pages", "k")}, t AS (SELECT d.case_id, d.page, s.score, row_number() OVER (ORDER BY s.score DESC, d.case_id, d.page)::INT AS rank FROM scored s JOIN docs d USING (k))
 SELECT t.rank, t.case_id, t.page, round(t.score, 3) AS score, c.title FROM t LEFT JOIN cases c ON c.id = t.case_id WHERE t.rank <= 10""",
+    "r5_resolved": f"""WITH {sql.CASES}, q0 AS (SELECT citation AS ref FROM records UNION SELECT title FROM records), q1 AS (SELECT ref, {sql.squash("ref")} AS s FROM q0 WHERE ref IS NOT NULL), q AS (SELECT ref, s, {sql.canon("s", "id")} AS cid, {sql.canon("s", "kind")} AS kind,
+regexp_replace(trim(regexp_replace(lower(s), '^(in re|matter of)\\s+', '')), '^[ ,.]+|[ ,.]+$', '', 'g') AS name FROM q1 WHERE s <> ''), own AS (SELECT canon_id, max(id) AS id FROM cases WHERE canon_id NOT LIKE 'nocite:%' GROUP BY canon_id),
+n AS (SELECT id, lower(title) AS title, trim(regexp_replace(lower(title), '^(in re|matter of)\\s+', '')) AS bare FROM cases), named AS (SELECT q.ref, min(n.id) AS id FROM q JOIN n ON q.name = n.bare OR q.name = n.title OR length(q.name) > 5 AND (contains(n.title, q.name) OR starts_with(n.bare, q.name)) WHERE q.kind <> 'case' AND q.name <> '' GROUP BY q.ref)
+SELECT q.ref, coalesce(c.id, own.id, named.id) AS case_id FROM q LEFT JOIN cases c ON c.id = q.s LEFT JOIN own ON own.canon_id = q.cid LEFT JOIN named ON named.ref = q.ref""",
     "r6_cases": f"""WITH {_SMALL}, {sql.PAGES}, s AS (SELECT source AS id, target, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, target) AS k FROM edges WHERE type = 'MENTIONS_STATUTE'), l AS (SELECT id, string_agg(target || ' x' || n, '; ' ORDER BY k) AS statutes FROM s WHERE k <= 15 GROUP BY id),
 o AS (SELECT source AS id, count(*) AS n FROM edges WHERE type = 'CITES' GROUP BY source), i AS (SELECT target AS id, count(*) AS n FROM edges WHERE type = 'CITES' GROUP BY target), p AS (SELECT case_id AS id, count(*) AS n FROM pages GROUP BY case_id)
 SELECT c.id, coalesce(p.n, 0) AS n_pages, coalesce(o.n, 0) AS n_cites, coalesce(i.n, 0) AS n_cited_by, coalesce(l.statutes, '') AS statutes FROM cases c LEFT JOIN p USING (id) LEFT JOIN o USING (id) LEFT JOIN i USING (id) LEFT JOIN l USING (id)""",
@@ -298,6 +305,10 @@ SELECT c.id, coalesce(p.n, 0) AS n_pages, coalesce(o.n, 0) AS n_cites, coalesce(
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, vec_id)::INT AS rank, vec_id, round(x, 4) AS score FROM s) SELECT * FROM r WHERE rank <= 8""",
     "g3_active_parts": f"""WITH {sql.PAGES}, s AS (SELECT DISTINCT case_id, seg_id, part_name, start_page, start_char FROM segments), j AS (SELECT p.case_id, p.page, s.part_name AS part, s.seg_id, row_number() OVER (PARTITION BY p.case_id, p.page ORDER BY s.start_page DESC NULLS LAST, s.start_char DESC) AS k
 FROM pages p LEFT JOIN s ON s.case_id = p.case_id AND (s.start_page < p.page OR s.start_page = p.page AND s.start_char <= 0)) SELECT case_id, page, part, seg_id FROM j WHERE k = 1""",
+    "g3_annotated": f"""WITH {sql.PAGES}, s AS (SELECT DISTINCT case_id, start_page AS page, start_char, chr(10) || '<<<PART BEGINS: ' || part_name || ' | ' || label || ' | seg_id=' || seg_id || '>>>' || chr(10) AS mark FROM segments),
+o AS (SELECT p.case_id, p.page, p.text, s.start_char, s.mark, lead(s.start_char) OVER (PARTITION BY p.case_id, p.page ORDER BY s.start_char, s.mark) AS following FROM pages p JOIN s USING (case_id, page)),
+g AS (SELECT case_id, page, substring(any_value(text), 1, min(start_char)) || string_agg(mark || substring(text, start_char + 1, coalesce(following, length(text)) - start_char), '' ORDER BY start_char, mark) AS text FROM o GROUP BY case_id, page)
+SELECT p.case_id, p.page, coalesce(g.text, p.text) AS text FROM pages p LEFT JOIN g USING (case_id, page)""",
     "g7_contexts": f"""WITH {sql.PAGES}, m AS (SELECT case_id, page, '===== [[PAGE ' || page || ']] =====' || chr(10) || text AS t FROM pages)
 SELECT case_id, page, substring(array_to_string(list_filter([lag(t) OVER w, t, lead(t) OVER w], lambda x: x IS NOT NULL), chr(10)), 1, 9000) AS context FROM m WINDOW w AS (PARTITION BY case_id ORDER BY page)""",
 }

@@ -152,6 +152,9 @@ QUERIES = {f.__name__: f for f in (f1_squash, f2_canon, f3_slug, f4_match_key, f
 _SPANS = "a AS (SELECT DISTINCT seg_id, start_char AS s1, end_char AS e1, floor((end_char - start_char) / 3)::INT AS m FROM segments WHERE start_page = end_page)"
 _WORDS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+'))"
 
+_TITLES = ", ".join(f"'{x}'" for x in fx.TITLES)
+_quoted = lambda pattern: pattern.replace("'", "''")
+
 ORACLES = {
     "f1_squash": f"SELECT doc_id, {sql.squash('text')} AS squashed FROM documents",
     "f2_canon": f"""WITH r AS (SELECT citation AS raw FROM records UNION SELECT unnest(citations) FROM records UNION SELECT display FROM mentions), q AS (SELECT raw, {sql.squash("raw")} AS s FROM r WHERE raw IS NOT NULL)
@@ -159,12 +162,17 @@ SELECT raw, {sql.canon("s", "id")} AS id, {sql.canon("s", "kind")} AS kind, {sql
     "f3_slug": f"SELECT label, {sql.slug('label', 30)} AS slug FROM (SELECT DISTINCT label FROM segments)",
     "f4_match_key": f"SELECT doc_id, {sql.match_key('text')} AS key FROM documents",
     "f5_tokens": f"SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS tokens FROM documents",
+    "f6_snippet": f"""WITH d AS (SELECT doc_id, {sql.squash('text')} AS t FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, t, greatest(coalesce(list_min(list_filter([strpos(lower(t), 'harbor') - 1, strpos(lower(t), 'removal') - 1], lambda x: x >= 0)), 0) - 80, 0) AS s FROM d)
+SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || substring(t, s::INT + 1, 240) || CASE WHEN length(t) > s + 240 THEN '…' ELSE '' END AS snippet FROM h""",
     "f9_title_section": "SELECT canon_id, split_part(split_part(canon_id, ':', 2), '_', 1) AS title_no, CASE WHEN canon_id LIKE 'cfr:%' THEN NULL ELSE split_part(split_part(canon_id, ':', 2), '_', 2) END AS section, CASE WHEN canon_id LIKE 'cfr:%' THEN split_part(split_part(canon_id, ':', 2), '_', 2) END AS part FROM canons WHERE kind <> 'case'",
+    "f10_judges": f"""WITH l AS (SELECT DISTINCT label, regexp_replace(label, '^.*OPINION:', '') AS a FROM segments WHERE label LIKE '%Board Member%'), w AS (SELECT label, a, list_filter(regexp_extract_all(a, '[A-Za-z][A-Za-z''’\\-]*'), lambda x: lower(x) NOT IN ({_TITLES})) AS ws FROM l), n AS (SELECT label, CASE WHEN len(ws) > 0 THEN ws[-1] ELSE trim(a) END AS name FROM w)
+SELECT label, 'judge:appellate_entry_board:' || {sql.slug("name", 30)} AS judge FROM n""",
     "f12_similarity": f"""WITH m AS (SELECT DISTINCT mention_id, {_WORDS("coalesce(display, '')")} AS a, {_WORDS("coalesce(quote, '')")} AS b FROM mentions), n AS (SELECT mention_id, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS k FROM m)
 SELECT mention_id, round(CASE WHEN na + nb - k > 0 THEN k / (na + nb - k) ELSE 0 END, 6) AS jaccard, round(CASE WHEN na > 0 THEN k / na ELSE 0 END, 6) AS overlap FROM n""",
     "f13_spans": f"WITH {_SPANS} SELECT seg_id, round(CASE WHEN e1 - s1 - m > 0 THEN (e1 - s1 - m) / (e1 + m - s1) ELSE 0 END, 6) AS iou, round(CASE WHEN e1 - s1 - m > 0 AND e1 > s1 THEN (e1 - s1 - m) / (e1 - s1) ELSE 0 END, 6) AS overlap FROM a",
     "f15_json": "SELECT event_id, (props::JSON->>'k')::INT AS k FROM events",
     "f16_fenced": "SELECT doc_id, '<<<UNTRUSTED_CASE_TEXT source=documents' || chr(10) || replace(replace(text, '<<<', '‹‹‹'), '>>>', '›››') || chr(10) || 'UNTRUSTED_CASE_TEXT>>>' AS fenced, CASE WHEN text IS NOT NULL THEN '' END AS flags FROM documents",
+    "f18_judged": f"""SELECT turn_id, regexp_matches(text, '{_quoted(answers.MARKER)}') AS marked, regexp_matches(text, '{_quoted(answers.CASE_CITE)}') AS case_cite, regexp_matches(text, '{_quoted(answers.STATUS_CLAIM)}') AS status_claim, coalesce(regexp_matches(text, '{_quoted(answers.ADVICE)}'), false) AS advice FROM (SELECT DISTINCT turn_id, text FROM turns)""",
     "f19_failed": """WITH t AS (SELECT DISTINCT turn_id, status, input_tokens, output_tokens, revisions, text FROM turns), d AS (SELECT *, CASE WHEN (length(turn_id) + coalesce(length(text), 0)) % 3 = 0 THEN concat_ws(' ', text, CASE WHEN revisions > 0 THEN 'API Error: usage limit' ELSE '26 I&N Dec. 429' END) ELSE text END AS draft FROM t)
 SELECT turn_id, CASE WHEN status = 'error' THEN 'agent error' WHEN coalesce(input_tokens, 0) = 0 AND coalesce(output_tokens, 0) = 0 AND NOT coalesce(regexp_matches(text, '\\[\\d+\\]'), false) THEN 'model never answered'
 WHEN regexp_matches(coalesce(draft, ''), '(?i)API Error|Request rejected \\(429\\)|HTTP 429|usage limit|rate.?limit') THEN 'provider error in draft' END AS reason FROM d""",

@@ -15,7 +15,12 @@ RECORD = "id string, title string, citation string, decision_date string, decisi
 def read_records(spark: SparkSession, path: str, domain: str) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine) of JSON lines files. Blank lines are skipped; lines that don't parse, or have no id, title or pages,
     go to quarantine with file, id and reason. A missing text is the pages' texts in lines. All fields have declared types."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("source")).filter(F.trim("line") != "")
+    return parsed_records(spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("source")), domain)
+
+
+def parsed_records(lines: DataFrame, domain: str) -> tuple[DataFrame, DataFrame]:
+    """read_records for lines (line, source) that are there already."""
+    lines = lines.filter(F.trim("line") != "")
     parsed = lines.withColumn("r", F.from_json("line", RECORD + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     reason = (
         F.when(F.col("r").isNull() | F.col("r._corrupt").isNotNull(), "invalid JSON")
@@ -93,8 +98,12 @@ def latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def sharded_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of run files with `run`, the file's name without its end and shard number (`qa_kg_s3.jsonl` is of qa_kg)."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1)
-    return spark.read.schema(schema).json(path).withColumn("run", F.regexp_replace(name, r"_s\d+$", ""))
+    return spark.read.schema(schema).json(path).withColumn("run", run_of(F.input_file_name()))
+
+
+def run_of(path: F.Column) -> F.Column:
+    """The run that a file's name stands for."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1), r"_s\d+$", "")
 
 
 def cache_key(version: str, **columns) -> F.Column:
