@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from docketry.llm.canonical import deletes
 from docketry.llm.scan_noise import (
-    HEADINGS, MOST_COST, Page, RunReader, breaks, confusion_distance, edge_lines, fold_misread, inner_lines, is_number, line_runs, nearest_names, read_pages, read_run, reversed_confusions, run_words,
+    DELETED_UP_TO, HEADINGS, MOST_COST, Page, RunReader, breaks, confusion_distance, edge_lines, fold_misread, inner_lines, is_number, line_runs, nearest_names, read_pages, read_run, reversed_confusions, run_words,
     running_text, whole_lines,
 )
 from docketry.operators.skew import salted
@@ -31,9 +31,6 @@ COMMON_LEAST, COMMON_SHARE = 10, 1e-6
 RUNNING_LEAST, RUNNING_AT_EDGE, RUNNING_SHARE = 5, 0.8, 2e-4
 #: A word is a misreading only of words that are so many times as frequent.
 TIMES = 10
-#: Words up to this length meet in an index of deletes; longer ones, of which that would make very many keys, in one of thirds, as two
-#: edits leave one third whole.
-DELETED_UP_TO = 24
 #: Places in the bit map by which pairs of words are told apart that nobody asks for; the map has 2 MB.
 PAIR_BITS = 1 << 24
 
@@ -285,19 +282,28 @@ def pair_counts(units: DataFrame, asked: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         there, last = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).tobytes(), PAIR_BITS - 1
         for batch in batches:
-            seen: Counter[str] = Counter()
+            seen: Counter[tuple[str, str]] = Counter()
+            begun: dict[str, tuple[int, bytes]] = {}  # a word's checksum with the blank behind it, and its bytes
             for texts in batch["texts"]:
                 for text in texts:
-                    if text:
-                        words = _WORDS.findall(text.lower())
-                        seen.update([p for p in map(_PAIR, words, words[1:]) if there[crc32(p.encode()) & last]])
-            yield pd.DataFrame([(*p.split(" "), n) for p, n in seen.items()], columns=["first", "second", "n"])
+                    words = _WORDS.findall(text.lower()) if text else ()
+                    sums = 0
+                    first = ""
+                    for w in words:
+                        known = begun.get(w)
+                        if known is None:
+                            raw = w.encode()
+                            known = begun[w] = (crc32(raw + b" "), raw)
+                        if first and there[crc32(known[1], sums) & last]:
+                            seen[first, w] += 1
+                        first, sums = w, known[0]
+            yield pd.DataFrame([(*p, n) for p, n in seen.items()], columns=["first", "second", "n"])
 
     found = _unit_rows(units).select("texts").mapInPandas(count, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
     return found.join(asked.select("first", "second").distinct(), ["first", "second"], "left_semi")
 
 
-_WORDS, _PAIR = re.compile(r"[^\W\d_]+"), "{} {}".format
+_WORDS = re.compile(r"[^\W\d_]+")
 #: What a unit of cost takes from a word's score: a repair of the highest cost needs a word TIMES as frequent.
 COST_WEIGHT = math.log(TIMES) / MOST_COST
 

@@ -45,10 +45,16 @@ def fold_misread(s: str) -> str:
     return s
 
 
+_PROSE_ENDS = frozenset(".!?…。！？।؟,;-¬­‐、，")
+
+
 def _runs_as_prose(line: str) -> bool:
     words = line.split()
-    end = line.rstrip("\"'”’»」』)） \t")[-1:]
-    return len(words) > 10 or sum(w[:1].islower() for w in words) > 3 or end in set(".!?…。！？।؟,;-¬­‐、，") or bool(_WIDE.search(line))
+    if len(words) > 10:
+        return True
+    if line.rstrip("\"'”’»」』)） \t")[-1:] in _PROSE_ENDS or len([1 for w in words if w[0].islower()]) > 3:
+        return True
+    return not line.isascii() and bool(_WIDE.search(line))
 
 
 @dataclass
@@ -370,33 +376,59 @@ def deleted(word: str, depth: int) -> set[str]:
     return out
 
 
-def delete_depth(length: int) -> int:
-    """Letters that may be missing of a word of this length, so that two at least are left."""
-    return max(0, min(2, length - 2))
+_TWO_PRINTED, _TWO_READ = (re.compile("|".join(sorted({pair[side] for pair in CONFUSIONS if len(pair[side]) > 1}))) for side in (0, 1))
+#: Words up to this length are indexed by what is left without letters, longer ones by their thirds.
+DELETED_UP_TO = 24
+
+
+def _name_keys(w: str, two: re.Pattern, asked: bool) -> set[str]:
+    n = len(w)
+    if n <= DELETED_UP_TO:
+        return deleted(w, 2 if n > 3 and two.search(w) else 1)
+    off = (-1, 0, 1) if asked else (0,)
+    return {f"{n + d}:{j}:" + w[max(0, (n + d) * j // 3 + by) : (n + d) * (j + 1) // 3 + by] for d in off for j in range(3) for by in off}
 
 
 def nearest_names(odd: set[str], own: Mapping[str, int]) -> dict[str, str]:
-    """For each of the words `odd` the cheapest of the `own` words (then the most frequent) that confusions explain, found through a
-    symmetric-delete index over a document's own words."""
-    index: dict[str, list[str]] = {}
-    for w in own:
-        if 3 <= len(w) <= 40:
-            for k in deleted(w, delete_depth(len(w))):
-                index.setdefault(k, []).append(w)
-    out = {}
+    """For each of the words `odd` the most frequent of the `own` words that one confusion explains, found through a symmetric-delete
+    index over a document's own words. A confusion has two letters on one side at most, so a second letter need be left out only
+    of words that have such two."""
+    asked: dict[str, list[str]] = {}
     for w in odd:
-        near = {x for k in deleted(w, delete_depth(len(w))) for x in index.get(k, ()) if x != w} if 3 <= len(w) <= 40 else set()
-        cost = {x: c for x in near if (c := confusion_distance(w, x, CONFUSION_COST)) is not None}
-        if cost:
-            out[w] = min(cost, key=lambda x: (cost[x], -own[x], x))
+        if len(w) >= 3:
+            for k in _name_keys(w, _TWO_READ, True):
+                asked.setdefault(k, []).append(w)
+    if not asked:
+        return {}
+    near: dict[str, set[str]] = {}
+    for x in own:
+        if len(x) >= 3:
+            for k in _name_keys(x, _TWO_PRINTED, False):
+                for w in asked.get(k, ()):
+                    if w != x:
+                        near.setdefault(w, set()).add(x)
+    out = {}
+    for w, words in near.items():
+        fit = [x for x in words if confusion_distance(w, x, CONFUSION_COST) is not None]
+        if fit:
+            out[w] = min(fit, key=lambda x: (-own[x], x))
     return out
 
 
 def confusion_distance(read: str, true: str, most: float = MOST_COST) -> float | None:
     """Weighted edit distance from the printed to the read word: confusions cost CONFUSION_COST, other edits 1; None above `most`."""
-    n, m = len(true), len(read)
-    if abs(n - m) > 2:
+    if abs(len(true) - len(read)) > 2:
         return None
+    # What both begin and end with costs nothing; two letters of it stay, as a confusion may take them in.
+    short = min(len(true), len(read))
+    same = next((i for i in range(short) if true[i] != read[i]), short)
+    begin = max(0, same - 2)
+    true, read = true[begin:], read[begin:]
+    short = min(len(true), len(read))
+    same = next((i for i in range(short) if true[-1 - i] != read[-1 - i]), short)
+    end = max(0, same - 2)
+    true, read = true[: len(true) - end], read[: len(read) - end]
+    n, m = len(true), len(read)
     cost = [[9.0] * (m + 1) for _ in range(n + 1)]
     cost[0][0] = 0.0
     for i in range(n + 1):

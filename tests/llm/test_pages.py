@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from docketry.llm import page_repair
 from docketry.llm.page_repair import case_paragraphs, misread_words, page_noise
-from docketry.llm.scan_noise import CONFUSIONS, confusion_distance, read_pages, read_run, running_text
+from docketry.llm.scan_noise import CONFUSIONS, confusion_distance, nearest_names, read_pages, read_run, running_text
 
 PROSE = "The hearing officer found that the harbor pass satisfied the continuous presence rule in the record. "
 UNIT = "unit_id string, case_id string, header string, raw_pages map<int, string>, pages array<struct<page: int, text: string>>"
@@ -58,6 +58,18 @@ def test_words_of_any_length_have_an_index(spark):
     assert {k: v for k, v in got.items() if len(k) > 24} == dict.fromkeys(odd, long)
 
 
+def test_names_of_any_length_meet_and_distances_are_quick():
+    import time
+
+    long = "abcdefgh" * 20_000 + "n" + "xyz" * 9
+    began = time.time()
+    assert confusion_distance(long.replace("n", "ri"), long) == 0.4 and confusion_distance(long[:-1] + "q", long) is None
+    assert nearest_names({long.replace("n", "ri"), "wyrizan", "drafcn", "the"}, {long: 1, "wynzan": 3, "drafen": 1, "drafan": 9, "then": 2}) == {long.replace("n", "ri"): long, "wyrizan": "wynzan", "drafcn": "drafen"}
+    mid = "benevolentandotherlongnamesinarow"
+    assert nearest_names({mid.replace("w", "vv"), mid.replace("h", "b", 1)}, {mid: 2}) == {mid.replace("w", "vv"): mid, mid.replace("h", "b", 1): mid}
+    assert time.time() - began < 5
+
+
 def test_context_decides_and_running_lines_stand_at_edges(spark, rows):
     body = "The hearing officer met the warden of the port in the month of modem trade. " * 4
     plain = [unit(1, 1, [(1, "Start of it\n" + body), (2, "Interim Print Copy\n" + body + "\n" + body + "\nRound Table Rules\n" + body + "\n" + body)], f"lit_{i}") for i in range(20)]
