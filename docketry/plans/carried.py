@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as fx
 from docketry.functions.citations import cite_pattern
-from docketry.operators import chunking, evaluation, extraction, ledger
+from docketry.operators import answers, chunking, evaluation, extraction, ledger, quotes
 from docketry.operators import graph as g
 from docketry.plans import sql
 from docketry.plans.graph import _SMALL, all_pages, known_cases, small_graph
@@ -169,9 +169,35 @@ def t8_pairs(spark: SparkSession, d: str) -> DataFrame:
     return ledger.paired_spans(e, ["user_id"], "ts", "kind")
 
 
+def v6_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """Whether titles before a citation are other names than those that it was resolved to: every second one's is."""
+    r = known_cases(spark, d).select("id", "title")
+    resolved = F.when(F.length("title") % 2 == 0, F.upper("title")).otherwise("Roe v. Doe")
+    return r.select("id", answers.name_mismatch(F.concat("title", F.lit(", 12 U.S. 34")), resolved).alias("mismatch"))
+
+
+def v9_altered(spark: SparkSession, d: str) -> DataFrame:
+    """Passages whose first letter stands in brackets in the other case, on any page of their case."""
+    pages = all_pages(spark, d)
+    letter = F.substring("text", 40, 1)
+    other = F.when(F.lower(letter) == letter, F.upper(letter)).otherwise(F.lower(letter))
+    q = pages.filter((F.length("text") > 130) & letter.rlike("^[A-Za-z]$")).select(F.concat_ws("#", "case_id", F.col("page").cast("string")).alias("quote_id"), "case_id", F.concat(F.lit("["), other, F.lit("]"), F.substring("text", 41, 60)).alias("quote"))
+    return quotes.altered_quotes(q, pages, ["quote_id"])
+
+
+def e5_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Facts extracted from replies that quote a passage of each page, and one that isn't there."""
+    pages = all_pages(spark, d)
+    quoted = pages.filter("length(text) > 130").select("case_id", F.struct(F.lit("fact").alias("type"), F.concat(F.lit("Passage "), F.col("page").cast("string")).alias("label"), F.array(F.struct(F.col("page").cast("string").alias("page"), F.when(F.col("page") % 3 == 0, "words that no page of any case has").otherwise(F.substring("text", 40, 90)).alias("quote"))).alias("evidence")).alias("n"))
+    replies = quoted.groupBy(F.col("case_id").alias("unit_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list("n")).alias("nodes"))).alias("text")).select("unit_id", F.lit("nodes").alias("stage"), "text", F.lit("stop").alias("finish_reason"))
+    units = pages.select(F.col("case_id").alias("unit_id"), "case_id", F.lit(None).cast("int").alias("repeated_page")).distinct()
+    return extraction.extracted_nodes(replies, units, pages).groupBy("case_id", "provenance").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        v6_mismatch, v9_altered, e5_nodes,
         s1_records, s2_manifest, s5_graph, s8_query, s10_runs, s11_cached, s15_usage, f7_patterns, f15_final, f17_numbers, g2_segments, g8_calls, g9_within, b11_tier, b12_accepted, e1_valid, e2_signatures,
         m3_edges, t8_pairs,
     )
@@ -196,6 +222,9 @@ SELECT m.case_id, m.mention_id AS node_id, arg_min(s.seg_id, s.start_page * 1000
     "b11_tier": f"""WITH m AS (SELECT DISTINCT mention_id, case_id, display, page FROM mentions WHERE kind = 'other' AND case_id IS NOT NULL AND trim(coalesce(display, '')) <> '' AND page % 2 <> 0)
 SELECT 'INVOKES_DOCTRINE' AS type, case_id AS source, 'doctrine:' || {sql.slug(sql.squash("display"))} AS target, 'llm' AS provenance, round(max(page / 100), 6) AS confidence FROM m GROUP BY 2, 3""",
     "b12_accepted": f"WITH {sql.PAGES} SELECT 'doctrine:harbor_pass' AS what, count(*) AS n FROM pages WHERE page = 1 AND length(text) > 130 UNION ALL SELECT 'doctrine_unverified_quote', count(*) FROM pages WHERE page = 1 AND length(text) > 130",
+    "v6_mismatch": f"""WITH {sql.CASES}, w AS (SELECT id, title, CASE WHEN length(title) % 2 = 0 THEN lower(title) ELSE 'roe v. doe' END AS other, list_filter(regexp_extract_all(lower(title), '[a-z][a-z''-]{{3,}}'), lambda x: x NOT IN ('matter', 'united', 'states', 'the', 'and', 'rel.')) AS ws FROM cases)
+SELECT id, len(ws) > 0 AND len(list_filter(ws, lambda x: contains(other, x))) = 0 AS mismatch FROM w""",
+    "v9_altered": f"WITH {sql.PAGES} SELECT case_id || '#' || page AS quote_id FROM pages WHERE length(text) > 130 AND regexp_matches(substring(text, 40, 1), '[A-Za-z]') AND length({sql.match_key('substring(text, 41, 60)')}) >= 12",
     "e1_valid": """WITH m AS (SELECT DISTINCT mention_id, kind, display, quote, page FROM mentions), r AS (SELECT *, CASE page % 4 WHEN 0 THEN 'authority_ref' WHEN 1 THEN 'rule' WHEN 2 THEN 'fact' ELSE kind END AS type FROM m)
 SELECT mention_id, CASE WHEN type = 'authority_ref' AND (kind IS NULL OR kind NOT IN ('case', 'statute', 'regulation', 'constitution', 'other')) THEN 'other' ELSE kind END AS kind,
 CASE WHEN type IS NULL OR type NOT IN ('opinion', 'issue', 'fact', 'rule', 'holding', 'reasoning', 'outcome', 'authority_ref') THEN 'unknown node type: ' || coalesce(type, 'None') WHEN trim(coalesce(display, '')) = '' THEN 'missing label' WHEN quote IS NULL THEN 'missing evidence'

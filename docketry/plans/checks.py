@@ -84,12 +84,6 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     return _gold_items(s, F.col("start_base") + F.col("start_char"), F.col("end_base") + F.col("end_char"))
 
 
-def one_page_gold(spark: SparkSession, d: str) -> DataFrame:
-    """Segments on one page as gold items of their case, with offsets in that page, as the SQL of m1_scores and e4_ids has them."""
-    s = table(spark, d, "segments").filter("start_page = end_page").select("case_id", "seg_id", "part_name", "label", "start_char", "end_char").distinct()
-    return _gold_items(s, F.col("start_char"), F.col("end_char"))
-
-
 def _gold_items(s: DataFrame, start: Column, end: Column) -> DataFrame:
     span = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
     return s.select(F.col("case_id").alias("unit_id"), F.col("seg_id").alias("id"), F.col("part_name").alias("type"), "label", F.lit(None).cast("string").alias("summary"), span.alias("spans"), F.lit("llm").alias("provenance"), "start_char", "end_char")
@@ -105,12 +99,6 @@ def pred(items: DataFrame) -> DataFrame:
 
 
 def m1_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of the segments on one page; m1_whole has those of all."""
-    q = one_page_gold(spark, d)
-    return evaluation.node_scores(pred(q), q, 0.3).withColumn("score", F.round("score", 6))
-
-
-def m1_whole(spark: SparkSession, d: str) -> DataFrame:
     q = gold(spark, d)
     return evaluation.node_scores(pred(q), q, 0.3).withColumn("score", F.round("score", 6))
 
@@ -190,18 +178,12 @@ def e3_deduplicated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e4_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of the segments on one page; e4_whole has those of all."""
-    g = one_page_gold(spark, d).select(F.col("unit_id").alias("case_id"), "type", F.lit("part").alias("label"), F.col("id").alias("seg_id"))
-    return evaluation.assigned_ids(g, "seg_id").select("seg_id", "id")
-
-
-def e4_whole(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "segments").select("case_id", F.col("part_name").alias("type"), F.lit("part").alias("label"), "seg_id").distinct()
     return evaluation.assigned_ids(g, "seg_id").select("seg_id", "id")
 
 
-def f13_whole(spark: SparkSession, d: str) -> DataFrame:
-    """f13_spans for all segments: each one's span, moved by a third of its length, against itself."""
+def f13_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Each segment's span, moved by a third of its length, against itself."""
     start, end = F.col("spans")[0]["start"], F.col("spans")[0]["end"]
     moved = F.floor((end - start) / 3)
     at = [start, end, start + moved, end + moved]
@@ -255,15 +237,17 @@ def t9_budget(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (v1_page_keys, v2_located, v3_items, v4_checked, v5_citations, v7_problems, v8_quotes, v10_salvaged, v11_reports, m1_scores, m1_whole, m2_matched, m5_evaluated, m5_macro, m6_sweep, m7_tiers, m8_errors, m9_summary, m10_cited, m11_scored, m12_turns, e3_deduplicated, e4_ids, e4_whole, f13_whole, e6_progress, t1_quota, t4_pruned, t5_digests, t6_tools, t6_trajectories, t7_tally, t9_budget)
+    for f in (v1_page_keys, v2_located, v3_items, v4_checked, v5_citations, v7_problems, v8_quotes, v10_salvaged, v11_reports, m1_scores, m2_matched, m5_evaluated, m5_macro, m6_sweep, m7_tiers, m8_errors, m9_summary, m10_cited, m11_scored, m12_turns, e3_deduplicated, e4_ids, f13_spans, e6_progress, t1_quota, t4_pruned, t5_digests, t6_tools, t6_trajectories, t7_tally, t9_budget)
 }
 
 _KEYS = f"""{sql.PAGES}, k AS (SELECT case_id, page, {sql.match_key("text")} AS key FROM pages), keys AS (SELECT case_id, page, key, (sum(length(key)) OVER w)::BIGINT AS e, coalesce(lead(key) OVER w, '') AS after, coalesce(lag(key) OVER w, '') AS before, lag(page) OVER w AS page_before, lead(page) OVER w AS page_after FROM k WINDOW w AS (PARTITION BY case_id ORDER BY page))"""
 _QUOTES = f"""q AS (SELECT case_id || '#' || page AS quote_id, case_id, page + page % 3 AS page, substring(text, 40, 90) AS quote, regexp_replace({sql.match_key("substring(text, 40, 90)")}, '^[.,;:]+|[.,;:]+$', '', 'g') AS piece FROM pages WHERE length(text) > 130)"""
 _LOCATED = f"""{_KEYS}, {_QUOTES}, h AS (SELECT q.*, keys.page AS own_page, page_before, page_after, length(key) AS n, e - length(key) AS s, length(before) AS nb, strpos(key || after, piece) AS here, strpos(before || key || after, piece) AS back FROM q LEFT JOIN keys ON keys.case_id = q.case_id AND keys.page = q.page),
 l AS (SELECT *, CASE WHEN length(piece) < 12 THEN NULL WHEN here > 0 THEN s + here - 1 WHEN back > 0 THEN s - nb + back - 1 END AS f FROM h)"""
-_GOLD = """gold AS (SELECT DISTINCT case_id AS unit_id, seg_id AS id, part_name AS type, label, start_char AS s, end_char AS e FROM segments WHERE start_page = end_page),
-pred AS (SELECT unit_id, id, CASE WHEN s % 11 = 3 THEN 'other' ELSE type END AS type, label, (s + s % 7)::INT AS s, e FROM gold WHERE s % 5 <> 1)"""
+_GOLD = f"""{sql.PAGES}, g0 AS (SELECT DISTINCT case_id, seg_id, part_name, label, start_page, start_char, end_page, end_char FROM segments),
+gold AS (SELECT g0.case_id AS unit_id, seg_id AS id, part_name AS type, label, start_char AS c, (start_char + coalesce(sum(length(p.text)) FILTER (p.page < start_page), 0))::INT AS s, (end_char + coalesce(sum(length(p.text)) FILTER (p.page < end_page), 0))::INT AS e
+FROM g0 LEFT JOIN pages p ON p.case_id = g0.case_id GROUP BY g0.case_id, seg_id, part_name, label, start_page, start_char, end_page, end_char),
+pred AS (SELECT unit_id, id, CASE WHEN c % 11 = 3 THEN 'other' ELSE type END AS type, label, (s + c % 7)::INT AS s, e FROM gold WHERE c % 5 <> 1)"""
 _T = "t AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY loaded_at) = 1)"
 _SCORED = """s0 AS (SELECT turn_id AS id, system, status, latency_s, input_tokens, output_tokens, model_calls, tools, revisions, coalesce(lang, 'none') AS category, coalesce(CASE WHEN output_tokens % 3 = 0 THEN concat_ws(' ', text, 'Disclaimer: none') ELSE text END, '') AS text, list_distinct(coalesce(tools, [])) AS e,
 CASE WHEN revisions = 1 AND output_tokens % 2 = 0 THEN [] ELSE list_distinct(list_concat(list_slice(coalesce(tools, []), 2, 99), [system])) END AS c FROM t),
@@ -291,7 +275,8 @@ SELECT system, CASE WHEN grouping(category) = 1 THEN '(all)' ELSE category END A
 round(avg(only_allowed_tools::INT), 3) AS only_allowed_tools, round(avg(self_verified::INT), 3) AS self_verified, round(avg((status IN ('verified', 'salvaged'))::INT), 3) AS answered, sum(coalesce(tool_calls, 0))::BIGINT AS status_claims, sum(model_calls)::BIGINT AS unverified_citations,
 round(avg(latency_s), 1) AS latency_mean, round(quantile_cont(latency_s, 0.5), 1) AS latency_p50, round(max(latency_s), 1) AS latency_max, sum(coalesce(input_tokens, 0))::BIGINT AS input_tokens, sum(coalesce(output_tokens, 0))::BIGINT AS output_tokens, sum(coalesce(model_calls, 0))::BIGINT AS model_calls,
 count(*) FILTER (coalesce(output_tokens, 0) > 0 AND coalesce(input_tokens, 0) = 0) AS input_missing, round(avg(cost1), 6) AS cost, round(sum(cost1), 4) AS cost_total FROM c GROUP BY GROUPING SETS ((system), (system, category))""",
-    "e4_ids": """WITH g AS (SELECT DISTINCT case_id, part_name, seg_id FROM segments WHERE start_page = end_page), b AS (SELECT seg_id, case_id || ':' || part_name || ':part' AS base, row_number() OVER (PARTITION BY case_id, part_name ORDER BY seg_id) AS n FROM g) SELECT seg_id, CASE WHEN n > 1 THEN base || '_' || n ELSE base END AS id FROM b""",
+    "f13_spans": f"WITH {_GOLD}, a AS (SELECT id AS seg_id, s AS s1, e AS e1, floor((e - s) / 3)::INT AS m FROM gold) SELECT seg_id, round(CASE WHEN e1 - s1 - m > 0 THEN (e1 - s1 - m) / (e1 + m - s1) ELSE 0 END, 6) AS iou, round(CASE WHEN e1 - s1 - m > 0 AND e1 > s1 THEN (e1 - s1 - m) / (e1 - s1) ELSE 0 END, 6) AS overlap FROM a",
+    "e4_ids": """WITH g AS (SELECT DISTINCT case_id, part_name, seg_id FROM segments), b AS (SELECT seg_id, case_id || ':' || part_name || ':part' AS base, row_number() OVER (PARTITION BY case_id, part_name ORDER BY seg_id) AS n FROM g) SELECT seg_id, CASE WHEN n > 1 THEN base || '_' || n ELSE base END AS id FROM b""",
     "e6_progress": """WITH r AS (SELECT DISTINCT case_id, CASE WHEN part_name = 'majority' THEN 'edges' ELSE 'nodes' END AS stage, end_char % 10 <> 0 AS whole FROM segments), b AS (SELECT case_id, count(DISTINCT CASE WHEN whole THEN stage END) AS whole, count(DISTINCT stage) AS there FROM r GROUP BY case_id)
 SELECT CASE WHEN b.whole >= 2 THEN 'ok' WHEN b.there >= 2 THEN 'partial' ELSE 'pending' END AS state, count(*) AS n FROM (SELECT DISTINCT case_id FROM units) u LEFT JOIN b USING (case_id) GROUP BY 1""",
     "t1_quota": """WITH w AS (SELECT event_id, ts, count(*) OVER m AS used_minute, count(*) OVER h AS used_hour, count(*) OVER d AS used_day, min(ts) OVER h AS first_hour FROM events

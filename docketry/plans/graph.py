@@ -196,8 +196,8 @@ def r8_dense(spark: SparkSession, d: str) -> DataFrame:
 
 def g1_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Statutes and regulations named on each page, and how often."""
-    rows = extract_mentions(all_pages(spark, d), ("usc", "cfr"))
-    return rows.groupBy("case_id", "page", "canon_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_at"))
+    rows = extract_mentions(all_pages(spark, d), ("usc", "cfr", "ina_symbol", "ina_section"))
+    return rows.groupBy("case_id", "page", "pattern", "canon_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_at"))
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:

@@ -84,3 +84,20 @@ def test_unknown_pattern_is_an_error(spark):
 
     with pytest.raises(ValueError):
         extract_mentions(spark.createDataFrame([], "case_id string, page int, text string"), ("nope",))
+
+
+def test_final_answers(spark):
+    from docketry.functions.text import final_answer
+
+    block = "```json\n{}\n```"
+    data = [
+        ("so " + block.format('{"answer": " first ", "citations": []}') + " and " + block.format('{"answer": "last", "citations": [{"case": "a", "page": 2}, {"quote": "q"}, {"case": ""}]}'), ("last", 1, True)),
+        (block.format('{"answer": "good"}') + block.format('{"other": 1}') + block.format("{broken"), ("good", 0, True)),
+        ('Here: {"answer": "bare", "citations": null} end', ("bare", 0, True)),
+        ('x {"note": 1, "answer": "inner"}', ("inner", 0, True)),
+        ('{"answer": 5}', ('{"answer": 5}', 0, False)),
+        ("  plain text ", ("plain text", 0, False)), ("", ("", 0, False)), (None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "i int, t string")
+    got = {r["i"]: r["f"] and (r["f"]["answer"], len(r["f"]["citations"]), r["f"]["parsed"]) for r in df.select("i", final_answer(F.col("t")).alias("f")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(data)}
