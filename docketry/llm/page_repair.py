@@ -10,6 +10,8 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ from pyspark.sql.window import Window
 
 from docketry.llm.canonical import deletes
 from docketry.llm.scan_noise import (
-    DELETED_UP_TO, HEADINGS, MOST_COST, Page, RunReader, breaks, confusion_distance, edge_lines, fold_misread, inner_lines, is_number, line_runs, nearest_names, read_pages, read_run, reversed_confusions, run_words,
-    running_text, whole_lines,
+    DELETED_UP_TO, HEADINGS, MOST_COST, PART, Page, RunReader, breaks, confusion_distance, edge_lines, fold_misread, inner_lines, is_number, judged_breaks, line_runs, nearest_names, page_words, read_pages, read_run,
+    reversed_confusions, run_words, whole_pages,
 )
 from docketry.operators.skew import salted
 from docketry.sources.tables import checkpointed
@@ -33,12 +35,14 @@ RUNNING_LEAST, RUNNING_AT_EDGE, RUNNING_SHARE = 5, 0.8, 2e-4
 TIMES = 10
 #: Places in the bit map by which pairs of words are told apart that nobody asks for; the map has 2 MB.
 PAIR_BITS = 1 << 24
+#: By which the first word's checksum is multiplied, so that the order of two words counts.
+PAIR_STEP = 31
 
 _UNIT = "unit_id", "case_id", "header", "numbers", "texts", "marked_numbers", "marked_texts"
 
 
 def _unit_rows(units: DataFrame) -> DataFrame:
-    """Units with their pages as plain arrays. Null arrays are empty."""
+    """Units with their pages as plain arrays, of the marked texts only the markers of parts. Null arrays are empty."""
     empty_i, empty_s = F.array().cast("array<int>"), F.array().cast("array<string>")
     return units.select(
         "unit_id",
@@ -47,10 +51,19 @@ def _unit_rows(units: DataFrame) -> DataFrame:
         F.coalesce(F.map_keys("raw_pages"), empty_i).alias("numbers"),
         F.coalesce(F.map_values("raw_pages"), empty_s).alias("texts"),
         F.coalesce(F.transform("pages", lambda p: p["page"]), empty_i).alias("marked_numbers"),
-        F.coalesce(F.transform("pages", lambda p: p["text"]), empty_s).alias("marked_texts"),
+        F.coalesce(F.transform("pages", lambda p: F.array_join(F.regexp_extract_all(p["text"], F.lit(PART), F.lit(0)), "")), empty_s).alias("marked_texts"),
     )
 
 
+def _tuples(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * len(schema)
+    return pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _place(unit_id: str | None) -> tuple[int, int]:
     """The unit's number in its case and their count; a unit without them is alone."""
     m = re.search(r"__u(\d+)of(\d+)$", unit_id or "")
@@ -69,29 +82,30 @@ def page_statistics(units: DataFrame) -> DataFrame:
     """kind, key, n over all units: words (w), with those that have a hyphen, words with signs that can't be in one (s), lines at the
     edges of pages (e) and like lines elsewhere (l). Each batch is counted before anything is shuffled."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs: Counter[str] = Counter()
             kinds: dict[str, Counter[str]] = {k: Counter() for k in "wsel"}
-            for row in batch.itertuples(index=False, name=None):
+            for row in _tuples(batch):
                 pages, ends = _read(row, set())
-                raw = dict(zip(row[3], row[4], strict=True))
                 runs.update(line_runs(pages))
-                kinds["e"].update(edge_lines(pages, raw))
+                kinds["e"].update(edge_lines(pages))
                 for page in pages:
                     if not page.first:
-                        kinds["l"].update(inner_lines(page, raw.get(page.page)))
-                kinds["s"].update(w for b in breaks(pages, ends) for w in _signed(b.left + b.right))
+                        kinds["l"].update(inner_lines(page))
+                kinds["s"].update([w for b in breaks(pages, ends) for w in _signed(b.left + b.right)])
+            words = kinds["w"]
             for run, n in runs.items():
                 for w in run_words(run):
-                    kinds["w"][w] += n
+                    words[w] += n
                 for w in _signed(run):
                     kinds["s"][w] += n
-            yield pd.DataFrame([(kind, k, n) for kind, counted in kinds.items() for k, n in counted.items()], columns=["kind", "key", "n"])
+            yield _batch([(kind, k, n) for kind, counted in kinds.items() for k, n in counted.items()], _COUNTED)
 
-    return _unit_rows(units).mapInPandas(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return _unit_rows(units).mapInArrow(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+_COUNTED = pa.schema([("kind", pa.string()), ("key", pa.string()), ("n", pa.int64())])
 _SIGN = re.compile("[0-9†!]")
 
 
@@ -169,7 +183,9 @@ def _asked_words(pages: list[Page], ends: bool, header: str, common: dict[str, i
     """All words but the broadcast ones whose counts repair of the pages may look up."""
     out = {w.lower() for w in re.findall(r"[^\W\d_]+", header)}
     found = breaks(pages, ends)
-    runs = {run for _, line in whole_lines(pages, [(b, True) for b in found]) for run in line.split()}
+    runs: set[str] = set()
+    for _, text in whole_pages(pages, [(b, True) for b in found]):
+        runs.update(text.split())
     ends_of = {(p.page, i): line for p in pages for i, line in enumerate(p.body)} if found else {}
     for b in found:
         if b.mark == "-":  # the only mark that may be part of the word
@@ -183,22 +199,25 @@ def _asked_words(pages: list[Page], ends: bool, header: str, common: dict[str, i
 def _rare_counts(units: DataFrame, rare: DataFrame, common: Broadcast, running: Broadcast) -> DataFrame:
     """asker, rare (map<word, n>): those of the words of `rare` (key, n) that a unit asks for."""
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = RunReader(common.value)
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False, name=None):
+            for row in _tuples(batch):
                 pages, ends = _read(row, running.value)
                 out += [(row[0], w) for w in _asked_words(pages, ends, row[2] or "", common.value, read)]
-                out += [(row[0], LINE + f) for f in edge_lines(pages, dict(zip(row[3], row[4], strict=True))) if f not in running.value]
-            yield pd.DataFrame(out, columns=["asker", "word"])
+                out += [(row[0], LINE + f) for f in edge_lines(pages) if f not in running.value]
+            yield _batch(out, _ASKED)
 
-    asked = checkpointed(_unit_rows(units).mapInPandas(ask, "asker string, word string").distinct())
+    asked = checkpointed(_unit_rows(units).mapInArrow(ask, "asker string, word string").distinct())
     hot = asked.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= asked.select(F.count(F.lit(1))).scalar() * F.lit(0.01)).select("word")
     left, right = salted(asked, rare.withColumnRenamed("key", "word"), hot, "word", F.col("asker"))
     return left.join(right, ["word", "salt"]).groupBy("asker").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("rare"))
 
 
+_ASKED = pa.schema([("asker", pa.string()), ("word", pa.string())])
+
+
 def _known_rows(units: DataFrame, lexicon: Lexicon) -> DataFrame:
     """_unit_rows with `rare`, the counts of the common words that aren't broadcast but that the unit asks for; null if none."""
     rows = _unit_rows(units)
@@ -224,39 +243,42 @@ def noise_rows(units: DataFrame, lexicon: Lexicon) -> DataFrame:
     be in it, with its neighbours. One row of a unit at a time."""
     common, running = lexicon.common, lexicon.running
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = running.value
         read = RunReader(common.value)
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False, name=None):
+            for row in _tuples(batch):
                 unit, case = row[0], row[1]
                 pages, ends = _read(row[:7], _running(row[7], lines))
                 known = _known(row[7], common.value)
-                words, broken = running_text(pages, ends, known, read)
+                words, places, broken = page_words(pages, ends, known, read)
                 for p in pages:
                     out += [(unit, case, p.page, kind, None, None, None, None) for kind, there in (("header", p.header), ("pageno", p.pageno)) if there]
                 out += [(unit, case, b.page, "hyphen", None, None, None, None) for b, noise in broken if noise]
-                out += _word_rows(unit, case, words, row[2] or "", known)
-            yield pd.DataFrame(out, columns=["unit_id", "case_id", "page", "noise", "token", "before", "after", "repair"])
+                out += _word_rows(unit, case, words, places, row[2] or "", known)
+            yield _batch(out, _NOISE)
+
+    return _known_rows(units, lexicon).mapInArrow(scan, "unit_id string, case_id string, page int, noise string, token string, before string, after string, repair string")
+
 
-    return _known_rows(units, lexicon).mapInPandas(scan, "unit_id string, case_id string, page int, noise string, token string, before string, after string, repair string")
+_NOISE = pa.schema([(c, pa.int32() if c == "page" else pa.string()) for c in ("unit_id", "case_id", "page", "noise", "token", "before", "after", "repair")])
 
 
-def _word_rows(unit: str, case: str, words: list[tuple], header: str, known: Mapping[str, int]) -> list[tuple]:
-    """Rows of noise_rows for the words that aren't common. A capitalized word that stands once in the unit, and is by one confusion
-    another of its uncommon words (or of its header's), is a misread name; numbers have their digits for a lexicon."""
-    odd = [i for i, w in enumerate(words) if w[3] or not w[4] and len(w[2]) >= 3]
+def _word_rows(unit: str, case: str, words: list[tuple], places: list[tuple[int, int, int]], header: str, known: Mapping[str, int]) -> list[tuple]:
+    """Rows of noise_rows for the words (of page_words) that aren't common. A capitalized word that stands once in the unit, and is by
+    one confusion another of its uncommon words (or of its header's), is a misread name; numbers have their digits for a lexicon."""
+    odd = [(n, i) for n, begin, end in places for i in range(begin, end) if (w := words[i])[2] or not w[3] and len(w[1]) >= 3]
     if not odd:
         return []
-    own = Counter(w[2] for w in words if not w[4])
+    own = Counter([w[1] for w in words if not w[3]])
     own.update(w.lower() for w in re.findall(r"[^\W\d_]+", header) if w.lower() not in known)
-    names = nearest_names({w[2] for i in odd if not (w := words[i])[3] and w[1][0].isupper() and own[w[2]] == 1}, {w: n for w, n in own.items() if w not in known})
+    names = nearest_names({w[1] for _, i in odd if not (w := words[i])[2] and w[0][0].isupper() and own[w[1]] == 1}, {w: n for w, n in own.items() if w not in known})
     out = []
-    for i in odd:
-        page, text, w, sure, _ = words[i]
-        before = words[i - 1][2] if i else None
-        after = words[i + 1][2] if i + 1 < len(words) else None
+    for page, i in odd:
+        text, w, sure, _ = words[i]
+        before = words[i - 1][1] if i else None
+        after = words[i + 1][1] if i + 1 < len(words) else None
         noise, repair = "!" if sure else "?", None
         if sure and is_number(text):
             noise, repair = "ocr", text.translate(str.maketrans("OolI", "0011"))
@@ -273,37 +295,45 @@ def pair_counts(units: DataFrame, asked: DataFrame) -> DataFrame:
     others are counted for each batch, and an exact join drops those that came through by chance.
     """
     spark = units.sparkSession
-    place = F.pmod(F.crc32(F.concat_ws(" ", "first", "second")), F.lit(PAIR_BITS)).cast("int")
+    place = F.pmod(F.crc32("first") * PAIR_STEP + F.crc32("second"), F.lit(PAIR_BITS)).cast("int")
     bits = np.zeros(PAIR_BITS, dtype=bool)
     places = asked.select(place.alias("p")).distinct().toPandas()["p"].to_numpy()  # numbers below PAIR_BITS
     bits[places] = True
     shared = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        there, last = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).tobytes(), PAIR_BITS - 1
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, last = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool), PAIR_BITS - 1
         for batch in batches:
-            seen: Counter[tuple[str, str]] = Counter()
-            begun: dict[str, tuple[int, bytes]] = {}  # a word's checksum with the blank behind it, and its bytes
-            for texts in batch["texts"]:
-                for text in texts:
-                    words = _WORDS.findall(text.lower()) if text else ()
-                    sums = 0
-                    first = ""
-                    for w in words:
-                        known = begun.get(w)
-                        if known is None:
-                            raw = w.encode()
-                            known = begun[w] = (crc32(raw + b" "), raw)
-                        if first and there[crc32(known[1], sums) & last]:
-                            seen[first, w] += 1
-                        first, sums = w, known[0]
-            yield pd.DataFrame([(*p, n) for p, n in seen.items()], columns=["first", "second", "n"])
-
-    found = _unit_rows(units).select("texts").mapInPandas(count, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
+            seen: Counter[tuple[bytes, bytes]] = Counter()
+            for text in pc.list_flatten(batch.column(0)).to_pylist():
+                words = _letter_words(text) if text else ()
+                if len(words) > 1:
+                    s = np.fromiter(map(crc32, words), dtype=np.int64, count=len(words))
+                    hits = there[(s[:-1] * PAIR_STEP + s[1:]) & last].nonzero()[0].tolist()
+                    seen.update([(words[i], words[i + 1]) for i in hits])
+            yield _batch([(a.decode(), b.decode(), n) for (a, b), n in seen.items()], _PAIRS)
+
+    found = _unit_rows(units).select("texts").mapInArrow(count, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
     return found.join(asked.select("first", "second").distinct(), ["first", "second"], "left_semi")
 
 
-_WORDS = re.compile(r"[^\W\d_]+")
+_PAIRS = pa.schema([("first", pa.string()), ("second", pa.string()), ("n", pa.int64())])
+_LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+
+
+def _letter_words(text: str) -> list[bytes]:
+    """What `[^\\W\\d_]+` finds in the text in lower case, in UTF-8."""
+    text = text.lower()
+    if not text.isascii():
+        others = {c: " " for c in set(text) if c > "\x7f" and (c.isdecimal() or not c.isalnum())}
+        if len(others) > 32:
+            text = text.translate(str.maketrans(others))
+        else:
+            for c in others:
+                text = text.replace(c, " ")
+    return text.encode().translate(_LETTERS).split()
+
+
 #: What a unit of cost takes from a word's score: a repair of the highest cost needs a word TIMES as frequent.
 COST_WEIGHT = math.log(TIMES) / MOST_COST
 
@@ -400,6 +430,9 @@ def paragraphs(pages: list[Page], broken: list, repairs: dict[str, str]) -> list
     return out
 
 
+_MENDED = pa.schema([(c, pa.int32() if c in ("page", "para_no") else pa.string()) for c in ("case_id", "page", "para_no", "role", "text")])
+
+
 def case_paragraphs(units: DataFrame) -> DataFrame:
     """case_id, page, para_no, text: each case's text once, as paragraphs in order of (page, para_no), repaired.
 
@@ -411,14 +444,13 @@ def case_paragraphs(units: DataFrame) -> DataFrame:
     rows = _known_rows(units, lexicon).join(repairs, "unit_id", "left").select(*_UNIT, "repairs", "rare")
     common, running = lexicon.common, lexicon.running
 
-    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = RunReader(common.value)
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False, name=None):
+            for row in _tuples(batch):
                 i, n = _place(row[0])
                 pages, ends = _read(row[:7], _running(row[8], running.value))
-                _, broken = running_text(pages, ends, _known(row[8], common.value), read)
+                broken = judged_breaks(pages, ends, _known(row[8], common.value))
                 done = paragraphs(pages, broken, dict(row[7]) if row[7] is not None else {})
                 numbers: Counter[int] = Counter()
                 reached = {p for p, _, _ in done}
@@ -433,9 +465,9 @@ def case_paragraphs(units: DataFrame) -> DataFrame:
                     head = next((x.strip() for x in tail.body if x.strip()), "")
                     if head and (tail.page not in reached or first_own is not None and not first_own.startswith(head[:10])):
                         out.append((row[1], tail.page, 1, "carried", ""))
-            yield pd.DataFrame(out, columns=["case_id", "page", "para_no", "role", "text"])
+            yield _batch(out, _MENDED)
 
-    made = rows.mapInPandas(mend, "case_id string, page int, para_no int, role string, text string")
+    made = rows.mapInArrow(mend, "case_id string, page int, para_no int, role string, text string")
     made = checkpointed(made.groupBy("case_id", "page", "para_no", "role").agg(F.max("text").alias("text")))
     carried = made.filter(F.col("role") == "carried").select("case_id", "page", "para_no", F.lit("lead").alias("role"))
     kept = made.filter(F.col("role") != "carried").join(carried, ["case_id", "page", "para_no", "role"], "left_anti")

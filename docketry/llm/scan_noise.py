@@ -6,6 +6,8 @@ import re
 from collections import ChainMap, Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
+from itertools import chain
 
 # What is printed and what it is misread as.
 CONFUSIONS = (
@@ -20,13 +22,17 @@ CONFUSION_COST, MOST_COST = 0.4, 0.8
 HEADINGS = {"syllabus"}
 HYPHENS = "-¬­‐"
 
-_PART = re.compile(r"\n?<<<PART BEGINS: [^|\n]*\| ([^\n]*) \| seg_id=[^\n]*>>>\n")
+#: A part's marker, in the syntax of Python and of Java; the first group is its heading.
+PART = r"<<<PART BEGINS: [^|\n]*\| ([^\n]*) \| seg_id=[^\n]*>>>\n"
+_PART = re.compile(PART)
+_HYPHEN_END = re.compile(rf"[{HYPHENS}]\s*(?:\n|\Z)")
 _N = r"[0-9OolIS]*[0-9][0-9OolIS]*"
 _NUMBER_LINE = re.compile(rf"\s*(?:[—–-]\s*{_N}\s*[—–-]|\[{_N}\]|{_N}\s+[oc0]f\s+{_N}|[Pp][a@]g[ec9]\s+{_N}|[Pp]\.\s*{_N}|(?P<roman>[ivxlcIVXLC]+)|(?P<bare>{_N}))\s*")
 _NUMBER_HEAD = re.compile(rf"^\s*(?:p\.\s*|Pag[ec]\s+)?{_N}(?:\s{{2,}}|\t)(?=\S)")
 _NUMBER_TAIL = re.compile(rf"(?<=\S)(?:\s{{2,}}|\t)(?:p\.\s*|Pag[ec]\s+)?{_N}\s*$")
 _LEFT = re.compile(rf"(?:^|[^\w†'’])((?:[^\W_]|†|!)*[^\W\d_]|[^\W\d_])([{HYPHENS}])\s*$")
 _RIGHT = re.compile(r"^\s*((?:[^\W_]|†|(?<=[^\W_])!(?=[^\W\d_]))+)")
+_NUMBER_IN, _TITLE, _GAP = re.compile(_N), re.compile(r"(?m)^TITLE: (.+)$"), re.compile(r"\s{2,}|\t")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _RUN = re.compile(r"[A-Za-zÀ-ɏ0-9†][A-Za-zÀ-ɏ0-9†!.,'’]*")
 _NUMBER = re.compile(r"[0-9OIlo]+(?:[.,][0-9OIlo]+)*")
@@ -34,12 +40,22 @@ _SUFFIXED = re.compile(r"[0-9]+(?:[a-h]|st|nd|rd|th|d|er|e|re|ème|a|o|º|ª|s)"
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 
 
+_BETWEEN_LETTERS = [(true, read, re.compile(rf"(?<=[a-z]){read}|{read}(?=[a-z]{{2}})")) for true, read in (("o", "0"), ("l", "1"), ("s", "5"), ("g", "9"), ("t", "†"), ("i", "!"))]
+_DIGITS = re.compile(r"\d+")
+
+
 def fold_misread(s: str) -> str:
     """A form in which a line and its misreadings mostly agree: lower case, digits as #, misread signs as printed."""
+    return _folded(s) if len(s) <= 200 else _folded.__wrapped__(s)
+
+
+@lru_cache(1 << 15)  # most are running lines, which come again
+def _folded(s: str) -> str:
     s = " ".join(s.lower().split())
-    for true, read in (("o", "0"), ("l", "1"), ("s", "5"), ("g", "9"), ("t", "†"), ("i", "!")):
-        s = re.sub(rf"(?<=[a-z]){read}|{read}(?=[a-z]{{2}})", true, s)
-    s = re.sub(r"\d+", "#", s)
+    for true, read, between in _BETWEEN_LETTERS:
+        if read in s:
+            s = between.sub(true, s)
+    s = _DIGITS.sub("#", s)
     for printed, misread in (("ii", "u"), ("ri", "n"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("e", "c"), ("h", "b")):
         s = s.replace(printed, misread)
     return s
@@ -64,15 +80,34 @@ class Page:
     page: int
     body: list[str]
     first: bool
+    lines: list[str]
+    edges: list[int]
     headings: set[str] = field(default_factory=set)
     header: bool = False
     pageno: bool = False
 
+    @cached_property
+    def text(self) -> str:
+        return "\n".join(self.body)
+
+    @cached_property
+    def hyphens(self) -> bool:
+        """Whether a line ends with a hyphen or its like."""
+        return bool(_HYPHEN_END.search(self.text))
+
 
 def _edges(lines: list[str]) -> list[int]:
     """Places of the first two and the last two lines that aren't blank."""
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    return sorted({*full[:2], *full[-2:]})
+    out: set[int] = set()
+    for way in (range(len(lines)), range(len(lines) - 1, -1, -1)):
+        n = 0
+        for i in way:
+            if lines[i] and not lines[i].isspace():
+                out.add(i)
+                n += 1
+                if n == 2:
+                    break
+    return sorted(out)
 
 
 def _page_numbers(lines: list[str], expected: int | None, bare_ok: bool) -> set[int]:
@@ -119,23 +154,27 @@ def read_pages(raw: list[tuple[int, str | None]], marked: list[tuple[int, str |
     headings: dict[int, set[str]] = {}
     for page, text in marked:
         headings.setdefault(page, set()).update(fold_misread(m[1]) for m in _PART.finditer(text or ""))
-    title = re.search(r"(?m)^TITLE: (.+)$", header or "")
+    title = _TITLE.search(header or "")
     name = fold_misread(title[1]) if title else ""
     pages = sorted({p: t for p, t in raw}.items())
     lines = {p: (t or "").split("\n") for p, t in pages}
+    edges = {p: _edges(x) for p, x in lines.items()}
     base: Counter[int] = Counter()
-    for p, t in pages:
-        for i in _edges(lines[p]):
-            if (m := _NUMBER_LINE.fullmatch(lines[p][i])) and not m["roman"] and (n := re.search(_N, lines[p][i])) and (v := _digits(n[0])) is not None:
-                base[v - p] += 1
+    numbered_pages = set()
+    for p, _ in pages:
+        for i in edges[p]:
+            if m := _NUMBER_LINE.fullmatch(lines[p][i]):
+                numbered_pages.add(p)
+                if not m["roman"] and (n := _NUMBER_IN.search(lines[p][i])) and (v := _digits(n[0])) is not None:
+                    base[v - p] += 1
     steady = next((b for b, n in base.most_common(1) if n >= 2), None)
-    numbers = {p: _page_numbers(lines[p], None if steady is None else steady + p, steady is not None) for p, _ in pages}
+    numbers = {p: _page_numbers(lines[p], None if steady is None else steady + p, steady is not None) if p in numbered_pages else set() for p, _ in pages}
     seen: Counter[str] = Counter()
     edge: dict[int, dict[int, tuple[str, str, bool]]] = {}
     for p, _ in pages:
-        rest = [x if i not in numbers[p] else "" for i, x in enumerate(lines[p])]
+        rest = [x if i not in numbers[p] else "" for i, x in enumerate(lines[p])] if numbers[p] else lines[p]
         edge[p] = {}
-        for i in _edges(rest):
+        for i in _edges(rest) if numbers[p] else edges[p]:
             line = rest[i]
             stripped = _NUMBER_TAIL.sub("", _NUMBER_HEAD.sub("", line, count=1), count=1).strip() if "  " in line.strip() or "\t" in line else line.strip()
             if stripped[:2].lower() == "ci" or not _runs_as_prose(stripped):
@@ -144,18 +183,18 @@ def read_pages(raw: list[tuple[int, str | None]], marked: list[tuple[int, str |
     out = []
     for k, (p, _) in enumerate(pages):
         first = p == 1 or is_start and k == 0
-        page = Page(p, [], first, headings.get(p, set()), pageno=bool(numbers[p]))
+        page = Page(p, [], first, lines[p], edges[p], headings.get(p, set()), pageno=bool(numbers[p]))
         drop = set(numbers[p])
         for i, (line, folded, numbered) in edge[p].items():
             if first or folded in page.headings or folded in HEADINGS or _runs_as_prose(line) and not folded.startswith(CITED) or _NUMBER_LINE.fullmatch(line):
                 continue
-            parts = {fold_misread(x) for x in re.split(r"\s{2,}|\t", line)}
+            parts = {fold_misread(x) for x in _GAP.split(line)}
             titled = bool(name) and len(folded) <= len(name) + 24 and _alike(folded[: len(name)], name)
             if titled or folded.startswith(CITED) or folded in running or len(parts) > 1 and not parts.isdisjoint(running) or seen[folded] > 1 and len(folded) > 3:
                 drop.add(i)
                 page.header = True
                 page.pageno |= numbered
-        page.body = [x for i, x in enumerate(lines[p]) if i not in drop]
+        page.body = [x for i, x in enumerate(lines[p]) if i not in drop] if drop else lines[p]
         out.append(page)
     return out
 
@@ -166,39 +205,39 @@ def _alike(a: str, b: str) -> bool:
         return True
     if not a or abs(len(a) - len(b)) > 2:
         return False
+    most = max(1, len(b) // 8)
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
-    return row[-1] <= max(1, len(b) // 8)
+        if min(row) > most:  # it never falls again
+            return False
+    return row[-1] <= most
 
 
-def edge_lines(pages: list[Page], raw: dict[int, str | None]) -> set[str]:
+def edge_lines(pages: list[Page]) -> set[str]:
     """The folded edge lines of pages other than a case's first that might be running ones."""
     out = set()
     for page in pages:
-        lines = (raw.get(page.page) or "").split("\n")
         if page.first:
             continue
-        for i in _edges(lines):
-            line = _NUMBER_TAIL.sub("", _NUMBER_HEAD.sub("", lines[i], count=1), count=1)
+        for i in page.edges:
+            line = _NUMBER_TAIL.sub("", _NUMBER_HEAD.sub("", page.lines[i], count=1), count=1)
             if _NUMBER_LINE.fullmatch(line) or _runs_as_prose(line) or fold_misread(line) in page.headings:
                 continue
-            for part in {line, *re.split(r"\s{2,}|\t", line)}:
+            for part in {line, *_GAP.split(line)}:
                 f = fold_misread(part)
                 if len(f) > 3 and " " in f:
                     out.add(f)
     return out
 
 
-def inner_lines(page: Page, raw: str | None) -> Counter[str]:
+def inner_lines(page: Page) -> list[str]:
     """The folded lines of a page that aren't at its edges and look like running ones: how often such a line stands elsewhere."""
-    lines = (raw or "").split("\n")
-    edges = set(_edges(lines))
-    short = (x for i, x in enumerate(lines) if i not in edges and x.strip() and not _NUMBER_LINE.fullmatch(x) and not _runs_as_prose(x))
-    return Counter(f for x in short if len(f := fold_misread(x)) > 3 and " " in f and f not in page.headings)
+    short = [x for i, x in enumerate(page.lines) if x and not _runs_as_prose(x) and i not in page.edges and not _NUMBER_LINE.fullmatch(x)]
+    return [f for x in short if len(f := fold_misread(x)) > 3 and " " in f and f not in page.headings]
 
 
 def is_number(token: str) -> bool:
@@ -260,25 +299,39 @@ class Break:
     line: int
 
 
+def _next_line(pages: list[Page], k: int, i: int) -> str | None:
+    """The first line that isn't blank from line `i` of the page at place `k` on."""
+    while k < len(pages):
+        body = pages[k].body
+        for j in range(i, len(body)):
+            if body[j].strip():
+                return body[j]
+        k, i = k + 1, 0
+    return None
+
+
 def breaks(pages: list[Page], ends_case: bool) -> list[Break]:
     """All places where a line ends with a hyphen or its like behind a letter. `right` is empty where nothing follows; the end
     of a unit's last page is left to the unit that repeats the page, unless the case ends there."""
     out = []
-    flat = [(k, i, x) for k, p in enumerate(pages) for i, x in enumerate(p.body) if x.strip()]
-    for n, (k, i, line) in enumerate(flat):
-        m = _LEFT.search(line) if line.rstrip()[-1:] in HYPHENS else None
-        if not m:
-            continue
-        if n + 1 < len(flat):
-            follow = _RIGHT.match(flat[n + 1][2])
-            right = follow[1] if follow else "\0"
-        elif ends_case:
-            right = ""
-        else:
-            continue
-        if right == "\0" or right and not any(c.isalpha() for c in right):
+    for k, page in enumerate(pages):
+        if not page.hyphens:
             continue
-        out.append(Break(pages[k].page, m[1], m[2], right, i))
+        for i, line in enumerate(page.body):
+            m = _LEFT.search(line) if line.rstrip()[-1:] in HYPHENS and line.strip() else None
+            if not m:
+                continue
+            follows = _next_line(pages, k, i + 1)
+            if follows is not None:
+                follow = _RIGHT.match(follows)
+                right = follow[1] if follow else "\0"
+            elif ends_case:
+                right = ""
+            else:
+                continue
+            if right == "\0" or right and not any(c.isalpha() for c in right):
+                continue
+            out.append(Break(page.page, m[1], m[2], right, i))
     return out
 
 
@@ -298,13 +351,18 @@ def is_noise(b: Break, count) -> bool:
     return not with_mark or count(joined) >= with_mark
 
 
-def whole_lines(pages: list[Page], found: list[tuple[Break, bool]]) -> Iterator[tuple[int, str]]:
-    """Page and text of each line, with broken words whole again on the line where they begin; with each break stands whether
+def whole_pages(pages: list[Page], found: list[tuple[Break, bool]]) -> Iterator[tuple[int, str]]:
+    """Number and text of each page, with broken words whole again on the line where they begin; with each break stands whether
     the mark is noise."""
     at = {(b.page, b.line): (b, noise) for b, noise in found}
+    broken = {b.page for b, _ in found}
     skip = ""
     for page in pages:
         n = page.page
+        if not skip and n not in broken:
+            yield n, page.text
+            continue
+        lines = []
         for i, line in enumerate(page.body):
             if skip and line.strip():
                 line = line.lstrip()
@@ -315,34 +373,54 @@ def whole_lines(pages: list[Page], found: list[tuple[Break, bool]]) -> Iterator[
                 cut = line.rstrip()
                 line = cut[: len(cut) - 1 - len(b[0].left)] + b[0].left + ("" if b[1] else "-") + b[0].right
                 skip = b[0].right
-            yield n, line
+            lines.append(line)
+        yield n, "\n".join(lines)
+
+
+def judged_breaks(pages: list[Page], ends_case: bool, known: Mapping[str, int]) -> list[tuple[Break, bool]]:
+    """All breaks with whether the mark is noise. `known` has the common words."""
+    return [(b, is_noise(b, lambda w: known.get(w, 0))) for b in breaks(pages, ends_case)]
 
 
 def running_text(pages: list[Page], ends_case: bool, known: Mapping[str, int], read: RunReader | None = None) -> tuple[list[tuple[int, str, str, bool, bool]], list[tuple[Break, bool]]]:
     """The words of the text as (page, as written, in lower case, sure to be misread, common), with broken words whole again on
     the page where they begin; and all breaks with whether the mark is noise. `known` has the common words, which may be more
     than those that `read` knows."""
+    words, places, found = page_words(pages, ends_case, known, read)
+    return [(n, *w) for n, begin, end in places for w in words[begin:end]], found
+
+
+def page_words(pages: list[Page], ends_case: bool, known: Mapping[str, int], read: RunReader | None = None) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[int, int, int]], list[tuple[Break, bool]]]:
+    """What running_text gives, as words without their page, (page, its first word, the first one behind it), and the breaks."""
     read = RunReader(known) if read is None else read
-    found = [(b, is_noise(b, lambda w: known.get(w, 0))) for b in breaks(pages, ends_case)]
-    words = [(n, *w) for n, line in whole_lines(pages, found) for run in line.split() for w in read[run]]
+    found = judged_breaks(pages, ends_case, known)
+    words: list[tuple[str, str, bool, bool]] = []
+    places = []
+    for n, text in whole_pages(pages, found):
+        begin = len(words)
+        words.extend(chain.from_iterable(map(read.__getitem__, text.split())))
+        places.append((n, begin, len(words)))
     if isinstance(known, ChainMap):
-        words = [w if w[4] or w[2] not in known.maps[0] else (*w[:4], True) for w in words]
-    return words, found
+        rare = known.maps[0]
+        words = [w if w[3] or w[1] not in rare else (*w[:3], True) for w in words]
+    return words, places, found
 
 
-def line_runs(pages: list[Page]) -> Counter[str]:
-    """Strings between blanks within lines, counted; the broken ends of lines and what continues them aside."""
-    runs: Counter[str] = Counter()
-    before = False
+def line_runs(pages: list[Page]) -> list[str]:
+    """Strings between blanks within lines; the broken ends of lines and what continues them aside."""
+    runs: list[str] = []
     for page in pages:
+        if not page.hyphens:
+            runs += page.text.split()
+            continue
+        before = False
         for line in page.body:
             own = line.split()
             if not own:
                 continue
             broken = own[-1][-1] in HYPHENS
-            runs.update(own[before : len(own) - broken])
+            runs += own[before : len(own) - broken]
             before = broken
-        before = False
     return runs
 
 
@@ -363,56 +441,46 @@ def run_words(run: str) -> list[str]:
 
 def reversed_confusions(word: str) -> list[str]:
     """What a word may be if one confusion made it."""
-    return sorted({word[:i] + true + word[i + len(read) :] for true, read in CONFUSIONS for i in range(len(word) - len(read) + 1) if word.startswith(read, i)})
-
-
-def deleted(word: str, depth: int) -> set[str]:
-    """A word and what is left of it without up to `depth` letters: the keys of a symmetric-delete index."""
-    out = {word}
-    level = {word}
-    for _ in range(depth):
-        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
-        out |= level
-    return out
+    out = set()
+    for true, read in CONFUSIONS:
+        i = word.find(read)
+        while i >= 0:
+            out.add(word[:i] + true + word[i + len(read) :])
+            i = word.find(read, i + 1)
+    return sorted(out)
 
 
-_TWO_PRINTED, _TWO_READ = (re.compile("|".join(sorted({pair[side] for pair in CONFUSIONS if len(pair[side]) > 1}))) for side in (0, 1))
 #: Words up to this length are indexed by what is left without letters, longer ones by their thirds.
 DELETED_UP_TO = 24
+#: Of words up to this length all are made that one confusion may have made them of; of longer ones that is too much text.
+REVERSED_UP_TO = 40
 
 
-def _name_keys(w: str, two: re.Pattern, asked: bool) -> set[str]:
+def _thirds(w: str, asked: bool) -> set[str]:
     n = len(w)
-    if n <= DELETED_UP_TO:
-        return deleted(w, 2 if n > 3 and two.search(w) else 1)
     off = (-1, 0, 1) if asked else (0,)
     return {f"{n + d}:{j}:" + w[max(0, (n + d) * j // 3 + by) : (n + d) * (j + 1) // 3 + by] for d in off for j in range(3) for by in off}
 
 
 def nearest_names(odd: set[str], own: Mapping[str, int]) -> dict[str, str]:
-    """For each of the words `odd` the most frequent of the `own` words that one confusion explains, found through a symmetric-delete
-    index over a document's own words. A confusion has two letters on one side at most, so a second letter need be left out only
-    of words that have such two."""
+    """For each of the words `odd` the most frequent of the `own` words that one confusion explains. A confusion leaves one third of a
+    long word whole, by which it is found."""
+    near: dict[str, set[str]] = {}
     asked: dict[str, list[str]] = {}
     for w in odd:
-        if len(w) >= 3:
-            for k in _name_keys(w, _TWO_READ, True):
+        if len(w) > REVERSED_UP_TO:
+            for k in _thirds(w, True):
                 asked.setdefault(k, []).append(w)
-    if not asked:
-        return {}
-    near: dict[str, set[str]] = {}
-    for x in own:
-        if len(x) >= 3:
-            for k in _name_keys(x, _TWO_PRINTED, False):
-                for w in asked.get(k, ()):
-                    if w != x:
-                        near.setdefault(w, set()).add(x)
-    out = {}
-    for w, words in near.items():
-        fit = [x for x in words if confusion_distance(w, x, CONFUSION_COST) is not None]
-        if fit:
-            out[w] = min(fit, key=lambda x: (-own[x], x))
-    return out
+        elif len(w) >= 3:
+            near[w] = {x for x in reversed_confusions(w) if x in own and x != w and len(x) >= 3}
+    if asked:
+        for x in own:
+            if len(x) >= REVERSED_UP_TO:
+                for k in _thirds(x, False):
+                    for w in asked.get(k, ()):
+                        if w != x and x not in near.setdefault(w, set()) and confusion_distance(w, x, CONFUSION_COST) is not None:
+                            near[w].add(x)
+    return {w: min(fit, key=lambda x: (-own[x], x)) for w, fit in near.items() if fit}
 
 
 def confusion_distance(read: str, true: str, most: float = MOST_COST) -> float | None:

@@ -70,6 +70,32 @@ def test_names_of_any_length_meet_and_distances_are_quick():
     assert time.time() - began < 5
 
 
+def test_names_meet_over_the_length_where_the_index_changes():
+    mid = "benevolentandotherlongnam"
+    assert len(mid) == 25
+    assert nearest_names({mid[:-1] + "rn", "ri" + mid[:23]}, {mid: 2, "n" + mid[:23]: 3}) == {mid[:-1] + "rn": mid, "ri" + mid[:23]: "n" + mid[:23]}
+    for n in (38, 39, 40, 41):
+        w = ("wyndham" * 9)[:n]
+        assert nearest_names({w.replace("m", "rn", 1), w + "d"}, {w: 1, w + "cl": 1, w + "dx": 4}) == {w.replace("m", "rn", 1): w, w + "d": w + "cl"}
+
+
+def test_pages_are_read_without_the_marked_text(spark):
+    marker = "<<<PART BEGINS: 1 | Second Part | seg_id=s_1>>>\n"
+    marked = [(1, f"{marker}Second Part\n{PROSE}\n{marker.replace('Second', '| Ünder')}{PROSE}"), (2, PROSE), (3, None)]
+    df = spark.createDataFrame([("a__u1of1", "a", HEAD, dict(marked), [{"page": p, "text": t} for p, t in marked])], UNIT)
+    got = page_repair._unit_rows(df).first()
+    assert got["marked_texts"] == [marker + marker.replace("Second", "| Ünder"), "", None] and got["texts"][1] == PROSE
+    raw = [(p, f"Second Part\n{PROSE}") for p in (2, 3)]
+    assert [p.headings for p in read_pages(raw, [(2, got["marked_texts"][0])], None, False)] == [p.headings for p in read_pages(raw, [(2, marked[0][1])], None, False)] != [set(), set()]
+
+
+def test_letter_words():
+    import re
+
+    for text in ("It's no_2 the ²½ x̌y 日本 ٣ \x1c†e ﬁ I\u0307 ÀÉ", "a" + "".join(map(chr, range(1, 0xD7FF))) * 2, ""):
+        assert [w.decode() for w in page_repair._letter_words(text)] == re.findall(r"[^\W\d_]+", text.lower())
+
+
 def test_context_decides_and_running_lines_stand_at_edges(spark, rows):
     body = "The hearing officer met the warden of the port in the month of modem trade. " * 4
     plain = [unit(1, 1, [(1, "Start of it\n" + body), (2, "Interim Print Copy\n" + body + "\n" + body + "\nRound Table Rules\n" + body + "\n" + body)], f"lit_{i}") for i in range(20)]
