@@ -369,7 +369,8 @@ def page_noise(units: DataFrame) -> DataFrame:
 
     units: unit_id, case_id, header, raw_pages map<int, string>, pages array<struct<page, text>> (for its part markers). Null
     maps, null and blank pages have no noise; a unit delivered twice or a page in two units counts once. Units are read row by
-    row; what is shuffled are word counts, words that aren't common, and the result.
+    row; what is shuffled are word counts, words that aren't common, the result, and where not all common words are broadcast once the
+    units themselves.
     """
     lexicon = Lexicon(units)
     rows = checkpointed(noise_rows(units, lexicon))
